@@ -70,7 +70,8 @@ def observations(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return mined.select(
         "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ,
         F.col("field.pos").alias("pos"), "truncated",
-        F.explode("indicators").alias("i")).select("*", "i.type", "i.value").drop("i")
+        F.explode_outer("indicators").alias("i")).where(F.col("i").isNotNull()).select(
+            "*", "i.type", "i.value").drop("i")
 
 
 def fold(obs: DataFrame) -> DataFrame:
