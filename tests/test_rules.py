@@ -49,7 +49,7 @@ POSITIVE = [
     ("persistence.git_hook_write", CMD, "echo x > .git/hooks/pre-push"),
     ("persistence.privileged_account_change", CMD, "usermod -aG wheel bob"),
     ("persistence.privileged_account_change", CMD, "useradd -o -u 0 toor"),
-    ("persistence.scheduler_install", CMD, "(crontab) ; crontab -e"),
+    ("persistence.scheduler_install", CMD, "crontab -u root -"),
     ("persistence.scheduler_install", CMD, "systemctl enable --now backdoor.service"),
     ("persistence.scheduler_install", WRITE, "/etc/cron.d/x"),
     ("persistence.shell_profile_write", CMD, "echo alias >> ~/.bashrc"),
