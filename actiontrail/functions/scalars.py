@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: strict RFC 3339 shape.
 RFC3339 = (r"\A[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[Tt]"
@@ -26,6 +26,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def keep_rows(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on a costly derived column without copying its expression.
+
+    The optimizer moves an ordinary filter below the projections that compute
+    its columns and writes their expressions out again at every use. Emitting
+    zero or one row from a generator evaluates them once, in place.
+    """
+    row = F.when(cond, F.array(F.struct(*df.columns)))
+    return df.select(F.explode(row).alias("_row")).select("_row.*")
+
+
 def present(c: Column | str) -> Column:
     """True for a non-null, non-empty string."""
     return F.coalesce(col(c) != "", F.lit(False))
