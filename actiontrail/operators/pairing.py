@@ -6,18 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from actiontrail.operators.positions import carry
+
 
 def earlier_owner(rows: DataFrame, group: Sequence[str], call_id: str, order: str,
                   owner: Column, name: str) -> DataFrame:
     """The newest earlier row of the same call id that offers `owner`.
 
     A reused id belongs to its newest call. `owner` is null on rows that are
-    not calls.
+    not calls; `call_id` is filled on every row.
     """
-    w = (Window.partitionBy(*group, call_id).orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn(name, F.when(F.col(call_id).isNotNull(),
-                                        F.last(owner, ignorenulls=True).over(w)))
+    found = carry(rows, [*group, call_id], order, {name: owner}, inclusive=False)
+    return found.withColumn(name, F.when(F.col(call_id).isNotNull(), F.col(name)))
 
 
 def as_of_unmatched(rows: DataFrame, group: Sequence[str], name: str, order: str,
@@ -51,26 +51,29 @@ def tag_nearest(results: DataFrame, failures: DataFrame, keys: Sequence[str], or
 
     The latest earlier result wins; without one, the first later result.
     """
-    fails = failures.select(*keys, F.col(order).alias("_fail"))
-    near = results.select(*keys, F.col(order).alias("_res")).join(fails, list(keys))
-    before = F.max(F.when(F.col("_res") < F.col("_fail"), F.col("_res")))
-    after = F.min(F.when(F.col("_res") > F.col("_fail"), F.col("_res")))
-    picked = (near.groupBy(*keys, "_fail").agg(F.coalesce(before, after).alias(order))
-              .select(*keys, order).distinct().withColumn("failed_late", F.lit(True)))
+    # Both kinds on one line of time: the neighbours of a failure come from a
+    # carry in each direction, never from pairing a group with itself.
+    line = results.select(*keys, F.col(order).alias("_o"), F.col(order).alias("_res")).unionByName(
+        failures.select(*keys, F.col(order).alias("_o"), F.lit(None).cast("bigint").alias("_res")))
+    line = carry(line, keys, "_o", {"_before": F.col("_res")}, inclusive=False)
+    line = carry(line, keys, "_o", {"_after": F.col("_res")}, inclusive=False, backward=True)
+    picked = (line.where(F.col("_res").isNull()).select(*keys, F.coalesce("_before", "_after").alias(order))
+              .where(F.col(order).isNotNull()).distinct().withColumn("failed_late", F.lit(True)))
     return (results.join(picked, [*keys, order], "left")
             .withColumn("failed_late", F.coalesce("failed_late", F.lit(False))))
 
 
 def prefer_explicit(rows: DataFrame, group: Sequence[str], explicit: Column, fallback: Column) -> DataFrame:
     """Drop fallback rows of groups that hold an explicit one."""
-    w = Window.partitionBy(*group)
-    return (rows.withColumn("_has", F.max(explicit.cast("int")).over(w))
+    # One row per group on the right; a hot group's rows stay spread, because
+    # the join may split the large side.
+    has = rows.groupBy(*group).agg(F.max(explicit.cast("int")).alias("_has"))
+    return (rows.join(has, list(group))
             .where(~(fallback & (F.col("_has") == 1))).drop("_has"))
 
 
 def from_boundary(rows: DataFrame, group: Sequence[str], boundary: Column, order: str) -> DataFrame:
     """Skip rows copied from a parent before the group's boundary row."""
-    w = Window.partitionBy(*group)
-    first = F.min(F.when(boundary, F.col(order))).over(w)
-    return (rows.withColumn("_b", first)
+    first = rows.groupBy(*group).agg(F.min(F.when(boundary, F.col(order))).alias("_b"))
+    return (rows.join(first, list(group))
             .where(F.col("_b").isNull() | (F.col(order) >= F.col("_b"))).drop("_b"))

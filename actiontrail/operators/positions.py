@@ -8,9 +8,9 @@ of the data is therefore spread over as many tasks as it has slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICE_ROWS = 1 << 20
 
@@ -27,3 +27,29 @@ def add_positions(df: DataFrame, keys: Sequence[str], seq: str, name: str = "pos
     return (sliced.join(offsets, [*keys, "_slice"])
             .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
             .drop("_slice", "_offset"))
+
+
+def carry(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
+          inclusive: bool = True, backward: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add, per name, the latest non-null value up to the row (or just before it).
+
+    Works like `add_positions`: the last value of each slice is found by a
+    two-phase aggregate, handed to the following slices over the small slice
+    table, and completed inside a slice. `backward` looks from the other end.
+    `order` is a whole number, unique in its group.
+    """
+    at = -F.col(order) if backward else F.col(order)
+    names = list(values)
+    raw = {f"_v{i}": values[n] for i, n in enumerate(names)}
+    rows = df.withColumns({"_at": at.cast("bigint"), **raw}).withColumn(
+        "_slice", F.floor(F.col("_at") / F.lit(slice_rows)))
+    ends = rows.groupBy(*keys, "_slice").agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_at"))).alias(v) for v in raw])
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*keys, "_slice", *[F.last(v, ignorenulls=True).over(earlier).alias("_h" + v) for v in raw])
+    inside = (Window.partitionBy(*keys, "_slice").orderBy("_at")
+              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    joined = rows.join(handed, [*keys, "_slice"])
+    out = joined.withColumns({n: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col("_h" + v))
+                              for n, v in zip(names, raw, strict=True)})
+    return out.drop("_at", "_slice", *raw, *["_h" + v for v in raw])

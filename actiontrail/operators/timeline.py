@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from actiontrail.functions.scalars import (evidence_ref, order_key, present, step_detail)
-from actiontrail.operators.positions import SLICE_ROWS
+from actiontrail.operators.positions import SLICE_ROWS, carry
 from actiontrail.schema import SEQ
 
 SESSION_KEYS = ["source_agent", "source_type", "session_id", "boundary"]
@@ -88,16 +88,13 @@ def timeline_pages(events: DataFrame, page_rows: int = 1000) -> DataFrame:
 
 def carry_forward(df: DataFrame, columns: list[str], group: list[str], order: str) -> DataFrame:
     """Fill each column with its latest earlier value inside the group."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return carry(df, group, order, {c: F.col(c) for c in columns})
 
 
 def changes_only(df: DataFrame, column: str, group: list[str], order: str) -> DataFrame:
     """Rows whose value differs from the previous one in the group."""
-    w = Window.partitionBy(*group).orderBy(order)
-    prev = F.lag(column).over(w)
-    return (df.withColumn("_prev", prev)
-            .where(F.col("_prev").isNull() | (F.col("_prev") != F.col(column))).drop("_prev"))
+    before = carry(df, group, order, {"_prev": F.struct(F.col(column).alias("v"))}, inclusive=False)
+    return before.where(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(column))).drop("_prev")
 
 
 def bookends(rows: DataFrame, group: list[str], order: str, session: str,

@@ -67,8 +67,31 @@ def family_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, t, f) for (a, t), f in rows.items()], "_agent string, _tool string, family string")
 
 
+# Objects one level down that carry looked-up fields; each is parsed once.
+NESTED = ("tool_call", "toolCall", "tool_result", "tool_response", "result", "model")
+
+
 def _first(doc: Column, *keys: str) -> Column:
-    return F.coalesce(*[blank_to_null(F.get_json_object(doc, "$." + k)) for k in keys])
+    """First non-empty field of a document parsed to a text map."""
+    def one(key: str) -> Column:
+        head, _, rest = key.partition(".")
+        if rest:
+            return F.try_element_at(F.try_element_at(F.col("_nested"), F.lit(head)), F.lit(rest))
+        if key.endswith("[0]"):
+            return F.get_json_object(F.try_element_at(doc, F.lit(key[:-3])), "$[0]")
+        return F.try_element_at(doc, F.lit(key))
+
+    return F.coalesce(*[blank_to_null(one(k)) for k in keys])
+
+
+def _parsed(payloads: DataFrame) -> DataFrame:
+    text = "map<string,string>"
+    df = payloads.withColumn("p", F.from_json("payload", text))
+    inner = [(n, F.try_element_at("p", F.lit(n))) for n in NESTED]
+    nested = F.map_from_arrays(
+        F.array(*[F.lit(n) for n, _ in inner]),
+        F.array(*[F.when(v.startswith("{"), F.from_json(v, text)) for _, v in inner]))
+    return df.withColumn("_nested", nested)
 
 
 def _lifecycle(event: Column) -> Column:
@@ -81,14 +104,15 @@ def _lifecycle(event: Column) -> Column:
 
 def events(payloads: DataFrame, run_id: str = "run") -> DataFrame:
     """`payloads`: seq, agent, event, payload (JSON text)."""
-    p = F.col("payload")
-    df = payloads.withColumns({
+    p = F.col("p")
+    df = _parsed(payloads)
+    df = df.withColumns({
         "cycle": _lifecycle(F.coalesce(F.col("event"), _first(p, "hook_event_name", "hookEventName", "event"))),
-        "source_agent": F.when((F.col("agent") == "copilot") & F.get_json_object(p, "$.hook_event_name").isNotNull(),
+        "source_agent": F.when((F.col("agent") == "copilot") & F.map_contains_key(p, "hook_event_name"),
                                "vscode").otherwise(F.col("agent")),
         "tool_name": _first(p, "tool_name", "toolName", "tool", "tool_call.name", "toolCall.name"),
-        "input": F.coalesce(_first(p, "tool_input", "toolInput", "toolArgs", "tool_info", "args", "input",
-                                   "tool_call.input", "toolCall.args"), p)})
+        "input": F.coalesce(F.from_json(_first(p, "tool_input", "toolInput", "toolArgs", "tool_info", "args", "input",
+                                               "tool_call.input", "toolCall.args"), "map<string,string>"), p)})
     df = df.withColumns({"_a": F.col("source_agent"), "_t": F.lower("tool_name")}).join(
         F.broadcast(family_table(df.sparkSession)), (F.col("_a") == F.col("_agent")) & (F.col("_t") == F.col("_tool")), "left")
     i, cycle, fam = F.col("input"), F.col("cycle"), F.col("family")
@@ -130,7 +154,8 @@ def events(payloads: DataFrame, run_id: str = "run") -> DataFrame:
     df = df.withColumns({"_targets": targets, "_patch": patch})
     df = df.withColumn("_n", F.size("_targets")).select("*", F.posexplode_outer("_targets").alias("_i", "_x"))
     kind = F.when(is_file & F.col("_patch").isNotNull(), F.when(F.col("_x.delete"), "file.delete").otherwise("file.write")).otherwise(t)
-    code = either("exit_code", "exitCode", "tool_response.exit_code", "tool_response.exitCode", "result.exitCode").try_cast("int")
+    code = either("exit_code", "exitCode", "tool_response.exit_code", "tool_response.exitCode",
+                  "result.exitCode").try_cast("int")
     ms = either("duration_ms", "durationMs", "duration").try_cast("bigint")
     failed = (cycle == "post_failed") | (F.lower(either("is_error", "isError", "tool_response.is_error", "tool_response.isError")) == "true") | (
         F.lower(either("status", "tool_response.status")).isin("error", "failed")) | (F.lower(either("success")) == "false")
