@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from actiontrail.operators.positions import carry
+from actiontrail.operators.positions import SLICE_ROWS, carry
 
 
 def earlier_owner(rows: DataFrame, group: Sequence[str], call_id: str, order: str,
@@ -22,28 +22,37 @@ def earlier_owner(rows: DataFrame, group: Sequence[str], call_id: str, order: st
 
 def as_of_unmatched(rows: DataFrame, group: Sequence[str], name: str, order: str,
                     is_call: Column, is_response: Column, payload: Column,
-                    out: str = "matched") -> DataFrame:
+                    out: str = "matched", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Pair each response with the most recent unanswered call of its name.
 
     Calls and responses nest like brackets. A running balance that never falls
     below zero gives every call its depth and every response the depth it
-    closes; equal depths pair through one more window, no per-row Python.
+    closes; equal depths pair through a carry. The balance is summed per slice
+    of arrival order and the slices are chained over their small totals table.
     """
     keys = [*group, name]
-    run = Window.partitionBy(*keys).orderBy(order)
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    delta = F.when(is_call, 1).when(is_response, -1).otherwise(0)
-    step = (rows.withColumn("_d", delta).withColumn("_s", F.sum("_d").over(upto))
-            .withColumn("_m", F.least(F.lit(0), F.min("_s").over(upto)))
-            .withColumn("_open", F.col("_s") - F.col("_m"))
-            .withColumn("_prev", F.coalesce(F.lag("_open").over(run), F.lit(0))))
-    depth = F.when(is_call, F.col("_open")).when(is_response & (F.col("_prev") > 0), F.col("_prev"))
-    step = step.withColumn("_depth", depth)
-    back = (Window.partitionBy(*keys, "_depth").orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    found = F.last(F.when(is_call, payload), ignorenulls=True).over(back)
-    return (step.withColumn(out, F.when(is_response & F.col("_depth").isNotNull(), found))
-            .drop("_d", "_s", "_m", "_open", "_prev", "_depth"))
+    cut = Window.partitionBy(*keys, "_slice").orderBy(order)
+    upto = cut.rowsBetween(Window.unboundedPreceding, 0)
+    step = rows.withColumns({
+        "_d": F.when(is_call, 1).when(is_response, -1).otherwise(0), "_call": is_call, "_pay": payload,
+        "_slice": F.floor(F.col(order) / F.lit(slice_rows))})
+    step = step.withColumn("_s", F.sum("_d").over(upto)).withColumn("_m", F.min("_s").over(upto))
+    totals = step.groupBy(*keys, "_slice").agg(F.sum("_d").alias("_t"), F.min("_s").alias("_p"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_s0", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    totals = totals.withColumn("_m0", F.least(F.lit(0), F.min(F.col("_s0") + F.col("_p")).over(before)))
+    step = step.join(totals.drop("_t", "_p"), [*keys, "_slice"])
+    low = F.least("_m0", F.col("_s0") + F.col("_m"))
+    step = step.withColumn("_low", low)
+    floor_before = F.coalesce(F.lag("_low").over(cut), F.col("_m0"))
+    prev = F.col("_s0") + F.col("_s") - F.col("_d") - floor_before
+    depth = F.when(F.col("_call"), F.col("_s0") + F.col("_s") - F.col("_low")).when(
+        is_response & (prev > 0), prev)
+    step = step.withColumn("_depth", F.coalesce(depth, F.lit(0)))
+    found = carry(step, [*keys, "_depth"], order, {out: F.when(F.col("_call"), F.col("_pay"))},
+                  inclusive=False, slice_rows=slice_rows)
+    return (found.withColumn(out, F.when(is_response & (F.col("_depth") > 0), F.col(out)))
+            .drop("_d", "_call", "_pay", "_slice", "_s", "_m", "_s0", "_m0", "_low", "_depth"))
 
 
 def tag_nearest(results: DataFrame, failures: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
