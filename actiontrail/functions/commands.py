@@ -12,6 +12,8 @@ marked not analysable, and command predicates then abstain.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from actiontrail.functions.scalars import let
@@ -213,21 +215,30 @@ def command_columns(df: DataFrame, text: str = "command", only: Column | None =
     `only` restricts the work to the rows command predicates look at.
     """
     wanted = F.col(text).isNotNull() if only is None else (only & F.col(text).isNotNull())
-    df = df.withColumn("_top", F.when(wanted & (F.octet_length(text) <= MAX_BYTES),
-                                      _parse(F.col(text), F.lit(0), F.lit(0))))
-    deep = F.col(text).rlike(r"\$\(|`|sh[\"']?\s.*-[a-zA-Z]*c")
-    df = df.withColumn("_sub", F.when(deep, _expand(F.col("_top"))))
-    more = F.exists("_sub", lambda s: s["source"].rlike(r"\$\(|`|sh[\"']?\s.*-[a-zA-Z]*c"))
-    df = df.withColumn("_sub2", F.when(more, _expand(F.col("_sub"))))
+    x = _expressions(text, df.sparkSession.sparkContext.applicationId)
+    df = df.withColumn("_top", F.when(wanted & (F.octet_length(text) <= MAX_BYTES), x["top"]))
+    df = df.withColumn("_sub", F.when(x["deep"], x["sub"]))
+    df = df.withColumn("_sub2", F.when(x["deeper"], x["sub2"]))
     none = F.slice("_top", 1, 0)
     df = df.withColumn("_all", F.concat("_top", F.coalesce("_sub", none), F.coalesce("_sub2", none)))
-    df = df.withColumn("analysable", F.coalesce(analysable(F.col(text), F.col("_all")), F.lit(False)))
+    df = df.withColumn("analysable", F.coalesce(x["analysable"], F.lit(False)))
     return (df.withColumn("commands", F.when(F.col("analysable"), F.col("_all")))
-            .withColumn("command_static", F.coalesce(F.col("analysable") & static_subset(F.col("_all")),
-                                                     F.lit(False)))
+            .withColumn("command_static", F.coalesce(F.col("analysable") & x["static"], F.lit(False)))
             .drop("_top", "_sub", "_sub2", "_all"))
 
 
+@lru_cache(maxsize=16)
+def _expressions(text: str, application: str) -> dict[str, Column]:
+    """The parser's columns, built once per application: they depend on column
+    names only, and describing them to the JVM takes seconds."""
+    nested = r"\$\(|`|sh[\"']?\s.*-[a-zA-Z]*c"
+    return {
+        "top": _parse(F.col(text), F.lit(0), F.lit(0)), "deep": F.col(text).rlike(nested),
+        "sub": _expand(F.col("_top")), "deeper": F.exists("_sub", lambda s: s["source"].rlike(nested)),
+        "sub2": _expand(F.col("_sub")), "analysable": analysable(F.col(text), F.col("_all")),
+        "static": static_subset(F.col("_all"))}
+
+
 def statements(df: DataFrame, key: str = "event_id") -> DataFrame:
     """The table form: one row per statement."""
     return (df.select(key, F.explode_outer("commands").alias("c"))

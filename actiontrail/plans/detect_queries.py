@@ -228,16 +228,18 @@ _NUMBERED = """
 
 
 def _chain_rows(spark, sf):
-    """The raw event kinds as step material; one group per user."""
-    e = table(spark, sf, "events")
-    rows = actions(spark, sf).join(
-        e.select(F.col("event_id").alias(SEQ), F.col("event_type").alias("kind")), SEQ)
-    return rows.withColumns({"source_type": F.lit("hook"), "source_agent": F.lit("codex"),
-                             "project_path": F.lit(None).cast("string")})
+    """The actions as step material; one group per user."""
+    return actions(spark, sf).withColumns({
+        "source_type": F.lit("hook"), "source_agent": F.lit("codex"), "project_path": F.lit(None).cast("string")})
+
+
+# The action type each raw event kind is read as.
+_KINDS = {"signup": "config.agent", "view": "file.read", "click": "network.indicator",
+          "purchase": "command.exec", "error": "permission.denied"}
 
 
 def _is(kind):
-    return F.col("kind") == kind
+    return F.col("event_type") == _KINDS[kind]
 
 
 def _chain_query(spark, sf, *rules, capped=True):
