@@ -17,6 +17,7 @@ from actiontrail.functions.scalars import hash_path, parsed_instant, present
 from actiontrail.operators.dedupe import first_per_id
 from actiontrail.operators.positions import SLICE_ROWS, add_positions
 from actiontrail.schema import SEQ
+from actiontrail.session import saved
 
 # Look-back bound and limits of a sequence rule.
 MIN_RING = 256
@@ -173,8 +174,13 @@ def cap_matches(chains: DataFrame, rules: Sequence[ChainRule]) -> DataFrame:
 def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool = True,
                   capped: bool = True, slice_rows: int = SLICE_ROWS,
                   block_rows: int | None = None) -> DataFrame:
-    """Matched chains: `rule_id`, ordered `links`, `final_event_id`."""
-    hits = numbered_hits(events, rules, dedupe, slice_rows)
+    """Matched chains: `rule_id`, ordered `links`, `final_event_id`.
+
+    The step-matching events are few but cost a pass over everything, and they
+    are read twice (to find chains and to cite their events), so they are saved
+    once in the shared checkpoint folder.
+    """
+    hits = saved(numbered_hits(events, rules, dedupe, slice_rows))
     chains = find_chains(hits, rules, block_rows)
     if capped:
         chains = cap_matches(chains, rules)

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from actiontrail.functions import hosts
 from actiontrail.functions.redact import redact_columns
 from actiontrail.functions.scalars import hash_path, order_key, present
-from actiontrail.operators.dedupe import first_per_id
 from actiontrail.schema import SEQ
 
 # Mined in this order; previews may carry Markdown.
@@ -57,21 +56,33 @@ def mine_text(df: DataFrame, text: str, markdown: Column | None = None,
 
 
 def observations(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per distinct (event, field, type, value)."""
+    """One row per distinct (event, field, type, value) of first event copies."""
     fields = F.filter(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.col(name).alias("text"),
                  F.lit(name == "content_preview").alias("markdown"))
         for i, name in enumerate(FIELDS)]), lambda f: f["text"] != "")
-    rows = first_per_id(events, "event_id", SEQ).select(
+    rows = events.select(
         "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ,
         F.explode(fields).alias("field"))
     mined = mine_text(rows.withColumn("_text", F.col("field.text")), "_text",
                       F.col("field.markdown"), limits)
-    return mined.select(
+    found = mined.select(
         "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ,
         F.col("field.pos").alias("pos"), "truncated",
         F.explode_outer("indicators").alias("i")).where(F.col("i").isNotNull()).select(
             "*", "i.type", "i.value").drop("i")
+    return first_copies(found, events)
+
+
+def first_copies(found: DataFrame, events: DataFrame) -> DataFrame:
+    """Keep observations of the first event of each id.
+
+    Texts are mined where they lie; only ids and positions are shuffled to find
+    the first copy, never the texts. Rows without an id all count.
+    """
+    first = events.where(present("event_id")).groupBy("event_id").agg(F.min(SEQ).alias("_first"))
+    return (found.join(first, "event_id", "left")
+            .where(F.col("_first").isNull() | (F.col("_first") == F.col(SEQ))).drop("_first"))
 
 
 def fold(obs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the plans rely on; everything else stays with the cluster.
 ENGINE_CONF = {
@@ -40,6 +40,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage in the shared folder; survives lost executors."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
+
+
 def local_session(name: str, cpus: int | None = None, shuffle_partitions: int | None = None,
                   memory: str = "12g") -> SparkSession:
     cpus = cpus or os.cpu_count() or 1
