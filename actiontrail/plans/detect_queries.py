@@ -310,7 +310,27 @@ def _builtin_chains(spark, sf):
     return chains.chain_matches(view, R.chain_rules(rules)), R.catalog_frame(spark, rules)
 
 
-@query("W6_builtin_chains")
+def _steps_sql(first: bool) -> str:
+    """The two steps of each shipped chain over the action texts, for the oracle."""
+    rules = (
+        ("permission_denied_then_runtime_bypass", 16, "event_type = 'permission.denied'", "command LIKE 'claude --dangerously%'"),
+        ("privilege_discovery_then_elevation", 32, "command = 'sudo -l' OR command LIKE 'find / -perm%'", "command = 'sudo -i'"),
+        ("workload_identity_then_lateral_execution", 32, "file_path LIKE '/var/run/secrets/%/token'", "command LIKE 'kubectl%exec%'"),
+        ("guardrails_off_then_egress", 64, "elevated", # Short data options compare without case, so `-fsSL` counts as `-F`.
+         "command LIKE '%| curl -d @-%' OR command LIKE 'curl -H %Bearer%' OR command LIKE 'curl -fsSL %'"))
+    return " UNION ALL ".join(
+        f"SELECT 'chain.{name}' AS rule_id, {k} AS k, user_id, pos, event_id FROM n WHERE {one if first else two}"
+        for name, k, one, two in rules)
+
+
+@query("W6_builtin_chains", f"""
+  WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS pos FROM ({ACTIONS_SQL})),
+  s1 AS ({_steps_sql(True)}), s2 AS ({_steps_sql(False)}),
+  pairs AS (SELECT s2.rule_id, s2.user_id, s2.pos, s2.event_id AS final_event_id, arg_min(s1.event_id, s1.pos) AS id1
+    FROM s2 JOIN s1 ON s1.rule_id = s2.rule_id AND s1.user_id = s2.user_id AND s1.pos BETWEEN s2.pos - (s2.k - 1) AND s2.pos - 1
+    GROUP BY ALL)
+  SELECT rule_id, final_event_id, id1 || ',' || final_event_id AS chain FROM (
+    SELECT *, row_number() OVER (PARTITION BY rule_id, user_id ORDER BY pos) AS rn FROM pairs) WHERE rn = 1""")
 def builtin_chains(spark, sf):
     found, _ = _builtin_chains(spark, sf)
     return found.select("rule_id", "final_event_id", F.array_join("cited_event_ids", ",").alias("chain"))

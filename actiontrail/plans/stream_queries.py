@@ -14,7 +14,8 @@ from actiontrail.operators import rules as R
 from actiontrail.operators.chains import ChainRule
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
 from actiontrail.plans.detect_queries import _MATCH_SQL, _NUMBERED, _THREE
-from actiontrail.plans.registry import query
+from actiontrail.plans import scalar_queries  # noqa: F401 - declares the oracle reused below
+from actiontrail.plans.registry import ORACLES, query
 from actiontrail.session import checkpoint_dir
 from actiontrail.sources.records import envelope, read_events, write_records
 from actiontrail.streaming import jobs
@@ -85,7 +86,7 @@ def stream_chains(spark, sf):
     return found.select("rule_id", F.array_join("cited_event_ids", ",").alias("chain"))
 
 
-@query("T6_stream_indicators")
+@query("T6_stream_indicators", f"SELECT type, value, count FROM ({ORACLES['A1_indicators_actions']})")
 def stream_indicators(spark, sf):
     """Cumulative counts; the newest emission per value is the total."""
     live = actions(_Streamed(spark), sf)
