@@ -41,15 +41,16 @@ def carry(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, C
     at = -F.col(order) if backward else F.col(order)
     names = list(values)
     raw = {f"_v{i}": values[n] for i, n in enumerate(names)}
-    rows = df.withColumns({"_at": at.cast("bigint"), **raw}).withColumn(
+    # Null members of a struct key compare as equal, so no row is lost to a null key.
+    rows = df.withColumns({"_g": F.struct(*keys), "_at": at.cast("bigint"), **raw}).withColumn(
         "_slice", F.floor(F.col("_at") / F.lit(slice_rows)))
-    ends = rows.groupBy(*keys, "_slice").agg(*[
+    ends = rows.groupBy("_g", "_slice").agg(*[
         F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_at"))).alias(v) for v in raw])
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    handed = ends.select(*keys, "_slice", *[F.last(v, ignorenulls=True).over(earlier).alias("_h" + v) for v in raw])
-    inside = (Window.partitionBy(*keys, "_slice").orderBy("_at")
+    earlier = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select("_g", "_slice", *[F.last(v, ignorenulls=True).over(earlier).alias("_h" + v) for v in raw])
+    inside = (Window.partitionBy("_g", "_slice").orderBy("_at")
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    joined = rows.join(handed, [*keys, "_slice"])
+    joined = rows.join(handed, ["_g", "_slice"])
     out = joined.withColumns({n: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col("_h" + v))
                               for n, v in zip(names, raw, strict=True)})
-    return out.drop("_at", "_slice", *raw, *["_h" + v for v in raw])
+    return out.drop("_g", "_at", "_slice", *raw, *["_h" + v for v in raw])

@@ -159,7 +159,7 @@ def checkpoints(files: DataFrame, case_id: str | None = None) -> tuple[DataFrame
     p = rows.select("local_path", "sha256", "root", F.posexplode("a").alias("mi", "m")).select(
         "local_path", "sha256", "root", "mi", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("pi", "p"))
     call, resp = F.col("p.functionCall"), F.col("p.functionResponse")
-    p = p.withColumns({"at": F.col("mi") * 10_000 + F.col("pi"), "name": F.coalesce("p.functionCall.name", "p.functionResponse.name"),
+    p = p.withColumns({"at": F.col("mi") * 10_000 + F.col("pi"), "name": F.coalesce("p.functionCall.name", "p.functionResponse.name", F.lit("")),
                        # Calls with and without ids pair among themselves.
                        "own": F.coalesce(blank_to_null(F.col("p.functionCall.id")), blank_to_null(F.col("p.functionResponse.id")), F.lit(""))})
     p = as_of_unmatched(p, ["local_path", "own"], "name", "at", call.isNotNull(), resp.isNotNull(),
