@@ -67,7 +67,7 @@ def filesystem(uri: str):
 
 def put(uri: str, data: bytes) -> None:
     system, path = filesystem(uri)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
@@ -96,7 +96,7 @@ def ranked(df: DataFrame, group: str, order: list[str], buckets: int, to: str) -
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(group).alias("_group"), F.col("_bucket").alias("_at"),
                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.withColumn("_rank", F.row_number().over(inside) - 1)
+    numbered = placed.withColumn("_inside", F.row_number().over(inside) - 1)
     return (numbered.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
-            .withColumn(to, (F.col("_rank") + F.col("_start")).cast("long"))
-            .drop("_bucket", "_rank", "_group", "_at", "_start"))
+            .withColumn(to, (F.col("_inside") + F.col("_start")).cast("long"))
+            .drop("_bucket", "_inside", "_group", "_at", "_start"))

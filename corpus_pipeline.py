@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiontrail.llm import line_dedup, packing, quality
+from actiontrail.llm import decontaminate, line_dedup, packing, quality, set_join
 from actiontrail.llm.shared import saved
 
 
@@ -19,10 +19,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, model).where("kept").select(*docs.columns)
 
 
+def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(like.schema["n_chars"].dataType)).select(*like.columns)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go; the text and its length follow."""
-    return (line_dedup.dedup(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-            .select(*docs.columns))
+    return _counted(line_dedup.dedup(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    return set_join.first_of_classes(docs).select(*docs.columns)
+
+
+def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts; documents that were nothing else go."""
+    found = decontaminate.search(docs, _table(spark, sf_dir, "benchmark"))
+    return _counted(decontaminate.without_spans(found), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +44,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_lines), ("best_fit_packing", pack_sequences)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_lines), ("near_duplicates", near_duplicates),
+          ("decontamination", benchmark_spans), ("best_fit_packing", pack_sequences)]
 
 # The quality stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None
