@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actiontrail.llm import decontaminate, line_dedup, packing, quality, records, set_join, sharding, warc
+from actiontrail.llm import decontaminate, line_dedup, packing, quality, records, set_join, sharding, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_records, op4_warc_bundles, op5_quality_rules, op6_virtual_slots, op7_decontamination,
-    op9_jaccard_join, op10_line_dedup)}
+    op1_best_fit_packing, op2_token_records, op3_suffix_dedup, op4_warc_bundles, op5_quality_rules, op6_virtual_slots,
+    op7_decontamination, op9_jaccard_join, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.SQL}
