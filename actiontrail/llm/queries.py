@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actiontrail.llm import decontaminate, line_dedup, packing, quality, records, set_join, sharding, suffix_dedup, warc
+from actiontrail.llm import decontaminate, html_extract, line_dedup, packing, quality, records, set_join, sharding, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.class_report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_records, op3_suffix_dedup, op4_warc_bundles, op5_quality_rules, op6_virtual_slots,
-    op7_decontamination, op9_jaccard_join, op10_line_dedup)}
+    op7_decontamination, op8_main_text, op9_jaccard_join, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.SQL}
