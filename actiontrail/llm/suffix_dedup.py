@@ -384,7 +384,9 @@ def _heavy_windows(data, offsets, doc, h1, who, at, buckets, send) -> tuple[np.n
     owner = np.repeat(who, LEFT + 1)
     ok = (start >= 0) & (start + LENGTH <= np.diff(offsets)[owner])
     start, owner = start[ok], owner[ok]
-    begin = start + offsets[owner]
+    # A window around two anchors counts once.
+    begin, index = np.unique(start + offsets[owner], return_index=True)
+    start, owner = start[index], owner[index]
     sums, inverse = prefix_hash(data), powers(len(data) + 1)[1]
     second = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(mixed(data.astype(np.uint64) * MIX2 + MIX1) * powers(len(data))[0], out=second[1:])
