@@ -110,7 +110,8 @@ def build_store(keyed: DataFrame, batches: int = BATCHES) -> RunStore:
 
 def dropped_lines(keyed: DataFrame, store: RunStore, min_docs: int = MIN_DOCS) -> DataFrame:
     """_doc, _hash and the numbers of the lines that go."""
-    often = store.totals().where(F.col("n_docs") >= min_docs).select(*HASHES, "top_doc")
+    # Saved, so that the join has an exchange on both sides and Spark can split the lines of a very frequent key.
+    often = saved(store.totals().where(F.col("n_docs") >= min_docs).select(*HASHES, "top_doc"), "often")
     flat = keyed.select("doc_id", "row_hash", F.inline("keys"))
     hit = flat.join(often, list(HASHES)).where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
     return (hit.groupBy(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"))
