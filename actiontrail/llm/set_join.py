@@ -262,7 +262,8 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
 def set_rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, values): the sorted 64-bit shingles of each wanted (node, pick) from (doc_id, text, text_hash)."""
     picks = wanted.select("node", F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
-    rows = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
+    # The same join at every size: a broadcast that only small inputs get would hide what large ones shuffle.
+    rows = keyed.hint("merge").join(picks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
