@@ -193,7 +193,7 @@ def without_spans(found: DataFrame) -> DataFrame:
     cut = F.aggregate(F.arrays_zip(ends.alias("a"), starts.alias("b")), F.lit(b""), lambda out, p: F.concat(
         out, F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
     return (found.where(F.col("n_hit").eqNullSafe(0) | (F.col("n_words") > F.col("n_hit")))
-            .withColumn("text", F.when(F.size("spans") > 0, F.decode(cut, F.lit("UTF-8"))).otherwise(F.col("text"))))
+            .withColumn("text", F.when(F.size("spans") > 0, F.decode(cut, "UTF-8")).otherwise(F.col("text"))))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def leaks(spark):
     items = [(1, "The quick brown fox jumps over the lazy dog near the river bank"), (2, "short phrase here"), (2, "Ünïcode words"), (3, None), (4, "..."),
              (None, "solo"), (5, "the quick brown fox jumps over the lazy dog near"), (6, "a a a a a a a a a a a a")]
     docs = [(1, "Well: THE QUICK brown-fox jumps over the lazy dog near the river, bank!"), (2, "short phrase\nhere"), (3, None), (4, ""), (5, "solo"),
-            (6, "quick brown fox jumps over the lazy dog near the"), (7, "so ünïcode words; " * 3), (8, "a " * 25), (9, "nothing at all"), (9, "nothing at all"),
+            (6, "quick brown fox jumps over the lazy dog near the"), (7, "so Ünïcode WORDS; " * 3), (8, "a " * 25), (9, "nothing at all"), (9, "nothing at all"),
             (None, "xx solo yy " + "z" * 100_000)]
     return (spark.createDataFrame([(i, t, "e") for i, t in items], "item_id long, text string, extra string"), items,
             spark.createDataFrame([(d, t, "s", 2) for d, t in docs], "doc_id long, text string, spans string, n_hit int"), docs)
@@ -107,7 +107,7 @@ def test_leaks(spark):
 def test_cut_spans(spark):
     bench, items, table, docs = leaks(spark)
     kept = {r.doc_id: r.text for r in decontaminate.without_spans(decontaminate.search(table, bench)).collect()}
-    assert kept[1] == "Well: !" and kept[9] == "nothing at all" and kept[6] == docs[5][1] and 5 not in kept and 2 not in kept
+    assert kept[1] == "Well: !" and kept[9] == "nothing at all" and 6 not in kept and 5 not in kept and 2 not in kept
     assert kept[7].split() == ["so", ";", "so", ";", "so", ";"] and kept[3] is None
 
 
