@@ -2,8 +2,8 @@
 
 A record file holds, for each document, an unsigned 64-bit length, its masked CRC-32C, the payload and the
 payload's masked CRC-32C (the framing that readers of TFRecord files know). The payload is the document's id
-(signed 64-bit), a flag byte (1: the id is null), three zero bytes, the number of ids (unsigned 32-bit) and the ids
-(little-endian unsigned 32-bit). Beside `x.rec` lies `x.idx`: (offset, payload length) as two unsigned 64-bit numbers
+(signed 64-bit), a flag byte (1: the id is null), a width byte (2 or 4), two zero bytes, the number of ids (unsigned
+32-bit) and the ids, little-endian and unsigned, in the smallest width that holds them all. Beside `x.rec` lies `x.idx`: (offset, payload length) as two unsigned 64-bit numbers
 for each record, so a reader can fetch records in any order without reading the file through.
 
 `write` deals texts by ranges of doc_id, so file order is doc_id order (nulls first; equal ids by text). Each task
@@ -30,7 +30,7 @@ from actiontrail.llm.tokens import default_tokenizer, encoder
 END_ID = 2
 FILE_BYTES = 32 << 20
 HEAD, HEAD_BYTES = "<QI", 12
-FRONT, FRONT_BYTES = "<qB3xI", 16
+FRONT, FRONT_BYTES = "<qBB2xI", 16
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -50,6 +50,22 @@ def unframe(data: bytes, at: int) -> tuple[memoryview, int]:
     return payload, begin + size + 4
 
 
+def payload_of(doc: int | None, raw: bytes) -> bytes:
+    """From little-endian unsigned 32-bit ids."""
+    ids = np.frombuffer(raw, "<u4")
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return struct.pack(FRONT, doc or 0, doc is None, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+
+
+def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
+    """The document's id and its ids, unsigned 32-bit."""
+    doc, null, width, n = struct.unpack_from(FRONT, payload)
+    ids = np.frombuffer(payload[FRONT_BYTES:], f"<u{width}").astype("<u4")
+    if len(ids) != n:
+        raise ValueError("a record's ids do not fit their number")
+    return None if null else doc, ids
+
+
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes record and index files; returns their manifest (saved, one row per file)."""
     spark = docs.sparkSession
@@ -76,7 +92,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, f
                 own = batch.slice(at, 500)
                 for doc, raw in zip(own.column(0).to_pylist(), coder.encode(own.column(1).to_pylist())):
                     raw += end
-                    record = frame(struct.pack(FRONT, doc or 0, doc is None, len(raw) // 4) + raw)
+                    record = frame(payload_of(doc, raw))
                     data.append(record)
                     index.append((size, len(record) - 16))
                     tokens, size = tokens + len(raw) // 4, size + len(record)
@@ -104,11 +120,11 @@ def read(manifest: DataFrame) -> DataFrame:
                     ids, docs, befores, first, size = [], [], [], place, 0
                     while at < len(data) and size < 4 << 20:
                         payload, at = unframe(data, at)
-                        doc, null, n = struct.unpack_from(FRONT, payload)
-                        docs.append(None if null else doc)
+                        doc, own = ids_of(payload)
+                        docs.append(doc)
                         befores.append(before)
-                        ids.append(bytes(payload[FRONT_BYTES:]))
-                        before, place, size = before + n, place + 1, size + len(payload)
+                        ids.append(own.tobytes())
+                        before, place, size = before + len(own), place + 1, size + len(payload)
                     many = len(docs)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs, pa.int64()), pa.array([row["part"]] * many, pa.int32()),
@@ -127,8 +143,7 @@ def fetch(path: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
     for place in places:
         start, size = (int(x) for x in index[place])
         payload, _ = unframe(get(f"{path}.rec", start, size + 16), 0)
-        doc, null, _ = struct.unpack_from(FRONT, payload)
-        out.append((None if null else doc, np.frombuffer(payload[FRONT_BYTES:], "<u4")))
+        out.append(ids_of(payload))
     return out
 
 
