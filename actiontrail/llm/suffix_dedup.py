@@ -86,7 +86,10 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def gram_blocks(keyed: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, key hashes, counts, gram hashes, places): a slice of texts sends one row to each bucket it has grams for."""
+    """(bucket, key hashes, counts, gram hashes, places): a slice of texts sends one row to each bucket it has grams for.
+
+    Half a hash is enough here: beside the bucket, equal halves only let a suffix travel that has no duplicate after all.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
             key = np.asarray(part.column(0)).view(np.uint64)
@@ -100,7 +103,7 @@ def gram_blocks(keyed: DataFrame, buckets: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 own = order[bounds[b]:bounds[b + 1]]
                 who, counts = np.unique(owner[own], return_counts=True)
-                for out, value in zip(rows, (b, key[who].tobytes(), counts.astype(np.uint32).tobytes(), gram[own].tobytes(),
+                for out, value in zip(rows, (b, key[who].tobytes(), counts.astype(np.uint32).tobytes(), (gram[own] >> np.uint64(32)).astype(np.uint32).tobytes(),
                                              (at[own] - offsets[owner[own]]).astype(np.uint32).tobytes())):
                     out.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])],
@@ -120,7 +123,7 @@ def shared_anchors(blocks: DataFrame, heavy: int) -> DataFrame:
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = table.slice(first, last - first)
                 key, counts = _joined(own.column(1), "<u8"), _joined(own.column(2), "<u4")
-                gram, place = _joined(own.column(3), "<u8"), _joined(own.column(4), "<u4")
+                gram, place = _joined(own.column(3), "<u4"), _joined(own.column(4), "<u4")
                 order = np.argsort(gram, kind="stable")
                 sorted_gram = gram[order]
                 new = np.ones(len(gram), bool)
@@ -289,6 +292,9 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
     """From (doc, h1, text, places): front-coded runs for each bucket (kind 0), windows of heavy grams (kind 1), and
     what a slice can tell alone (kind 2: spans of suffixes that it holds twice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         for part in parts(batches, 2, 2 << 20):
             doc, h1 = (np.asarray(part.column(k)).astype(np.int64) for k in (0, 1))
             data, offsets = texts(part.column(2))
@@ -305,7 +311,7 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
             out: list[list] = [[] for _ in range(7)]
 
             def send(bucket: int, kind: int, *blobs: bytes) -> None:
-                for column, v in zip(out, (bucket, kind, *blobs)):
+                for column, v in zip(out, (bucket, kind, *(pack.compress(b) for b in blobs))):
                     column.append(v)
 
             local = []
@@ -346,7 +352,7 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
             if local:
                 d, h, a, z = (np.concatenate([x[k] for x in local]) for k in range(4))
                 if len(d):
-                    send(-1, 2, b"", b"", b"", b"", np.stack([d, h, a, z], 1).astype("<i8").tobytes())
+                    send(int(d[0] ^ h[0]) % buckets, 2, b"", b"", b"", b"", np.stack([d, h, a, z], 1).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()),
                                               *(pa.array(c, pa.binary()) for c in out[2:])],
                                              names=["bucket", "kind", "shared", "rest", "before", "records", "spans"])
@@ -415,16 +421,24 @@ def merged_spans(runs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, h, a, z)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+
+        def blobs(column: pa.ChunkedArray) -> list[bytes]:
+            return [unpack.decompress(b) for b in column.to_pylist()]
+
         for table, bounds in runs_of(batches, 2, 1):
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = table.slice(first, last - first)
                 kind = own.column(1)[0].as_py()
                 if kind == 2:
-                    spans = _joined(own.column(6), "<i8").reshape(-1, 4)
+                    spans = np.frombuffer(b"".join(blobs(own.column(6))), "<i8").reshape(-1, 4)
                     yield rows_of(*spans.T)
                     continue
+                records = np.frombuffer(b"".join(blobs(own.column(5))), WINDOW if kind == 1 else RECORD)
                 if kind == 1:
-                    r = _joined(own.column(5), WINDOW)
+                    r = records
                     by = np.lexsort((r["place"], r["h1"], r["doc"], r["k2"], r["k1"]))
                     r = r[by]
                     hit = np.zeros(len(r), bool)
@@ -433,14 +447,14 @@ def merged_spans(runs: DataFrame) -> DataFrame:
                     yield rows_of(r["doc"][hit], r["h1"][hit], start, start + LENGTH)
                     continue
                 rows, ready = [], []
-                for shared, rest in zip(own.column(2).to_pylist(), own.column(3).to_pylist()):
+                for shared, rest in zip(blobs(own.column(2)), blobs(own.column(3))):
                     full, lengths = unpacked(shared, rest)
                     rows.append(full)
                     raw = full.tobytes()
                     ready.append(([raw[k:k + LENGTH] for k in range(0, len(raw), LENGTH)], lengths.tolist()))
                 order, shared = (np.asarray(x, np.int64) for x in merge(ready))
-                records = _joined(own.column(5), RECORD)[order]
-                left = _joined(own.column(4), np.uint8).reshape(-1, LEFT)[order]
+                records = records[order]
+                left = np.frombuffer(b"".join(blobs(own.column(4))), np.uint8).reshape(-1, LEFT)[order]
                 rank = np.empty(len(order), np.int64)
                 rank[np.lexsort((records["place"], records["h1"], records["doc"]))] = np.arange(len(order))
                 deep, shallow = judged(np.concatenate(rows)[order], shared, left, records["right"], records["left"], rank)
@@ -448,11 +462,8 @@ def merged_spans(runs: DataFrame) -> DataFrame:
                 place = records["place"][hit].astype(np.int64)
                 yield rows_of(records["doc"][hit], records["h1"][hit], place - deep[hit], place - shallow[hit] + LENGTH)
 
-    # Spans that a slice found alone (bucket -1) stay where they are; they need no others.
-    alone = runs.where("kind = 2").mapInArrow(run, "doc long, h1 long, start long, end long")
-    dealt = (runs.where("kind < 2").repartition(spread_count(runs), "bucket", "kind")
-             .sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc long, h1 long, start long, end long"))
-    return alone.unionByName(dealt)
+    return (runs.repartition(spread_count(runs), "bucket", "kind")
+            .sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc long, h1 long, start long, end long"))
 
 
 def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -469,7 +480,7 @@ def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     gathered = again.groupBy("key").agg(F.collect_list("places").alias("places"))
     late = copies.select(F.xxhash64("doc", "h1").alias("key"))
     wanted = gathered.join(late, "key", "left_anti")
-    runs = saved(suffix_runs(hashed.join(wanted, "key").select("doc", "h1", "text", "places"), buckets), "suffix-runs")
+    runs = suffix_runs(hashed.hint("merge").join(wanted, "key").select("doc", "h1", "text", "places"), buckets)
     found = (merged_spans(runs).groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     return found.withColumn("whole", F.lit(False)).unionByName(
         copies.select("doc", "h1", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("found"), F.lit(True).alias("whole")))
