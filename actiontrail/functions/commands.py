@@ -6,8 +6,10 @@ into words and redirects. Operands are kept twice: as an array, and as one
 string in which every operand stands between unit separators, so positional
 predicates become ordinary regular expressions.
 
-Text outside the subset (here-documents, control flow, unbalanced quotes) is
-marked not analysable, and command predicates then abstain.
+What stands outside the subset does not hide the rest: control words are taken
+off the simple commands they lead, the bodies of closed here-documents are data,
+and of a text with an unclosed quote the statements before it are kept.
+`command_notes` says what was not read, and such a text is never static.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from actiontrail.functions.scalars import let
 US = "\x1f"     # stands on both sides of every operand
 INERT = "\x1e"  # precedes an operand whose leading ~, $ or % cannot expand
 
-# Analysis bounds.
-MAX_BYTES = 256 << 10
-MAX_STATEMENTS = 64
-MAX_ITEMS = 512
+# Commands inside commands (`sh -c`, substitutions) are followed this many levels
+# below the text itself; what lies deeper is noted.
+MAX_DEPTH = 3
+# Statement numbers of one nested source; a source with more only shares pipeline numbers.
+_SOURCE_ROOM = 1 << 20
 
 _SQ = r"'[^']*+'"
-_PAREN = r"\((?:[^()'\"]++|'[^']*+'|\"[^\"]*+\"|\([^()]*+\))*+\)"
+_INSIDE = r"[^()'\"]++|'[^']*+'|\"[^\"]*+\""
+_PAREN = r"\([^()]*+\)"
+for _ in range(MAX_DEPTH + 1):
+    _PAREN = r"\((?:" + _INSIDE + "|" + _PAREN + r")*+\)"
 _SUBST = r"\$" + _PAREN
 _TICK = r"`[^`]*+`"
 _DQ = r"\"(?:[^\"\\$`]++|\\.|" + _SUBST + "|" + _TICK + r"|\$)*+\""
@@ -39,9 +45,19 @@ _STATEMENT = (r"(?s)((?:" + _QUOTED + r"|[<>]&|&>>?|>\||\\\n|[^;&|\n'\"\\`])++)"
 _REDIRECT = r"[0-9]*(?:<<<|<<-?|<>|<&|>&|>>|>\||<|>)|&>>?"
 _TOKEN = (r"(?s)" + _REDIRECT + r"|(?:" + _QUOTED + r"|[^\s<>'\"\\`&]|&(?!>))++")
 _ASSIGNMENT = r"(?s)\A([A-Za-z_][A-Za-z0-9_]*)(\+?)=(.*)\z"
-# Words that open control flow in the shell grammar.
-_CONTROL = (r"\A\s*(?:if|then|elif|else|fi|for|while|until|do|done|case|esac|select|function|"
-            r"\{|\}|\(|\)|\[\[)(?:\s|\z)|\A\s*\(|\A\s*[A-Za-z_:][A-Za-z0-9_:]*\s*\(\)")
+_READABLE = r"(?s)\A((?:" + _QUOTED + r"|[^'\"\\`])*+)"
+# A closed here-document: its operator and word stay, its body goes.
+_HERE_DOC = (r"(?s)((?:" + _QUOTED + r"|[^'\"\\`<]|<<<|<(?!<))++)|(<<-?)[ \t]*(['\"]?)([A-Za-z_]\w*)\3([^\n]*)"
+             r"\n(?:.*?\n)??\t*\4[ \t]*(?=\n|\z)|(<)")
+# Words of the shell grammar that stand before a command or alone.
+_LEAD = (r"(?s)\A(?:\s|case\s+(?:" + _QUOTED + r"|[^\s;'\"\\`])++\s+in(?=\s)|(?:if|then|elif|else|while|until|do|time|!|\{)(?=\s)|\((?!\()|"
+         r"(?:function\s+)?[A-Za-z_:][A-Za-z0-9_:]*\s*\(\)|[^\s()'\"$`;|&<>=]+\)(?=\s))++")
+_ALONE = (r"(?s)\A\s*(?:(?:fi|done|esac)(?=[\s)}<>]|\z).*|(?:then|else|do|\{|\}|\)|;;)(?=[\s)}]|\z)[\s)}]*\z|(?:for|case|select|function)\s.*"
+          r"|[\s){}]*\z)")
+_CONTROL = r"(?s)\A\s*(?:if|then|elif|else|fi|for|while|until|do|done|case|esac|select|function|\{|\}|\(|\[\[)(?:\s|\z)|\A\s*\("
+
+_CONTROL_ANYWHERE = (r"(?:\A|[;&|\n])\s*(?:(?:if|then|elif|else|fi|for|while|until|do|done|case|esac|select|function|\{|\}|\[\[)(?:\s|\z)"
+                     r"|\(|[A-Za-z_:][A-Za-z0-9_:]*\s*\(\))")
 
 # Launchers and the options they take before the real command.
 _ASSIGN_WORD = r"[A-Za-z_][A-Za-z0-9_]*=[^\x1f]*"
@@ -63,14 +79,17 @@ _LAUNCHER_NAMES = r"(?:\A|\x1f|/)(sudo|doas|env|exec|command|nohup)(?=\x1f)"
 
 _SHELLS = r"\A(?:ba|z|da|k)?sh\z"
 _INLINE = r"(?s)\A\x1f(?:-[a-bd-zA-Z]+\x1f)*-[a-zA-Z]*c\x1f([^\x1f]*)"
-_SUBST_BODY = r"(?s)\$\(((?:[^()'\"]++|'[^']*+'|\"[^\"]*+\"|\([^()]*+\))*+)\)|`([^`]*+)`"
+_SUBST_BODY = r"(?s)\$\(((?:" + _INSIDE + "|" + _PAREN + r")*+)\)|`([^`]*+)`"
 
 
 def _plain(word: Column) -> Column:
     """Word text with its quoting removed; nothing is expanded."""
     open_ = F.regexp_replace(
         word, r"(?s)'([^']*+)'|\"((?:[^\"\\]++|\\.)*+)\"|\\\n|\\([^A-Za-z0-9])", "$1$2$3")
-    return F.when(word.rlike(r"['\"\\]"), open_).otherwise(word)
+    # Inside double quotes a backslash only guards a quote, a backslash, `$` and a backtick.
+    whole = F.regexp_replace(F.substring(word, F.lit(2), F.length(word) - 2), r"\\([\"\\$`])", "$1")
+    return (F.when(word.rlike(r"(?s)\A\"(?:[^\"\\]++|\\.)*+\"\z"), whole)
+            .when(word.rlike(r"['\"\\]"), open_).otherwise(word))
 
 
 def _operand(word: Column) -> Column:
@@ -146,15 +165,28 @@ def _build(raw: Column, ident: Column, pipeline: Column, parent: Column) -> Colu
     return let(tokens, from_tokens)
 
 
+def _body(piece: Column) -> Column:
+    """The simple command of a piece of text: without leading control words and surplus closing brackets."""
+    bare = F.trim(F.regexp_replace(piece, _LEAD, ""))
+    opened = F.length(F.regexp_replace(bare, r"[^(]", "")) < F.length(F.regexp_replace(bare, r"[^)]", ""))
+    led = piece.rlike(_CONTROL) | opened | piece.rlike(r"\A\s*(?:!|time\s|[A-Za-z_:][A-Za-z0-9_:]*\s*\(\)|[^\s()'\"$`;|&<>=]+\)\s)")
+    closed = F.when(opened, F.regexp_replace(bare, r"\)+\s*\z", "")).otherwise(bare)
+    return F.when(~led, F.trim(piece)).when(bare.rlike(_ALONE), "").otherwise(closed)
+
+
 def _parse(text: Column, base: Column, parent: Column) -> Column:
     """Statements of one source text, numbered upward from `base`."""
-    clean = F.when(text.contains("#"), F.regexp_replace(text, _COMMENT, "$1")).otherwise(text)
+    plain = F.when(text.contains("<<"), F.regexp_replace(text, _HERE_DOC, "$1$2$4$5$6")).otherwise(text)
+    clean = F.when(text.contains("#"), F.regexp_replace(plain, _COMMENT, "$1")).otherwise(plain)
+    readable = F.when(clean.rlike(_LEX), clean).otherwise(F.concat(F.regexp_extract(clean, _READABLE, 1), F.lit("\x00")))
 
     def cut(src: Column) -> Column:
         parts = F.arrays_zip(
             F.regexp_extract_all(src, F.lit(_STATEMENT), F.lit(1)).alias("raw"),
             F.regexp_extract_all(src, F.lit(_STATEMENT), F.lit(2)).alias("sep"))
-        return let(F.filter(parts, lambda p: F.trim(p["raw"]) != ""), number)
+        named = F.transform(F.filter(parts, lambda p: ~p["raw"].contains("\x00")),
+                            lambda p: F.struct(_body(p["raw"]).alias("raw"), p["sep"].alias("sep")))
+        return let(F.filter(named, lambda p: p["raw"] != ""), number)
 
     def number(parts: Column) -> Column:
         piped = lambda p: F.coalesce(p["sep"].isin("|", "|&"), F.lit(False))
@@ -164,11 +196,11 @@ def _parse(text: Column, base: Column, parent: Column) -> Column:
             group = F.size(F.filter(earlier, lambda q: ~piped(q))) + 1
             joined = piped(p) | piped(F.get(parts, i - 1))
             pipeline = F.when((i > 0) & joined | piped(p), base + group).otherwise(F.lit(0))
-            return _build(F.trim(p["raw"]), base + i + 1, pipeline, parent)
+            return _build(p["raw"], base + i + 1, pipeline, parent)
 
-        return F.transform(F.slice(parts, 1, MAX_STATEMENTS + 1), one)
+        return F.transform(parts, one)
 
-    return let(clean, cut)
+    return let(readable, cut)
 
 
 def _nested_sources(st: Column) -> Column:
@@ -181,20 +213,22 @@ def _nested_sources(st: Column) -> Column:
     return F.filter(F.concat(active, script), lambda s: F.trim(s) != "")
 
 
-def _expand(statements: Column) -> Column:
-    """Statements nested one level inside `statements`."""
-    return F.flatten(F.transform(statements, lambda st: F.flatten(F.transform(
+def _expand(statements: Column, first: Column) -> Column:
+    """Statements nested one level inside `statements`, numbered upward from `first`."""
+    found = F.flatten(F.transform(statements, lambda st: F.flatten(F.transform(
         _nested_sources(st),
-        lambda src, j: _parse(src, st["statement_id"] * 1000 + j * (MAX_STATEMENTS + 1),
-                              st["statement_id"])))))
+        lambda src, j: _parse(src, (st["statement_id"] * 1024 + j) * _SOURCE_ROOM, st["statement_id"])))))
+    return F.transform(found, lambda st, i: st.withField("statement_id", (first + i + 1).cast("bigint")))
 
 
-def analysable(text: Column, statements: Column) -> Column:
+def notes(text: Column, statements: Column, deeper: Column) -> Column:
+    """What of the text was not read as simple commands; empty where everything was."""
     here_doc = F.exists(statements, lambda s: F.exists(s["redirects"], lambda r: r["op"] == "here_doc"))
-    control = F.exists(statements, lambda s: s["source"].rlike(_CONTROL))
-    too_long = F.exists(statements, lambda s: F.size(s["operands"]) >= MAX_ITEMS)
-    return ((F.octet_length(text) <= MAX_BYTES) & text.rlike(_LEX) & (F.size(statements) > 0)
-            & (F.size(statements) <= MAX_STATEMENTS) & ~here_doc & ~control & ~too_long)
+    bare = F.regexp_replace(text, r"(?s)\\\\.|" + _SQ + "|" + _DQ, "")
+    control = bare.rlike(_CONTROL_ANYWHERE)
+    found = {"unclosed quote": ~text.rlike(_LEX), "here-document": here_doc, "control flow": control,
+             "nested too deep": deeper, "no command": F.size(statements) == 0}
+    return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(name)) for name, hit in found.items()]))
 
 
 def static_subset(statements: Column) -> Column:
@@ -210,21 +244,20 @@ def static_subset(statements: Column) -> Column:
 
 
 def command_columns(df: DataFrame, text: str = "command", only: Column | None = None) -> DataFrame:
-    """Add `commands`, `analysable`, `command_static` for a command text.
+    """Add `commands`, `command_notes`, `analysable` and `command_static` for a command text.
 
-    `only` restricts the work to the rows command predicates look at.
+    `only` restricts the work to the rows command predicates look at. `analysable`: nothing was left unread.
     """
     wanted = F.col(text).isNotNull() if only is None else (only & F.col(text).isNotNull())
     x = _expressions(text, df.sparkSession.sparkContext.applicationId)
-    df = df.withColumn("_top", F.when(wanted & (F.octet_length(text) <= MAX_BYTES), x["top"]))
-    df = df.withColumn("_sub", F.when(x["deep"], x["sub"]))
-    df = df.withColumn("_sub2", F.when(x["deeper"], x["sub2"]))
-    none = F.slice("_top", 1, 0)
-    df = df.withColumn("_all", F.concat("_top", F.coalesce("_sub", none), F.coalesce("_sub2", none)))
-    df = df.withColumn("analysable", F.coalesce(x["analysable"], F.lit(False)))
-    return (df.withColumn("commands", F.when(F.col("analysable"), F.col("_all")))
-            .withColumn("command_static", F.coalesce(F.col("analysable") & x["static"], F.lit(False)))
-            .drop("_top", "_sub", "_sub2", "_all"))
+    df = df.withColumn("_l0", F.when(wanted, x["top"]))
+    for k in range(1, MAX_DEPTH + 1):
+        df = df.withColumn(f"_l{k}", F.coalesce(F.when(x[f"deep{k}"], x[f"level{k}"]), F.slice("_l0", 1, 0)))
+    df = df.withColumn("commands", F.concat(*[f"_l{k}" for k in range(MAX_DEPTH + 1)]))
+    df = df.withColumn("command_notes", F.when(F.col("commands").isNotNull(), x["notes"]))
+    df = df.withColumn("analysable", F.coalesce(F.size("command_notes") == 0, F.lit(False)))
+    return (df.withColumn("command_static", F.coalesce(F.col("analysable") & x["static"], F.lit(False)))
+            .drop(*[f"_l{k}" for k in range(MAX_DEPTH + 1)]))
 
 
 @lru_cache(maxsize=16)
@@ -232,11 +265,32 @@ def _expressions(text: str, application: str) -> dict[str, Column]:
     """The parser's columns, built once per application: they depend on column
     names only, and describing them to the JVM takes seconds."""
     nested = r"\$\(|`|sh[\"']?\s.*-[a-zA-Z]*c"
-    return {
-        "top": _parse(F.col(text), F.lit(0), F.lit(0)), "deep": F.col(text).rlike(nested),
-        "sub": _expand(F.col("_top")), "deeper": F.exists("_sub", lambda s: s["source"].rlike(nested)),
-        "sub2": _expand(F.col("_sub")), "analysable": analysable(F.col(text), F.col("_all")),
-        "static": static_subset(F.col("_all"))}
+    out = {"top": _parse(F.col(text), F.lit(0), F.lit(0)), "static": static_subset(F.col("commands"))}
+    before = F.lit(0)
+    for k in range(1, MAX_DEPTH + 2):
+        above = F.col(f"_l{k - 1}")
+        out[f"deep{k}"] = F.col(text).rlike(nested) & F.exists(above, lambda s: s["source"].rlike(r"(?s)" + nested))
+        before = before + F.size(above)
+        if k <= MAX_DEPTH:
+            out[f"level{k}"] = _expand(above, before)
+    deeper = F.exists(F.col(f"_l{MAX_DEPTH}"), lambda s: F.size(_nested_sources(s)) > 0)
+    out["notes"] = notes(F.col(text), F.col("commands"), deeper)
+    return out
+
+
+def pipeline_pairs(commands: Column) -> Column:
+    """(upstream, downstream) names of statements that feed later ones of their pipeline."""
+    return F.flatten(F.transform(commands, lambda a: F.transform(
+        F.filter(commands, lambda b: (a["pipeline_id"] > 0) & (b["pipeline_id"] == a["pipeline_id"])
+                 & (b["statement_id"] > a["statement_id"])),
+        lambda b: F.struct(a["name"].alias("upstream"), b["name"].alias("downstream")))))
+
+
+def nested_pairs(commands: Column) -> Column:
+    """(outer_name, inner_name) of statements and those written inside them."""
+    return F.flatten(F.transform(commands, lambda a: F.transform(
+        F.filter(commands, lambda b: b["parent_statement_id"] == a["statement_id"]),
+        lambda b: F.struct(a["name"].alias("outer_name"), b["name"].alias("inner_name")))))
 
 
 def statements(df: DataFrame, key: str = "event_id") -> DataFrame:

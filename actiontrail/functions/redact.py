@@ -99,8 +99,8 @@ def _keys(char, noise: str) -> str:
         (noise + "*+").join(char(ch) for ch in key) for key in CREDENTIAL_KEYS) + ")"
 
 
-_ENC_BOUND = (r"%(?:25){0,4}(?:26|3f|3b|23|22|27|60|3c|3e|5c|2c|3d)")
-_ENC_NOISE = r"%(?:25){0,4}(?:0[0-9a-f]|1[0-9a-f]|20|2b|7f)"
+_ENC_BOUND = (r"%(?:25){0,64}(?:26|3f|3b|23|22|27|60|3c|3e|5c|2c|3d)")
+_ENC_NOISE = r"%(?:25){0,64}(?:0[0-9a-f]|1[0-9a-f]|20|2b|7f)"
 _PLAIN_KEY = (r"(?i)((?<=\A|[" + _BOUND + r"]|" + _NOISE + r")" + _keys(_plain_char, _NOISE) +
               r"(?=" + _NOISE + r"|=)[^" + _BOUND + r"]*+=)" + _VALUE)
 _ENC_ANY_NOISE = "(?:" + _NOISE + "|" + _ENC_NOISE + ")"

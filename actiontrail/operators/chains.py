@@ -53,6 +53,11 @@ def ring_size(rules: Sequence[ChainRule]) -> int:
     return max([MIN_RING, *[r.within_events or 0 for r in rules]])
 
 
+# Columns of a completing event that its finding renders.
+FINAL_COLUMNS = ("case_id", "timestamp", "source_agent", "source_type", "project_path", "session_id", "model", "model_provider",
+                 "sub_agent", "event_type", "actor", "command", "file_path", "url", "mcp_server", "mcp_tool", "content_preview")
+
+
 def correlation_key() -> Column:
     """16-byte group key, null for events that must not be correlated.
 
@@ -88,10 +93,15 @@ def numbered_hits(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool =
     for n in names:
         hit = hit | (F.col(n) != 0)
     link = F.struct("event_id", "evidence", "tags", "confidence")
+    ends = F.lit(False)
+    for name, rule in zip(names, rules, strict=True):
+        ends = ends | _bit(name, len(rule.steps) - 1)
+    # What a finding shows of its completing event travels with the hit.
+    final = F.struct(*[c for c in FINAL_COLUMNS if c in events.columns])
     rows = (events.withColumns(masks)
             .select(correlation_key().alias("_key"), F.col(SEQ), "event_id",
                     F.unix_micros(parsed_instant("timestamp")).alias("_ts"),
-                    F.when(hit, link).alias("_link"), *names)
+                    F.when(hit, link).alias("_link"), F.when(ends, final).alias("_event"), *names)
             .where(F.col("_key").isNotNull()))
     if dedupe:
         rows = first_per_id(rows, ["_key", "event_id"], SEQ)
@@ -174,7 +184,7 @@ def cap_matches(chains: DataFrame, rules: Sequence[ChainRule]) -> DataFrame:
 def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool = True,
                   capped: bool = True, slice_rows: int = SLICE_ROWS,
                   block_rows: int | None = None) -> DataFrame:
-    """Matched chains: `rule_id`, ordered `links`, `final_event_id`.
+    """Matched chains: `rule_id`, ordered `links`, `final_event_id`, `final_event` (FINAL_COLUMNS).
 
     The step-matching events are few but cost a pass over everything, and they
     are read twice (to find chains and to cite their events), so they are saved
@@ -185,12 +195,13 @@ def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool =
     if capped:
         chains = cap_matches(chains, rules)
     cited = chains.select("_key", "_final", "rule_idx", F.posexplode("_chain").alias("_at", "_pos"))
-    links = cited.join(hits.select("_key", "_pos", "_link"), ["_key", "_pos"])
+    links = cited.join(hits.select("_key", "_pos", "_link", "_event"), ["_key", "_pos"])
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     # A chain has at most eight links, so the list is bounded.
     return (links.groupBy("_key", "rule_idx", "_final")
-            .agg(F.array_sort(F.collect_list(F.struct("_at", "_link"))).alias("_l"))
+            .agg(F.array_sort(F.collect_list(F.struct("_at", "_link"))).alias("_l"),
+                 F.max(F.struct("_at", "_event"))["_event"].alias("final_event"))
             .select(F.element_at(ids, F.col("rule_idx") + 1).alias("rule_id"),
-                    F.transform("_l", lambda x: x["_link"]).alias("links"))
+                    F.transform("_l", lambda x: x["_link"]).alias("links"), "final_event")
             .withColumn("final_event_id", F.element_at("links", -1)["event_id"])
             .withColumn("cited_event_ids", F.transform("links", lambda x: x["event_id"])))

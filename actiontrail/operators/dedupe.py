@@ -1,8 +1,8 @@
 """Keep-first, keep-last and conflict checks by id.
 
-All three are two-phase hash aggregates over narrow keys. A window would send
-every copy of a repeated id to one task; an aggregate sends one partial row
-per task and id.
+Only ids and orders are aggregated, in buffers of fixed width that hash
+aggregation can hold; whole rows then meet the kept orders in a join, whose
+large side Spark may split. A window would send every copy of a repeated id to one task.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from actiontrail.functions.scalars import present
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: str, last: bool) -> DataFrame:
-    body = F.struct(*[c for c in df.columns if c not in keys])
-    choose = F.max_by if last else F.min_by
-    kept = df.groupBy(*keys).agg(choose(body, F.col(order)).alias("_row"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c)
-                         for c in df.columns])
+    """`order` is unique among the rows of a key."""
+    choose = F.max if last else F.min
+    kept = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(choose(order).alias("_o"))
+    same = F.col(order) == F.col("_o")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(kept, same, "left_semi")
 
 
 def first_per_id(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
@@ -43,11 +45,21 @@ def upsert(messages: DataFrame, key: str | Sequence[str], order: str,
     `first` columns the oldest version that carries them."""
     keys = [key] if isinstance(key, str) else list(key)
     o = F.col(order)
-    aggs = [F.max_by(F.struct(*last), o).alias("_last")]
-    aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(c) for c in first]
-    aggs.append(F.count("*").alias("versions"))
-    out = messages.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in last], *first, "versions")
+    # Which version each column comes from: numbers only, so the aggregate hashes.
+    marks = [F.max(o).alias("_last"), *[F.min(F.when(F.col(c).isNotNull(), o)).alias(f"_first{i}") for i, c in enumerate(first)]]
+    kept = messages.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*marks, F.count("*").alias("versions"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    wanted = o == F.col("_last")
+    for i in range(len(first)):
+        wanted = wanted | (o == F.col(f"_first{i}"))
+    rows = messages.join(kept, same & wanted)
+    # At most one row for each mark is left of a key.
+    aggs = [F.max(F.when(o == F.col("_last"), F.struct(*last))).alias("_row")]
+    aggs += [F.max(F.when(o == F.col(f"_first{i}"), F.col(c))).alias(c) for i, c in enumerate(first)]
+    out = rows.groupBy(*keys).agg(*aggs, F.max("versions").alias("versions"))
+    return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in last], *first, "versions")
 
 
 def content_digest(df: DataFrame, ignore: Sequence[str] = ()) -> Column:

@@ -53,12 +53,10 @@ def from_matches(matches: DataFrame, detected_at: Column) -> DataFrame:
         "finding_confidence": F.col("confidence")}), detected_at)
 
 
-def from_chains(chains: DataFrame, events: DataFrame, catalog: DataFrame,
-                detected_at: Column) -> DataFrame:
-    """Join the few completed chains back to their completing events."""
-    finals = chains.join(events, chains["final_event_id"] == events["event_id"])
+def from_chains(chains: DataFrame, catalog: DataFrame, detected_at: Column) -> DataFrame:
+    """Findings of completed chains, which carry their completing events."""
     # The catalogue is bounded by the number of rule files.
-    rows = finals.join(F.broadcast(catalog), "rule_id")
+    rows = chains.select("*", "final_event.*").drop("final_event").join(F.broadcast(catalog), "rule_id")
     links = F.col("links")
     rows = rows.withColumns({
         "finding_tags": merge_tags("rule_tags", F.flatten(F.transform(

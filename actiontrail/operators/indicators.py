@@ -62,27 +62,34 @@ def observations(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
                  F.lit(name == "content_preview").alias("markdown"))
         for i, name in enumerate(FIELDS)]), lambda f: f["text"] != "")
     rows = events.select(
-        "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ,
+        "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ, arrival().alias("_arrival"),
         F.explode(fields).alias("field"))
     mined = mine_text(rows.withColumn("_text", F.col("field.text")), "_text",
                       F.col("field.markdown"), limits)
     found = mined.select(
-        "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ,
+        "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ, "_arrival",
         F.col("field.pos").alias("pos"), "truncated",
         F.explode_outer("indicators").alias("i")).where(F.col("i").isNotNull()).select(
             "*", "i.type", "i.value").drop("i")
     return first_copies(found, events)
 
 
+def arrival() -> Column:
+    """An order of arrival that holds across files."""
+    return F.struct(F.col(SEQ).alias("seq"), F.coalesce(F.col("evidence.local_path"), F.lit("")).alias("path"),
+                    F.coalesce(F.col("evidence.line"), F.lit(-1)).cast("bigint").alias("line"))
+
+
 def first_copies(found: DataFrame, events: DataFrame) -> DataFrame:
     """Keep observations of the first event of each id.
 
     Texts are mined where they lie; only ids and positions are shuffled to find
     the first copy, never the texts. Rows without an id all count.
     """
-    first = events.where(present("event_id")).groupBy("event_id").agg(F.min(SEQ).alias("_first"))
+    # Positions are counted per file, so the same record under two paths ties; path and line decide then.
+    first = events.where(present("event_id")).groupBy("event_id").agg(F.min(arrival()).alias("_first"))
     return (found.join(first, "event_id", "left")
-            .where(F.col("_first").isNull() | (F.col("_first") == F.col(SEQ))).drop("_first"))
+            .where(F.col("_first").isNull() | (F.col("_first") == F.col("_arrival"))).drop("_first"))
 
 
 def fold(obs: DataFrame) -> DataFrame:
@@ -103,3 +110,8 @@ def fold(obs: DataFrame) -> DataFrame:
 
 def indicators(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return fold(observations(events, limits))
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records by type, then value: the order of an indicator export."""
+    return records.orderBy("type", "value")

@@ -4,25 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from actiontrail.functions.scalars import decision_id
+from actiontrail.functions.scalars import decision_id, finding_id
 from actiontrail.schema import SCHEMA_VERSION
 
 
-def verdicts(matches: DataFrame, events: DataFrame, run_id: str, enforce: bool,
-             tainted: DataFrame | None = None) -> DataFrame:
-    """`matches`: event_id, rule_id, rule_version, rule_pos, finding_id, eligible.
+CONTEXT = ("case_id", "source_agent", "source_type", "session_id", "model", "model_provider", "sub_agent", "tool_name",
+           "tool_call_id")
 
-    One row per action. The first eligible rule in catalogue order denies; a
+
+def chain_actions(chains: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Chains as matches of their completing events. A chain may deny where its rule enforces: the steps before the
+    last have happened already, and the last is the action that is asked about."""
+    rows = chains.join(F.broadcast(catalog), "rule_id")  # bounded by the number of rule files
+    have = set(chains.schema["final_event"].dataType.fieldNames())
+    context = [(F.col(f"final_event.{c}") if c in have else F.lit(None).cast("string")).alias(c) for c in CONTEXT]
+    return rows.select(F.col("final_event_id").alias("event_id"), "rule_id", "rule_version", "rule_pos",
+                       finding_id(F.col("rule_id"), F.col("rule_version"), F.col("cited_event_ids")).alias("finding_id"),
+                       F.col("enforce").alias("eligible"), *context)
+
+
+def verdicts(matches: DataFrame, run_id: str, enforce: bool, tainted: DataFrame | None = None) -> DataFrame:
+    """`matches`: event_id, rule_id, rule_version, rule_pos, finding_id, eligible and the CONTEXT columns.
+
+    One row per action, however many copies of it arrived. The first eligible rule in catalogue order denies; a
     run whose record delivery failed for the action never denies. Matches per
     action are bounded by the catalogue, so the lists are small.
     """
     hits = matches.groupBy("event_id").agg(
         F.array_sort(F.collect_set(F.struct("rule_pos", "rule_id"))).alias("_rules"),
         F.array_sort(F.collect_set("finding_id")).alias("finding_ids"),
-        F.min(F.when(F.col("eligible"), F.struct("rule_pos", "rule_id", "rule_version"))).alias("_deny"))
-    context = events.select("event_id", "case_id", "source_agent", "source_type", "session_id",
-                            "model", "model_provider", "sub_agent", "tool_name", "tool_call_id")
-    rows = hits.join(context, "event_id")
+        F.min(F.when(F.col("eligible"), F.struct("rule_pos", "rule_id", "rule_version"))).alias("_deny"),
+        F.min(F.struct(*CONTEXT)).alias("_context"))
+    rows = hits.select("*", "_context.*").drop("_context")
     if tainted is not None:
         rows = rows.join(tainted.select("event_id", F.lit(True).alias("_tainted")), "event_id", "left")
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from actiontrail.functions.commands import command_columns, statements
+from actiontrail.functions.commands import command_columns, nested_pairs, pipeline_pairs as paired, statements
 from actiontrail.operators import (cases, chains, contract, dedupe, findings, metrics, pairing,
                                    rules as R, summary, timeline, verdicts)
 from actiontrail.plans.adapters import ACTIONS_SQL, COMMANDS, actions, table
@@ -73,7 +73,7 @@ def capture_profile(spark, sf):
         (COMMANDS[10], 2, "git", 0, 0), (COMMANDS[11], 1, "echo", 0, 0), (COMMANDS[12], 1, "ssh", 0, 0),
         (COMMANDS[13], 1, "claude", 0, 0), (COMMANDS[14], 1, "nmap", 0, 0), (COMMANDS[14], 2, "ls", 0, 0),
         (COMMANDS[15], 1, "curl", 0, 0), (COMMANDS[16], 1, "find", 0, 0), (COMMANDS[17], 1, "dig", 0, 0),
-        (COMMANDS[17], 1001, "whoami", 0, 1), (COMMANDS[18], 1, "python3", 0, 0), (COMMANDS[19], 1, "echo", 1, 0),
+        (COMMANDS[17], 2, "whoami", 0, 1), (COMMANDS[18], 1, "python3", 0, 0), (COMMANDS[19], 1, "echo", 1, 0),
         (COMMANDS[19], 2, "tee", 1, 0)])}) AS v(command, statement_id, name, pipeline_id, parent_statement_id))
   SELECT event_id, CAST(statement_id AS BIGINT) AS statement_id, name,
     CAST(pipeline_id AS BIGINT) AS pipeline_id, CAST(parent_statement_id AS BIGINT) AS parent_statement_id
@@ -91,23 +91,17 @@ def commands(spark, sf):
   FROM ({ACTIONS_SQL}) WHERE command LIKE '%base64%'""")
 def pipeline_pairs(spark, sf):
     """Statements that feed later statements of their pipeline."""
-    table_form = statements(command_columns(actions(spark, sf).select("event_id", "command"))).where(
-        F.col("pipeline_id") > 0)
-    up = table_form.select("event_id", "pipeline_id", F.col("statement_id").alias("a"),
-                           F.col("name").alias("upstream"))
-    down = table_form.select("event_id", "pipeline_id", F.col("statement_id").alias("b"),
-                             F.col("name").alias("downstream"))
-    return up.join(down, ["event_id", "pipeline_id"]).where("a < b").select("event_id", "upstream", "downstream")
+    rows = command_columns(actions(spark, sf).select("event_id", "command"))
+    return rows.select("event_id", F.explode_outer(paired(F.col("commands"))).alias("p")).where("p IS NOT NULL").select(
+        "event_id", "p.upstream", "p.downstream")
 
 
 @query("J7_nested_commands", f"""
   SELECT event_id, 'dig' AS outer_name, 'whoami' AS inner_name FROM ({ACTIONS_SQL}) WHERE command LIKE 'dig $(%'""")
 def nested_commands(spark, sf):
-    rows = statements(command_columns(actions(spark, sf).select("event_id", "command")))
-    inner = rows.where("parent_statement_id > 0").select(
-        "event_id", F.col("parent_statement_id").alias("statement_id"), F.col("name").alias("inner_name"))
-    return rows.select("event_id", "statement_id", F.col("name").alias("outer_name")).join(
-        inner, ["event_id", "statement_id"]).drop("statement_id")
+    rows = command_columns(actions(spark, sf).select("event_id", "command"))
+    return rows.select("event_id", F.explode_outer(nested_pairs(F.col("commands"))).alias("p")).where("p IS NOT NULL").select(
+        "event_id", "p.outer_name", "p.inner_name")
 
 
 # Raw-text shapes of the action commands, written for the oracle only.
@@ -185,7 +179,7 @@ def _eligible(spark, sf):
     string_agg(rule_id, ',' ORDER BY pos) AS rule_ids, arg_min(rule_id, pos) FILTER (WHERE eligible) AS deny_rule_id
   FROM ranked GROUP BY event_id""")
 def policy_verdicts(spark, sf):
-    out = verdicts.verdicts(_eligible(spark, sf), actions(spark, sf), "run-1", enforce=True)
+    out = verdicts.verdicts(_eligible(spark, sf), "run-1", enforce=True)
     return out.select(F.col("action_event_ids")[0].alias("event_id"), "decision", "reason",
                       F.array_join("rule_ids", ",").alias("rule_ids"), "deny_rule_id")
 
@@ -339,7 +333,7 @@ def builtin_chains(spark, sf):
 @query("A6_A7_chain_findings")
 def chain_findings(spark, sf):
     found, catalog = _builtin_chains(spark, sf)
-    return findings.from_chains(found, actions(spark, sf), catalog, F.lit("2026-01-01T00:00:00Z")).select(
+    return findings.from_chains(found, catalog, F.lit("2026-01-01T00:00:00Z")).select(
         "finding_id", "rule_id", "confidence", F.array_join("tags", ",").alias("tags"),
         F.array_join("cited_event_ids", ",").alias("cited"), "redacted", "project_path_hash")
 

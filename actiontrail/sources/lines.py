@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_FILE_BYTES = 512 << 20
-MAX_LINE_BYTES = 16 << 20
-
 # Path shapes per agent, tested in this order.
 PATH_SHAPES = (
     ("cowork", r"/local-agent-mode-sessions/.*audit\.jsonl\z"),
@@ -21,12 +18,16 @@ PATH_SHAPES = (
     ("pi", r"/\.pi/agent/sessions/.*\.jsonl\z"),
     ("kimi-code", r"/\.kimi(?:-code)?/.*wire\.jsonl\z"),
 )
+# Journals of workflows share the transcripts' extension and place, but are not transcripts.
+WORKFLOW_JOURNAL = r"(?i)/\.claude/projects/.*/subagents/workflows/.*journal\.jsonl\z"
 FALLBACK_AGENT = "claude-code"
 # Folders under a home that hold artifacts. Spark's listing skips
 # dot folders it meets on the way down, so they have to be named as roots.
 AGENT_FOLDERS = (
     ".claude", ".codex", ".gemini/tmp", ".cursor", ".codeium/windsurf", ".windsurf", ".copilot",
     ".local/share/opencode/storage", ".openclaw", ".clawdbot", ".pi/agent/sessions", ".kimi-code", ".kimi",
+    "Library/Application Support/Claude/local-agent-mode-sessions", "AppData/Roaming/Claude/local-agent-mode-sessions",
+    ".config/Claude/local-agent-mode-sessions",
 )
 
 
@@ -42,7 +43,7 @@ def classify_path(path: Column) -> Column:
         out = F.when(slashed.rlike(shape), agent).otherwise(out)
     known_root = r"/\.(?:codex|gemini|cursor|codeium|windsurf|copilot|openclaw|clawdbot|pi|kimi(?:-code)?)/|/opencode/"
     bare = slashed.rlike(r"\.jsonl\z") & ~slashed.rlike(known_root)
-    return F.coalesce(out, F.when(bare, FALLBACK_AGENT))
+    return F.when(~slashed.rlike(WORKFLOW_JOURNAL), F.coalesce(out, F.when(bare, FALLBACK_AGENT)))
 
 
 
@@ -55,35 +56,39 @@ def inventory(spark: SparkSession, *roots: str) -> DataFrame:
             .dropDuplicates(["local_path"]))
 
 
-def digests(spark: SparkSession, *roots: str) -> DataFrame:
-    """Whole-file SHA-256; a file is bounded by the size gate."""
+def digests(spark: SparkSession, *roots: str, max_bytes: int | None = None) -> DataFrame:
+    """Whole-file SHA-256. `max_bytes` leaves larger files out, as a file is one row here."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
-            .where(F.col("length") <= MAX_FILE_BYTES)
+            .where(F.lit(True) if max_bytes is None else F.col("length") <= max_bytes)
             .select(F.regexp_replace("path", r"\Afile:/+", "/").alias("local_path"),
                     F.sha2("content", 256).alias("sha256")))
 
 
-def numbered_lines(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(spark: SparkSession, *roots: str, max_file_bytes: int | None = None,
+                   max_line_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """`(lines, diagnostics)`: local_path, line, raw, sha256.
 
-    Files are read in splits; a line's number is its rank by split offset and
-    place in the split. One file's lines meet in one task, bounded by the file
-    gate. Over-size files and lines become diagnostics.
+    Files are read in splits; a line's number is its rank inside its split plus the lines of the file's earlier
+    splits, so no task holds more of a file than a split. Nothing is left out unless a limit is asked for; what a
+    limit leaves out becomes diagnostics.
     """
     raw = (spark.read.option("recursiveFileLookup", "true").text(list(roots))
            .select(F.col("value").alias("raw"), F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/").alias("local_path"),
                    F.col("_metadata.file_size").alias("_size"),
                    F.col("_metadata.file_block_start").alias("_block")))
-    fits = F.col("_size") <= MAX_FILE_BYTES
-    w = Window.partitionBy("local_path").orderBy("_block", "_at")
-    lines = (raw.where(fits).withColumn("_at", F.monotonically_increasing_id())
-             .withColumn("line", F.row_number().over(w).cast("bigint")))
-    short = F.octet_length("raw") <= MAX_LINE_BYTES
+    fits = F.lit(True) if max_file_bytes is None else F.col("_size") <= max_file_bytes
+    placed = raw.where(fits).withColumn("_at", F.monotonically_increasing_id())
+    before = Window.partitionBy("local_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (placed.groupBy("local_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+              .select("local_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy("local_path", "_block").orderBy("_at")
+    lines = placed.join(splits, ["local_path", "_block"]).withColumn("line", (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
+    short = F.lit(True) if max_line_bytes is None else F.octet_length("raw") <= max_line_bytes
     kept = lines.where(short).select("local_path", "line", "raw").join(
-        digests(spark, *roots), "local_path", "left")
+        digests(spark, *roots, max_bytes=max_file_bytes), "local_path", "left")
     notes = (lines.where(~short).select(F.col("local_path").alias("path"), "line",
                                         F.lit("line exceeds size cap; skipped").alias("message"))
-             .unionByName(inventory(spark, *roots).where(F.col("length") > MAX_FILE_BYTES).select(
+             .unionByName(inventory(spark, *roots).where(~(F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes)).select(
                  F.col("local_path").alias("path"), F.lit(None).cast("bigint").alias("line"),
                  F.lit("file exceeds size cap; skipped").alias("message"))))
     return kept, notes

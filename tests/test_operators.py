@@ -119,15 +119,15 @@ def test_summary_and_verdicts(spark):
     assert summary.run_summary(counts.where("kind = 'event'")).first().status == "error"
     hits = spark.createDataFrame([("e1", "r2", "1", 2, "f2", True), ("e1", "r1", "1", 1, "f1", False), ("e2", "r1", "1", 1, "f3", False)],
                                  "event_id string, rule_id string, rule_version string, rule_pos int, finding_id string, eligible boolean")
-    ev = spark.createDataFrame([(e,) for e in ("e1", "e2")], "event_id string").withColumns({
+    hits = hits.withColumns({
         c: F.lit("hook" if c == "source_type" else "codex" if c == "source_agent" else None).cast("string") for c in
         ("case_id", "source_agent", "source_type", "session_id", "model", "model_provider", "sub_agent", "tool_name", "tool_call_id")})
-    enforced = verdicts.verdicts(hits, ev, "run", enforce=True)
+    enforced = verdicts.verdicts(hits, "run", enforce=True)
     by = {r.action_event_ids[0]: r for r in enforced.collect()}
     assert (by["e1"].decision, by["e1"].deny_rule_id, by["e1"].rule_ids) == ("deny", "r2", ["r1", "r2"])
     assert (by["e2"].decision, by["e2"].reason) == ("no_override", "no_enforce_eligible_match")
     assert verdicts.inconsistencies(enforced).count() == 0
-    assert {r.reason for r in verdicts.verdicts(hits, ev, "run", enforce=False).collect()} == {"monitor_mode"}
-    spoiled = verdicts.verdicts(hits, ev, "run", enforce=True, tainted=spark.createDataFrame([("e1",)], "event_id string"))
+    assert {r.reason for r in verdicts.verdicts(hits, "run", enforce=False).collect()} == {"monitor_mode"}
+    spoiled = verdicts.verdicts(hits, "run", enforce=True, tainted=spark.createDataFrame([("e1",)], "event_id string"))
     assert {r.reason for r in spoiled.collect()} == {"fail_open", "no_enforce_eligible_match"}
     assert verdicts.inconsistencies(enforced.withColumn("mode", F.lit("monitor"))).count() == 2
