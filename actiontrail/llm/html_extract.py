@@ -167,8 +167,12 @@ def labels_of(nodes: list[Node]) -> list[int] | None:
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES, seed: int = SEED) -> Forest | None:
     """Trees over the nodes of at most `rows` pages and of layouts made from their texts."""
-    some = [r["html"] for r in pages.where("html IS NOT NULL AND html != ''").orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
-            .select("html").limit(rows).collect()]
+    # First only hashes are ordered, so that no task sends pages that are not used.
+    keyed = pages.where("html IS NOT NULL AND html != ''").select("html", F.xxhash64("page_id").alias("_page"), F.xxhash64("html").alias("_html"))
+    picks = [tuple(r) for r in keyed.select("_page", "_html").orderBy("_page", "_html").limit(rows).collect()]
+    found = keyed.where(F.col("_page").isin([p for p, _ in picks])).collect() if picks else []
+    wanted = set(picks)
+    some = [h for *_, h in sorted({(r["_page"], r["_html"], r["html"]) for r in found if (r["_page"], r["_html"]) in wanted})]
     if not some:
         return None
     rng = random.Random(seed)
