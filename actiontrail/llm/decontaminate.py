@@ -142,16 +142,15 @@ def search(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
     """Adds n_words, n_hit, items (sorted ids) and spans: merged (first byte, last byte + 1) of hit words."""
     ship(docs.sparkSession)
     paths = blocks(benchmark, block_words)
-    plain = docs.drop(*ADDED, "_text").withColumn("_text", F.col("text"))
-    fields = plain.drop("_text").schema.fields
-    width = len(fields)
+    plain = docs.drop(*ADDED)
+    fields, place = plain.schema.fields, plain.columns.index("text")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(fields + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
                                     T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, width):
-            data, offsets = texts(part.column(width))
+        for part in parts(batches, place):
+            data, offsets = texts(part.column(place))
             many = part.num_rows
             starts, ends, owner, words = word_spans(data, offsets)
             edge = np.zeros(len(words) + 1, np.int64)
@@ -177,7 +176,7 @@ def search(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
                 for row, b, e in zip(owner[begins].tolist(), starts[begins].tolist(), ends[stops].tolist()):
                     spans[row].append({"start": b - int(offsets[row]), "end": e - int(offsets[row])})
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:width], pa.array(np.bincount(owner, minlength=many)),
+                [*part.columns, pa.array(np.bincount(owner, minlength=many)),
                  pa.array(np.bincount(owner[hit], minlength=many)), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=schema.fieldNames())
 

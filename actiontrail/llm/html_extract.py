@@ -170,7 +170,8 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES, seed: int = SEED) -> Forest
     # First only hashes are ordered, so that no task sends pages that are not used.
     keyed = pages.where("html IS NOT NULL AND html != ''").select("html", F.xxhash64("page_id").alias("_page"), F.xxhash64("html").alias("_html"))
     picks = [tuple(r) for r in keyed.select("_page", "_html").orderBy("_page", "_html").limit(rows).collect()]
-    found = keyed.where(F.col("_page").isin([p for p, _ in picks])).collect() if picks else []
+    chosen = F.col("_page").isin([p for p, _ in picks]) & F.col("_html").isin([h for _, h in picks])
+    found = keyed.where(chosen).dropDuplicates(["_page", "_html"]).collect() if picks else []
     wanted = set(picks)
     some = [h for *_, h in sorted({(r["_page"], r["_html"], r["html"]) for r in found if (r["_page"], r["_html"]) in wanted})]
     if not some:
@@ -208,17 +209,16 @@ def texts_of(pages: list[str | None], model: Forest | None) -> list[str]:
 def extract(pages: DataFrame, model: Forest | None) -> DataFrame:
     """Adds text and n_chars (code points)."""
     ship(pages.sparkSession)
-    plain = pages.drop("text", "n_chars", "_html").withColumn("_html", F.col("html"))
-    fields = plain.drop("_html").schema.fields
-    width = len(fields)
-    schema = T.StructType(fields + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    plain = pages.drop("text", "n_chars")
+    place = plain.columns.index("html")
+    schema = T.StructType(plain.schema.fields + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = texts_of(part.column(width).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
+                found = texts_of(part.column(place).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
                                                  names=schema.fieldNames())
 
     return plain.mapInArrow(run, schema)

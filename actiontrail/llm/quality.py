@@ -115,19 +115,19 @@ def features(counts: np.ndarray) -> np.ndarray:
                      c[:, 7] / chars, c[:, 8] / words, c[:, 10] / words, words / lines], 1)
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """Adds the COUNTS (long) to the rows."""
+def with_statistics(docs: DataFrame, model: Forest | None = None) -> DataFrame:
+    """Adds the COUNTS (long) and score to the rows; without a model every score is 1."""
     ship(docs.sparkSession)
     names = list(COUNTS)
-    plain = docs.drop(*names, "_text").withColumn("_text", F.col("text"))
-    fields = plain.drop("_text").schema.fields
-    schema = T.StructType(fields + [T.StructField(n, T.LongType()) for n in names])
-    place, width = len(fields), len(fields)
+    plain = docs.drop(*names, "score")
+    schema = T.StructType(plain.schema.fields + [T.StructField(n, T.LongType()) for n in names] + [T.StructField("score", T.DoubleType())])
+    place = plain.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, place):
             counts = statistics(*texts(part.column(place)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(counts[:, k]) for k in range(len(names)))],
+            score = model.score(features(counts)) if model is not None else np.ones(part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[:, k]) for k in range(len(names))), pa.array(score)],
                                              names=schema.fieldNames())
 
     return plain.mapInArrow(run, schema)
@@ -149,20 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest
 
 def judge(docs: DataFrame, model: Forest | None, keep_from: float = KEEP_FROM) -> DataFrame:
     """Adds the COUNTS, score, base_failed and kept."""
-    ship(docs.sparkSession)
-    counted = with_statistics(docs.drop("score", "base_failed", "kept"))
-    fields = counted.schema.fields
-    schema = T.StructType(fields + [T.StructField("score", T.DoubleType())])
-    at = [counted.columns.index(n) for n in COUNTS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.stack([np.asarray(batch.column(k)) for k in at], 1)
-            score = model.score(features(counts)) if model is not None else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=schema.fieldNames())
-
+    counted = with_statistics(docs.drop("base_failed", "kept"), model)
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
-    return (counted.mapInArrow(run, schema).withColumn("base_failed", base)
+    return (counted.withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep_from)))
 
 

@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 _MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 _FAR = re.compile("[^\x00-\u024f]")
 
