@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from actiontrail.functions.scalars import let
+
 MASK = "[redacted]"
 USERINFO_MASK = "***"
 
@@ -178,3 +180,58 @@ def redact_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def redact_events(df: DataFrame) -> DataFrame:
     """Output-side redaction of the event columns that carry free text."""
     return redact_columns(df, {c: c for c in EVENT_TEXT_COLUMNS if c in df.columns})
+
+
+# --- JSON documents ----------------------------------------------------------
+# Keys that look secret but count tokens.
+TOKEN_METRICS = (
+    "audio_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "cache_write_input_tokens", "cached_input_tokens",
+    "cached_tokens", "completion_tokens", "completion_tokens_details", "context_window_tokens", "ephemeral_1h_input_tokens",
+    "ephemeral_5m_input_tokens", "input_token_count", "input_tokens", "input_tokens_details", "last_token_usage",
+    "max_output_tokens", "max_tokens", "output_token_count", "output_tokens", "output_tokens_details", "prompt_tokens",
+    "prompt_tokens_details", "reasoning_output_tokens", "reasoning_tokens", "time_to_first_token_ms", "token_count",
+    "token_usage", "total_token_usage", "total_tokens",
+)
+_JSON_TOKEN = r"\"(?:[^\"\\]|\\.)*+\"|[{}\[\],:]|[^\s{}\[\],:\"]++"
+
+
+def redact_json(doc: Column) -> Column:
+    """A JSON document without secrets: values under secret-looking keys become the mask, whatever they hold, and other
+    texts are redacted as such. Counters of tokens stay where they are numbers, or objects. Blanks between tokens go;
+    null for what is not JSON, and for documents whose keys hold credentials."""
+    tokens = F.regexp_extract_all(doc, F.lit(_JSON_TOKEN), F.lit(0))
+    valid = F.try_parse_json(doc).isNotNull()
+    return F.when(valid, let(tokens, _redacted_tokens))
+
+
+def _linear(c: Column) -> Column:
+    """redact_text with each stage's text bound once."""
+    for stage in (mask_userinfo, mask_authorization, mask_credentials, mask_assignments, mask_tokens):
+        c = let(c, stage)
+    return c
+
+
+def _redacted_tokens(tokens: Column) -> Column:
+    at = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
+    metric = lambda t: F.regexp_replace(F.lower(t), "[-.]", "_").isin(*[f'"{m}"' for m in TOKEN_METRICS])
+
+    def told(token: Column, i: Column) -> Column:
+        key = token.startswith('"') & (at(i + 1) == ":")
+        number = at(i + 2).rlike(r"\A(?:-?[0-9].*|\{)\z")
+        secret = key & token.rlike(SECRET_WORDS) & ~(metric(token) & number)
+        text = F.when(token.startswith('"') & ~key, _linear(token)).otherwise(token)
+        leaks = key & (_linear(token) != token)
+        return F.struct(text.alias("text"), secret.alias("secret"), F.coalesce(leaks, F.lit(False)).alias("leaks"))
+
+    def fold(state: Column, t: Column) -> Column:
+        opens, closes = t["text"].isin("{", "["), t["text"].isin("}", "]")
+        skip = state["skip"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        inside, masks = state["skip"] > 0, state["next"] & (t["text"] != ":")
+        out = (F.when(inside, state["out"]).when(masks, F.array_append(state["out"], F.lit(f'"{MASK}"')))
+               .otherwise(F.array_append(state["out"], t["text"])))
+        return F.struct(out.alias("out"), F.when(inside | (masks & opens), skip).otherwise(0).cast("int").alias("skip"),
+                        F.when(inside, F.lit(False)).when(t["text"] == ":", state["next"]).otherwise(t["secret"] & ~masks).alias("next"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"), F.lit(False).alias("next"))
+    known = F.transform(tokens, told)
+    return let(known, lambda ts: F.when(~F.exists(ts, lambda t: t["leaks"]), F.array_join(F.aggregate(ts, start, fold)["out"], "")))

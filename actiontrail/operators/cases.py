@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from actiontrail.functions.scalars import order_key
 from actiontrail.operators.dedupe import first_per_id
+from actiontrail.sources.records import as_lines
 
 
 def citations(findings: DataFrame) -> DataFrame:
@@ -37,6 +40,27 @@ def case_records(events: DataFrame, findings: DataFrame, decisions: DataFrame, c
     }
 
 
+def write_case(records: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Writes one folder of NDJSON files for each kind of record; returns their manifest."""
+    for kind, rows in records.items():
+        as_lines(rows).select("value").write.text(f"{folder}/{kind}")
+    return manifest(next(iter(records.values())).sparkSession, folder, list(records))
+
+
+def manifest(spark: SparkSession, folder: str, kinds: Sequence[str]) -> DataFrame:
+    """path (below the folder), sha256 and row_count of every written file.
+
+    Writers bound their files, so a file may be one row here; row counts come from the files as they lie there.
+    """
+    roots = [f"{folder}/{kind}" for kind in kinds]
+    below = lambda path: F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+    digests = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(roots).select(
+        below(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+    counts = (spark.read.option("pathGlobFilter", "part-*").text(roots).groupBy(below(F.col("_metadata.file_path")).alias("path"))
+              .agg(F.count(F.lit(1)).alias("row_count")))
+    return digests.join(counts, "path", "left").select("path", "sha256", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"))
+
+
 def digest_drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Paths where any recorded digest differs from the current one.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from actiontrail import schema as S
@@ -15,6 +17,16 @@ def _vocab(column: str, values, optional: bool) -> Column:
     return present(column) & ~known if optional else ~known
 
 
+def for_agents(rows: DataFrame, agents: Sequence[str] | None) -> DataFrame:
+    """Events or artifacts of the named agents; all without names. An unknown name is an error, not an empty result."""
+    if agents is None:
+        return rows
+    unknown = set(agents) - set(S.SOURCE_AGENTS)
+    if unknown:
+        raise ValueError(f"unknown agents {sorted(unknown)}")
+    return rows.where(F.col("source_agent").isin(*agents))
+
+
 def _filled(column: str) -> Column:
     if column in ("exit_code", "duration_ms", "approval_required"):
         return F.col(column).isNotNull()

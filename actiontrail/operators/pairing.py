@@ -55,6 +55,45 @@ def as_of_unmatched(rows: DataFrame, group: Sequence[str], name: str, order: str
             .drop("_d", "_call", "_pay", "_slice", "_s", "_m", "_s0", "_m0", "_low", "_depth"))
 
 
+def latest_open_call(rows: DataFrame, group: Sequence[str], name: str, order: str, is_call: Column, is_response: Column,
+                     ident: Column, payload: Column, out: str = "matched") -> DataFrame:
+    """Pair each response with the most recent unanswered call of its name; where both carry an id, the ids must be equal.
+
+    Rows of one (group, name) are folded in order over the list of open calls, in the group's own task: a group is one
+    conversation file. Runs in which no id occurs, or all rows carry one, give what `as_of_unmatched` gives.
+    """
+    keys = [*group, name]
+    step = rows.withColumns({"_kind": F.when(is_call, 1).when(is_response, 2).otherwise(0),
+                             "_id": F.when(trim_blank(ident) != "", ident), "_pay": payload})
+    turn = F.struct(F.col(order).cast("bigint").alias("at"), F.col("_kind").alias("kind"), F.col("_id").alias("id"), F.col("_pay").alias("pay"))
+    lists = (step.where("_kind > 0").groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)])
+             .agg(F.array_sort(F.collect_list(turn)).alias("_turns")))
+    pay_type = step.schema["_pay"].dataType.simpleString()
+    kind = f"struct<open:array<struct<at:bigint,id:string,pay:{pay_type}>>,pairs:array<struct<at:bigint,pay:{pay_type}>>>"
+    start = F.struct(F.array().alias("open"), F.array().alias("pairs")).cast(kind)
+
+    def one(state: Column, t: Column) -> Column:
+        fits = F.filter(state["open"], lambda c: c["id"].isNull() | t["id"].isNull() | (c["id"] == t["id"]))
+        call = F.element_at(fits, -1)
+        hit = (t["kind"] == 2) & (F.size(fits) > 0)
+        opened = F.array_append(state["open"], F.struct(t["at"].alias("at"), t["id"].alias("id"), t["pay"].alias("pay")))
+        left = F.filter(state["open"], lambda c: c["at"] != call["at"])
+        paired = F.array_append(state["pairs"], F.struct(t["at"].alias("at"), call["pay"].alias("pay")))
+        return F.struct(F.when(t["kind"] == 1, opened).when(hit, left).otherwise(state["open"]).alias("open"),
+                        F.when(hit, paired).otherwise(state["pairs"]).alias("pairs")).cast(kind)
+
+    found = lists.select(*[f"_g{i}" for i in range(len(keys))], F.explode(F.aggregate("_turns", start, one)["pairs"]).alias("_p"))
+    same = step[order].cast("bigint") == found["_p.at"]
+    for i, k in enumerate(keys):
+        same = same & step[k].eqNullSafe(found[f"_g{i}"])
+    return (step.join(found, same, "left").withColumn(out, F.col("_p.pay"))
+            .drop("_kind", "_id", "_pay", "_p", *[f"_g{i}" for i in range(len(keys))]))
+
+
+def trim_blank(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit("")))
+
+
 def tag_nearest(results: DataFrame, failures: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Mark, for each failure record, the nearest result of the same call once.
 
@@ -72,6 +111,19 @@ def tag_nearest(results: DataFrame, failures: DataFrame, keys: Sequence[str], or
             .withColumn("failed_late", F.coalesce("failed_late", F.lit(False))))
 
 
+def decision_links(events: DataFrame) -> DataFrame:
+    """Permission decisions with the request and the result of the same call: decision_event, decided, call_event,
+    result_event. A call is known by agent, session and call id; its smallest event id stands for it."""
+    keys = ["source_agent", "session_id", "tool_call_id"]
+    called = events.where(F.trim(F.coalesce("tool_call_id", F.lit(""))) != "")
+    decided = called.where(F.col("event_type").isin("permission.approved", "permission.denied", "permission.requested"))
+    first = lambda kinds: F.min(F.when(F.col("event_type").isin(*kinds), F.col("event_id")))
+    sides = called.groupBy(*keys).agg(first(("command.exec", "tool.call")).alias("call_event"),
+                                      first(("command.result", "tool.result")).alias("result_event"))
+    return (decided.select(*keys, F.col("event_id").alias("decision_event"), F.col("event_type").alias("decided"))
+            .join(sides, keys, "left").drop(*keys))
+
+
 def prefer_explicit(rows: DataFrame, group: Sequence[str], explicit: Column, fallback: Column) -> DataFrame:
     """Drop fallback rows of groups that hold an explicit one."""
     # One row per group on the right; a hot group's rows stay spread, because

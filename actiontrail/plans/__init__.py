@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "detect_queries", "ingest_queries", "stream_queries")
+MODULES = ("scalar_queries", "detect_queries", "ingest_queries", "stream_queries", "extra_queries")
 
 
 def catalog():

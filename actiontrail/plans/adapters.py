@@ -46,17 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # The clock column has no zone; the session runs in UTC.
     df = df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
-    return df if df.isStreaming else spread(df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input of fewer scan partitions than cores.
-
-    A table of one row group is one task however costly its expressions are.
-    Large tables have far more partitions than cores and keep their plan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df
 
 
 def _choose(values, index: Column) -> Column:

@@ -429,7 +429,16 @@ def call_owner(spark, sf):
         F.col("role") == "user", F.col("turn")), "owner").select("conv_id", "turn", "owner")
 
 
-@query("J2_as_of_unmatched")
+@query("J2_as_of_unmatched", """
+  WITH RECURSIVE n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+    FROM events WHERE event_type IN ('view', 'purchase')),
+  w AS (SELECT user_id, rn, event_id, event_type, CASE WHEN event_type = 'view' THEN [event_id] ELSE CAST([] AS BIGINT[]) END AS stack,
+      CAST(NULL AS BIGINT) AS matched FROM n WHERE rn = 1
+    UNION ALL SELECT n.user_id, n.rn, n.event_id, n.event_type,
+      CASE WHEN n.event_type = 'view' THEN list_append(w.stack, n.event_id) ELSE w.stack[1:len(w.stack) - 1] END,
+      CASE WHEN n.event_type = 'purchase' THEN w.stack[len(w.stack)] END
+    FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
+  SELECT user_id, event_id, matched FROM w WHERE event_type = 'purchase'""")
 def as_of_unmatched(spark, sf):
     """Each purchase closes the latest open view of its user; brute force in tests."""
     rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.lit("n").alias("name"))
@@ -478,10 +487,8 @@ def decision_link(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias(SEQ), F.regexp_extract(
         "props", "([0-9]+)", 1).alias("call"))
     a = actions(spark, sf).join(e, SEQ).withColumn("tool_call_id", F.col("call"))
-    keys = ["source_agent", "session_id", "tool_call_id"]
-    denied = a.where(F.col("event_type") == "permission.denied").select(*keys, F.col("event_id").alias("denied"))
-    calls = a.where(F.col("event_type") == "command.exec").groupBy(*keys).agg(F.min("event_id").alias("command_event"))
-    return denied.join(calls, keys).select("denied", "command_event")
+    return pairing.decision_links(a).where(F.col("decided") == "permission.denied").where("call_event IS NOT NULL").select(
+        F.col("decision_event").alias("denied"), F.col("call_event").alias("command_event"))
 
 
 # --- dedupe, cases, reports --------------------------------------------------

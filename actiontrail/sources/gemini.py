@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from actiontrail.functions.scalars import blank_to_null, trim_space
-from actiontrail.operators.pairing import as_of_unmatched
+from actiontrail.operators.pairing import latest_open_call
 from actiontrail.sources import moments as M
 
 _PART = ("struct<text:string,functionCall:struct<id:string,name:string,args:string>,"
@@ -159,11 +159,9 @@ def checkpoints(files: DataFrame, case_id: str | None = None) -> tuple[DataFrame
     p = rows.select("local_path", "sha256", "root", F.posexplode("a").alias("mi", "m")).select(
         "local_path", "sha256", "root", "mi", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("pi", "p"))
     call, resp = F.col("p.functionCall"), F.col("p.functionResponse")
-    p = p.withColumns({"at": F.col("mi") * 10_000 + F.col("pi"), "name": F.coalesce("p.functionCall.name", "p.functionResponse.name", F.lit("")),
-                       # Calls with and without ids pair among themselves.
-                       "own": F.coalesce(blank_to_null(F.col("p.functionCall.id")), blank_to_null(F.col("p.functionResponse.id")), F.lit(""))})
-    p = as_of_unmatched(p, ["local_path", "own"], "name", "at", call.isNotNull(), resp.isNotNull(),
-                        F.struct(call["id"].alias("id"), call["name"].alias("name")), "paired")
+    p = p.withColumns({"at": F.col("mi").cast("bigint") * (1 << 31) + F.col("pi"), "name": F.coalesce("p.functionCall.name", "p.functionResponse.name", F.lit(""))})
+    p = latest_open_call(p, ["local_path"], "name", "at", call.isNotNull(), resp.isNotNull(), F.coalesce(call["id"], resp["id"]),
+                         F.struct(call["id"].alias("id"), call["name"].alias("name")), "paired")
     where = lambda kind: F.concat(F.col("root"), F.lit("/"), F.col("mi").cast("string"), F.lit("/parts/"),
                                   F.col("pi").cast("string"), F.lit("/" + kind))
     shell = (resp["name"] == "run_shell_command") | F.coalesce(F.col("paired.name") == "run_shell_command", F.lit(False))

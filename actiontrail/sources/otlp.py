@@ -85,6 +85,16 @@ def decision(c: Column) -> Column:
     return F.when(low.isin(*ALLOW), "allowed").when(low.isin(*DENY), "denied")
 
 
+# A tool call's own decision words; an edited acceptance is one.
+CALL_ALLOW, CALL_DENY = ("accept", "auto_accept", "modify"), ("reject",)
+
+
+def call_decision(c: Column) -> Column:
+    """The decision vocabulary of tool-call records, on the permission values; unknown words give null."""
+    low = F.lower(trim_space(c))
+    return F.when(low.isin(*CALL_ALLOW), "allowed").when(low.isin(*CALL_DENY), "denied")
+
+
 def _overlay(base: Column, top: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k)), top)
 
@@ -143,7 +153,8 @@ def map_records(records: DataFrame, event_id: Column | None = None) -> DataFrame
                            s("gen_ai.tool.call.arguments", "tool.call.arguments"))))).when(
             alias & (k != "alias_decision"), arg("bash_command", "full_command", "command", "cmd")),
         "_code": number("process.exit.code"), "_ms": number("duration_ms"),
-        "_dec": decision(F.when(k == "alias_decision", s("decision")).otherwise(s("approval.decision", "permission.decision")))})
+        "_dec": F.when(F.col("event_name").isin(*CALLS), call_decision(s("decision"))).otherwise(
+            decision(F.when(k == "alias_decision", s("decision")).otherwise(s("approval.decision", "permission.decision"))))})
     low = F.col("_low")
     verb = lambda *vs: low.rlike(r"(?:\A|[^a-z])(?:" + "|".join(vs) + r")(?:[^a-z]|\z)|\A(?:" + "|".join(vs) + ")")
     file_op = F.lower(F.coalesce(s("file.operation"), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -39,6 +39,21 @@ def envelope(df: DataFrame, record_type: str, run_id: str, endpoint: Column | No
                      host.alias("endpoint"), "*")
 
 
+# The kinds of record a run can emit.
+KINDS = ("event", "finding", "decision", "indicator", "diagnostic", "summary")
+
+
+def select_kinds(records: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """The records of the chosen kinds; all without a choice. A summary always stays, as it closes a run."""
+    if kinds is None:
+        return records
+    chosen = {k.strip() for k in kinds}
+    unknown = chosen - set(KINDS)
+    if unknown or not chosen:
+        raise ValueError(f"unknown record kinds {sorted(unknown)}" if unknown else "no record kind is chosen")
+    return records.where(F.col("record_type").isin(*sorted(chosen | {"summary"})))
+
+
 def as_lines(df: DataFrame) -> DataFrame:
     """One JSON object per row; null fields are omitted."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"),

@@ -13,13 +13,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from actiontrail.functions.scalars import parsed_instant
+from actiontrail.functions.scalars import hash_path, order_key, parsed_instant, present
 from actiontrail.operators import contract, findings, indicators as ind, metrics, rules as R
 from actiontrail.operators.chains import ChainRule, correlation_key, ring_size, step_masks
 from actiontrail.schema import SEQ
 from actiontrail.sources.records import fan_out
 
-MAX_RECORD_BYTES = 8 << 20
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,10 +37,20 @@ def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None
 
 
 def deliver(lines: DataFrame, checkpoint: str, sinks: Mapping[str, Callable[[DataFrame], None]],
-            value: str = "value", **kw) -> StreamingQuery:
-    """At-least-once delivery of appended records; oversize records are skipped."""
-    fits = F.octet_length(value) <= MAX_RECORD_BYTES
-    return start(lines.where(fits), checkpoint, lambda df, _: fan_out(df, sinks), **kw)
+            value: str = "value", max_bytes: int | None = None,
+            oversize: Callable[[DataFrame], None] | None = None, **kw) -> StreamingQuery:
+    """At-least-once delivery of appended records. With `max_bytes`, larger records go to `oversize` instead."""
+    if max_bytes is None:
+        return start(lines, checkpoint, lambda df, _: fan_out(df, sinks), **kw)
+    if oversize is None:
+        raise ValueError("a size limit needs a sink for what exceeds it")
+    fits = F.coalesce(F.octet_length(value) <= max_bytes, F.lit(True))
+
+    def write(df: DataFrame, _: int) -> None:
+        fan_out(df.where(fits), sinks)
+        oversize(df.where(~fits))
+
+    return start(lines, checkpoint, write, **kw)
 
 
 # --- normalize and detect ------------------------------------------------------
@@ -59,14 +68,24 @@ def once_per_id(events: DataFrame, clock: str, delay: str = "1 hour") -> DataFra
 
 
 def indicator_totals(events: DataFrame) -> DataFrame:
-    """Running indicator counts; run with update mode to emit changes only."""
+    """Running indicator records; run with update mode to emit changes only.
+
+    Redelivered events count once if `once_per_id` runs before.
+    """
     fields = F.filter(F.array(*[F.struct(F.lit(n == "content_preview").alias("markdown"), F.col(n).alias("text"))
                                 for n in ind.FIELDS]), lambda f: f["text"] != "")
-    rows = events.select("event_id", F.explode(fields).alias("f")).select(
-        "event_id", F.col("f.text").alias("_text"), F.col("f.markdown").alias("_md"))
+    about = F.struct("timestamp", "source_agent", "event_id", "session_id", "project_path").alias("_about")
+    rows = events.select(about, F.explode(fields).alias("f")).select(
+        "_about", F.col("f.text").alias("_text"), F.col("f.markdown").alias("_md"))
     mined = ind.mine_text(rows, "_text", F.col("_md"))
-    seen = mined.select(F.explode_outer("indicators").alias("i")).where(F.col("i").isNotNull())
-    return seen.groupBy("i.type", "i.value").agg(F.count("*").alias("count"))
+    seen = mined.select("_about", F.explode_outer("indicators").alias("i")).where(F.col("i").isNotNull())
+    stamp = F.when(present(F.col("_about.timestamp")), order_key(F.col("_about.timestamp")))
+    sums = seen.groupBy("i.type", "i.value").agg(
+        F.count("*").alias("count"), F.min(stamp).alias("_lo"), F.max(stamp).alias("_hi"), F.min("_about").alias("_s"))
+    return sums.select(
+        "type", "value", "count", F.col("_lo.raw").alias("first_seen"), F.col("_hi.raw").alias("last_seen"),
+        F.col("_s.source_agent").alias("source_agent"), F.col("_s.event_id").alias("sample_event_id"),
+        F.col("_s.session_id").alias("sample_session_id"), hash_path(F.col("_s.project_path")).alias("sample_project_path_hash"))
 
 
 def metric_totals(points: DataFrame) -> DataFrame:
@@ -88,6 +107,7 @@ _RING = "pos bigint, event_id string, ts bigint, mask string"
 
 def _processor(specs: list[tuple[int, int | None, int | None, int]], ring: int, ttl_ms: int | None):
     """`specs`: (steps, within_events, within_micros, max_matches) per rule."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -103,24 +123,28 @@ def _processor(specs: list[tuple[int, int | None, int | None, int]], ring: int,
             counts = [int(self.emitted.getValue((i,))[0]) if self.emitted.containsKey((i,)) else 0
                       for i in range(len(specs))]
             ids, out = {w[1] for w in window}, []
-            batch = pd.concat(list(rows)).sort_values("seq")
-            for eid, ts, mask in zip(batch["event_id"], batch["ts"], batch["mask"]):
+            # Only numbers and ids are held while a key's rows are put in order.
+            parts = [(p["seq"].to_numpy(), p["event_id"].to_numpy(), p["ts"].to_numpy(), p["mask"].to_numpy()) for p in rows]
+            order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+            columns = [np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3)]
+            for eid, ts, mask in zip(*columns):
                 if eid in ids:
                     continue
                 ts = None if pd.isna(ts) else int(ts)
                 bits = tuple(int(m) for m in mask.split(","))
                 for i, (steps, k, span, cap) in enumerate(specs):
                     if counts[i] < cap and bits[i] >> (steps - 1) & 1:
-                        chain = _find(window, i, steps, k, span, pos, ts)
+                        chain = _find(window[-ring:], i, steps, k, span, pos, ts)
                         if chain is not None:
                             counts[i] += 1
                             out.append((i, [*chain, eid]))
                 window.append((pos, eid, ts, bits))
                 ids.add(eid)
                 pos += 1
-                if len(window) > ring:
-                    ids.discard(window.pop(0)[1])
-            self.ring.put([(p, e, t, ",".join(map(str, b))) for p, e, t, b in window])
+                if len(window) > 2 * ring:
+                    window, gone = window[-ring:], window[:-ring]
+                    ids.difference_update(w[1] for w in gone)
+            self.ring.put([(p, e, t, ",".join(map(str, b))) for p, e, t, b in window[-ring:]])
             self.next.update((pos,))
             for i, n in enumerate(counts):
                 if n:
@@ -151,12 +175,12 @@ def _find(window, rule, steps, k, span, pos, ts):
     return None
 
 
-def stateful_chains(events: DataFrame, rules: Sequence[ChainRule], rule_set: str = "",
+def stateful_chains(events: DataFrame, rules: Sequence[ChainRule], rule_set: str,
                     ttl_ms: int | None = None) -> DataFrame:
     """Chains across micro-batches, by arrival order (`seq`) inside a group.
 
-    Only step bits and identity are kept, at most one ring per group. The rule
-    set's fingerprint is part of the group key, so a changed rule set starts
+    Only step bits and identity are kept, at most one ring per group. `rule_set`, the
+    `fingerprint` of the rules, is part of the group key, so a changed rule set starts
     with empty windows. Idle groups leave through the state's time to live.
     """
     ring = ring_size(rules)
