@@ -150,10 +150,32 @@ def rule_counts(spark, sf):
     return findings.counts_per_rule(_matches(spark, sf).select("rule_id", "severity"))
 
 
-@query("P18_findings")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The catalogue's own texts, for the oracle.
+_CATALOG_SQL = "cat(rule_id, version, severity, title, tags) AS (VALUES " + ", ".join(
+    f"({_quoted(r.id)}, {_quoted(r.version)}, {_quoted(r.severity)}, {_quoted(r.title)}, CAST([{', '.join(map(_quoted, r.tags))}] AS VARCHAR[]))"
+    for r in R.load_rules()) + ")"
+_SIZED = "repeat(chr(0), 7) || chr(CAST(strlen({0}) AS INT)) || {0}".format
+
+
+@query("P18_findings", _MATCH_SQL + f""", {_CATALOG_SQL}
+  SELECT a.event_id, 'fnd-' || substr(sha256({_SIZED('rule_id')} || {_SIZED('version')} || {_SIZED('a.event_id')}), 1, 24) AS finding_id,
+    rule_id, version AS rule_version, severity, title, confidence, a."timestamp", a.session_id,
+    'sha256:' || sha256(a.project_path) AS project_path_hash,
+    array_to_string(list_sort(list_distinct(list_concat(tags, CASE WHEN a.elevated THEN ['permission_mode_elevated'] ELSE [] END))), ',') AS tags,
+    regexp_replace(command, '(Bearer )[A-Za-z0-9]+', '\\1[redacted]') AS observed_command, file_path AS observed_file_path,
+    coalesce(command LIKE '%Bearer%', false) OR coalesce(url LIKE '%hunter2%', false) AS redacted, local_path AS evidence_path
+  FROM hits JOIN a USING (event_id) JOIN cat USING (rule_id)""")
 def rendered_findings(spark, sf):
     """Rendered findings of every single-event match (ids, redaction, tags)."""
-    return findings.from_matches(_matches(spark, sf), F.lit("2026-01-01T00:00:00Z")).drop("evidence_refs")
+    out = findings.from_matches(_matches(spark, sf), F.lit("2026-01-01T00:00:00Z"))
+    return out.select(
+        F.col("cited_event_ids")[0].alias("event_id"), "finding_id", "rule_id", "rule_version", "severity", "title", "confidence", "timestamp",
+        "session_id", "project_path_hash", F.array_join("tags", ",").alias("tags"), "observed_command", "observed_file_path", "redacted",
+        F.col("evidence_refs")[0]["local_path"].alias("evidence_path"))
 
 
 def _eligible(spark, sf):
@@ -330,9 +352,25 @@ def builtin_chains(spark, sf):
     return found.select("rule_id", "final_event_id", F.array_join("cited_event_ids", ",").alias("chain"))
 
 
-@query("A6_A7_chain_findings")
+@query("A6_A7_chain_findings", f"""
+  WITH {_CATALOG_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS pos FROM ({ACTIONS_SQL})),
+  s1 AS ({_steps_sql(True)}), s2 AS ({_steps_sql(False)}),
+  pairs AS (SELECT s2.rule_id, s2.user_id, s2.pos, s2.event_id AS id2, arg_min(s1.event_id, s1.pos) AS id1
+    FROM s2 JOIN s1 ON s1.rule_id = s2.rule_id AND s1.user_id = s2.user_id AND s1.pos BETWEEN s2.pos - (s2.k - 1) AND s2.pos - 1
+    GROUP BY ALL),
+  one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, user_id ORDER BY pos) AS rn FROM pairs) WHERE rn = 1)
+  SELECT 'fnd-' || substr(sha256({_SIZED('rule_id')} || {_SIZED('version')} || {_SIZED('id1')} || {_SIZED('id2')}), 1, 24) AS finding_id, rule_id,
+    CASE WHEN 'low' IN (a.confidence, b.confidence) THEN 'low' WHEN 'medium' IN (a.confidence, b.confidence) THEN 'medium' ELSE 'high' END AS confidence,
+    array_to_string(list_sort(list_distinct(list_concat(cat.tags, CASE WHEN a.elevated OR b.elevated THEN ['permission_mode_elevated'] ELSE [] END))), ',') AS tags,
+    id1 || ',' || id2 AS cited, coalesce(b.command LIKE '%Bearer%', false) AS redacted, 'sha256:' || sha256(b.project_path) AS project_path_hash
+  FROM one JOIN n a ON a.event_id = id1 JOIN n b ON b.event_id = id2 JOIN cat USING (rule_id)""")
 def chain_findings(spark, sf):
-    found, catalog = _builtin_chains(spark, sf)
+    """Every event arrives a second time later on; a chain still gives one finding."""
+    rules = [r for r in R.load_rules() if r.steps]
+    rows = actions(spark, sf)
+    again = rows.withColumn(SEQ, F.col(SEQ) + 1_000_000_000_000)
+    found = chains.chain_matches(R.rule_view(rows.unionByName(again)), R.chain_rules(rules))
+    catalog = R.catalog_frame(spark, rules)
     return findings.from_chains(found, catalog, F.lit("2026-01-01T00:00:00Z")).select(
         "finding_id", "rule_id", "confidence", F.array_join("tags", ",").alias("tags"),
         F.array_join("cited_event_ids", ",").alias("cited"), "redacted", "project_path_hash")
