@@ -14,10 +14,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # Deriving constraints from the catalogue's large predicates costs the
-    # optimizer tens of seconds and yields only null filters, which the joins
-    # here state themselves where a key may be null.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
