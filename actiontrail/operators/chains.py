@@ -49,8 +49,10 @@ class ChainRule:
             raise ValueError(f"{self.rule_id}: max_matches is 1 to {MAX_MATCHES}")
 
 
-def ring_size(rules: Sequence[ChainRule]) -> int:
-    return max([MIN_RING, *[r.within_events or 0 for r in rules]])
+def ring_size(rules: Sequence[ChainRule], look_back: int = MIN_RING) -> int:
+    """How many events of its group a chain may reach back. `look_back` is the bound of rules that only have a time:
+    raise it where a group can have more events than that inside a rule's time."""
+    return max([look_back, *[r.within_events or 0 for r in rules]])
 
 
 # Columns of a completing event that its finding renders.
@@ -113,9 +115,10 @@ def _bit(mask: str, step: int) -> Column:
     return F.col(mask).bitwiseAND(F.lit(1 << step)) != 0
 
 
-def find_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | None = None) -> DataFrame:
+def find_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | None = None,
+                look_back: int = MIN_RING) -> DataFrame:
     """Chains as `(_key, rule_idx, _final, _chain)` with positions in order."""
-    ring = ring_size(rules)
+    ring = ring_size(rules, look_back)
     block = max(block_rows or 0, 4 * ring)
     home = F.floor(F.col("_pos") / F.lit(block))
     margin = F.col("_pos") % F.lit(block) >= F.lit(block - ring)
@@ -183,7 +186,7 @@ def cap_matches(chains: DataFrame, rules: Sequence[ChainRule]) -> DataFrame:
 
 def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool = True,
                   capped: bool = True, slice_rows: int = SLICE_ROWS,
-                  block_rows: int | None = None) -> DataFrame:
+                  block_rows: int | None = None, look_back: int = MIN_RING) -> DataFrame:
     """Matched chains: `rule_id`, ordered `links`, `final_event_id`, `final_event` (FINAL_COLUMNS).
 
     The step-matching events are few but cost a pass over everything, and they
@@ -191,7 +194,7 @@ def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool =
     once in the shared checkpoint folder.
     """
     hits = saved(numbered_hits(events, rules, dedupe, slice_rows))
-    chains = find_chains(hits, rules, block_rows)
+    chains = find_chains(hits, rules, block_rows, look_back)
     if capped:
         chains = cap_matches(chains, rules)
     cited = chains.select("_key", "_final", "rule_idx", F.posexplode("_chain").alias("_at", "_pos"))

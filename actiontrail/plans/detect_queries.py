@@ -258,8 +258,8 @@ def _is(kind):
     return F.col("event_type") == _KINDS[kind]
 
 
-def _chain_query(spark, sf, *rules, capped=True):
-    found = chains.chain_matches(_chain_rows(spark, sf), list(rules), capped=capped)
+def _chain_query(spark, sf, *rules, capped=True, **kw):
+    found = chains.chain_matches(_chain_rows(spark, sf), list(rules), capped=capped, **kw)
     return found.select("rule_id", F.array_join("cited_event_ids", ",").alias("chain"))
 
 
@@ -307,6 +307,17 @@ def chain_time(spark, sf):
                                                     within_seconds=86_400), capped=False)
 
 
+@query("W8_chain_far_back", _NUMBERED + """
+  SELECT 'far' AS rule_id, id1 || ',' || id AS chain FROM (
+    SELECT f.id, f.user_id, f.pos, arg_min(a.id, a.pos) AS id1 FROM n f JOIN n a ON a.user_id = f.user_id
+      AND a.event_type = 'error' AND a.pos < f.pos AND f.us - a.us BETWEEN 0 AND 864000000000
+    WHERE f.event_type = 'click' GROUP BY ALL)""")
+def chain_far_back(spark, sf):
+    """A rule of ten days alone, with the look-back raised over what a user's ten days hold."""
+    return _chain_query(spark, sf, chains.ChainRule("far", (_is("error"), _is("click")), within_seconds=864_000),
+                        capped=False, look_back=4096)
+
+
 @query("W10_chain_duplicate_ids", _NUMBERED + """
   SELECT 'two' AS rule_id, id1 || ',' || id AS chain FROM (
     SELECT f.id, f.user_id, f.pos, arg_min(a.id, a.pos) AS id1 FROM n f JOIN n a ON a.user_id = f.user_id
