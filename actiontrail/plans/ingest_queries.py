@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions.patches import patch_changes
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
@@ -32,18 +32,24 @@ def _log(spark, sf, path: str, user: Column, other: Column, head: Column | None
     return rows.withColumn("sha256", F.sha2("local_path", 256))
 
 
-def _counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(
-        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"),
-        F.count_distinct("evidence.local_path").alias("files"))
+def _rows(events: DataFrame) -> DataFrame:
+    """One row per event; where in its file a session starts or ends is left open."""
+    life = F.col("event_type").startswith("session.")
+    path = F.regexp_replace("evidence.local_path", "#.*", "")
+    return events.select(
+        path.alias("path"), F.when(~life, F.col("evidence.line")).alias("line"), "event_type", "session_id",
+        F.when(~life, F.substring("timestamp", 1, 19)).alias("timestamp"), "command",
+        # Event ids are unique, so a count of equal ids is 1 everywhere.
+        F.count(F.lit(1)).over(Window.partitionBy("event_id")).alias("same_id"))
 
 
-def _expected(*parts: tuple[str, str]) -> str:
+def _expected(prefix: str, *parts: tuple[str, str], line: str = "turn + 2", session: str = "'c' || conv_id",
+              stamp: str = f"'{_STAMP[:19]}'", commands: tuple[str, ...] = ("command.exec",)) -> str:
     """`(event type, role filter)` per expected event."""
-    union = " UNION ALL ".join(
-        f"SELECT '{kind}' AS event_type, conv_id FROM conversations WHERE {cond}" for kind, cond in parts)
-    return (f"SELECT event_type, count(*) AS events, count(*) AS ids, count(DISTINCT conv_id) AS files "
-            f"FROM ({union}) GROUP BY event_type")
+    return " UNION ALL ".join(
+        f"SELECT '{prefix}' || conv_id || '.jsonl' AS path, {'NULL' if kind.startswith('session.') else f'CAST({line} AS BIGINT)'} AS line, "
+        f"'{kind}' AS event_type, {session} AS session_id, {'NULL' if kind.startswith('session.') else stamp} AS \"timestamp\", "
+        f"{repr('ls') if kind in commands else 'NULL'} AS command, 1 AS same_id FROM conversations WHERE {cond}" for kind, cond in parts)
 
 
 _USER, _OTHER, _EACH = "role = 'user'", "role <> 'user'", "turn = 0"
@@ -66,26 +72,28 @@ def _claude_lines(spark, sf):
     return _log(spark, sf, "/h/.claude/projects/p/", user, other)
 
 
-@query("S3_claude_transcripts", _expected(*_TALK, *_LIFE))
+@query("S3_claude_transcripts", _expected("/h/.claude/projects/p/", *_TALK, *_LIFE))
 def claude_transcripts(spark, sf):
-    return _counts(claude.transcripts(_claude_lines(spark, sf))[0])
+    return _rows(claude.transcripts(_claude_lines(spark, sf))[0])
 
 
-@query("S3_cowork_audit", _expected(*_TALK, *_LIFE))
+@query("S3_cowork_audit", _expected("/h/.claude/projects/p/", *_TALK, *_LIFE))
 def cowork_audit(spark, sf):
-    return _counts(claude.cowork(_claude_lines(spark, sf))[0])
+    return _rows(claude.cowork(_claude_lines(spark, sf))[0])
 
 
-@query("S3_claude_history", _expected(("prompt.user", "true")))
+@query("S3_claude_history", _expected("/h/.claude/history-", ("prompt.user", "true"),
+        stamp="strftime(make_timestamp(1767225600000000 + turn * 1000), '%Y-%m-%dT%H:%M:%S')"))
 def claude_history(spark, sf):
     rec = _js(display=F.col("text"), project="/w", sessionId=_SID, timestamp=F.col("turn") + 1_767_225_600_000)
-    return _counts(claude.claude_history(_log(spark, sf, "/h/.claude/history-", rec, rec))[0])
+    return _rows(claude.claude_history(_log(spark, sf, "/h/.claude/history-", rec, rec))[0])
 
 
-@query("S3_codex_history", _expected(("prompt.user", "true")))
+@query("S3_codex_history", _expected("/h/.codex/history-", ("prompt.user", "true"),
+        stamp="strftime(make_timestamp(1767225600000000 + turn * 1000000), '%Y-%m-%dT%H:%M:%S')"))
 def codex_history(spark, sf):
     rec = _js(session_id=_SID, ts=F.col("turn") + 1_767_225_600, text=F.col("text"))
-    return _counts(claude.codex_history(_log(spark, sf, "/h/.codex/history-", rec, rec))[0])
+    return _rows(claude.codex_history(_log(spark, sf, "/h/.codex/history-", rec, rec))[0])
 
 
 def _rollout_lines(spark, sf, path):
@@ -96,14 +104,14 @@ def _rollout_lines(spark, sf, path):
     return _log(spark, sf, path, user, call, head)
 
 
-@query("S3_codex_rollouts", _expected(("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
+@query("S3_codex_rollouts", _expected("/h/.codex/sessions/rollout-", ("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
 def codex_rollouts(spark, sf):
-    return _counts(codex.rollouts(_rollout_lines(spark, sf, "/h/.codex/sessions/rollout-"))[0])
+    return _rows(codex.rollouts(_rollout_lines(spark, sf, "/h/.codex/sessions/rollout-"))[0])
 
 
-@query("S3_openclaw_sessions", _expected(("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
+@query("S3_openclaw_sessions", _expected("/h/.openclaw/agents/", ("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
 def openclaw_sessions(spark, sf):
-    return _counts(compact.openclaw(_rollout_lines(spark, sf, "/h/.openclaw/agents/"))[0])
+    return _rows(compact.openclaw(_rollout_lines(spark, sf, "/h/.openclaw/agents/"))[0])
 
 
 def _tolerant_lines(spark, sf, path, tool):
@@ -113,45 +121,47 @@ def _tolerant_lines(spark, sf, path, tool):
     return _log(spark, sf, path, user, other)
 
 
-@query("S3_cursor_transcripts", _expected(*_TALK, *_LIFE))
+@query("S3_cursor_transcripts", _expected("/h/.cursor/", *_TALK, *_LIFE))
 def cursor_transcripts(spark, sf):
-    return _counts(tolerant.transcripts(_tolerant_lines(spark, sf, "/h/.cursor/", "run_terminal_cmd"), "cursor")[0])
+    return _rows(tolerant.transcripts(_tolerant_lines(spark, sf, "/h/.cursor/", "run_terminal_cmd"), "cursor")[0])
 
 
-@query("S3_windsurf_transcripts", _expected(*_TALK, *_LIFE))
+@query("S3_windsurf_transcripts", _expected("/h/.windsurf/", *_TALK, *_LIFE))
 def windsurf_transcripts(spark, sf):
-    return _counts(tolerant.transcripts(_tolerant_lines(spark, sf, "/h/.windsurf/", "run_command"), "windsurf")[0])
+    return _rows(tolerant.transcripts(_tolerant_lines(spark, sf, "/h/.windsurf/", "run_command"), "windsurf")[0])
 
 
-@query("S3_copilot_events", _expected(("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
+@query("S3_copilot_events", _expected("/h/.copilot/", ("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
 def copilot_events(spark, sf):
     user = _js(type="userPromptSubmitted", sessionId=_SID, timestamp=_STAMP, prompt=F.col("text"))
     other = _js(type="preToolUse", sessionId=_SID, timestamp=_STAMP, toolName="Bash", toolCallId=_CID,
                 toolArgs=F.to_json(_js(**_CALL)))
-    return _counts(tolerant.transcripts(_log(spark, sf, "/h/.copilot/", user, other), "copilot")[0])
+    return _rows(tolerant.transcripts(_log(spark, sf, "/h/.copilot/", user, other), "copilot")[0])
 
 
-@query("S3_gemini_journals", _expected(*_TALK, ("command.result", _OTHER), ("session.start", _EACH)))
+@query("S3_gemini_journals", _expected("/h/.gemini/tmp/a/chats/", *_TALK, ("command.result", _OTHER), ("session.start", _EACH),
+                                        commands=("command.exec", "command.result")))
 def gemini_journals(spark, sf):
     mid = F.concat(F.lit("m"), F.col("turn").cast("string"))
     user = _js(id=mid, type="user", timestamp=_STAMP, content=F.col("text"))
     other = _js(id=mid, type="gemini", timestamp=_STAMP, content=F.col("text"), toolCalls=F.array(_js(
         id=_CID, name="run_shell_command", args=_js(**_CALL), status="success")))
-    return _counts(gemini.journals(_log(spark, sf, "/h/.gemini/tmp/a/chats/", user, other,
+    return _rows(gemini.journals(_log(spark, sf, "/h/.gemini/tmp/a/chats/", user, other,
                                         _js(sessionId=_SID, startTime=_STAMP)))[0])
 
 
-@query("S3_opencode_store", _expected(("prompt.user", _USER), ("command.exec", _OTHER), ("command.result", _OTHER)).replace(
-    "count(DISTINCT conv_id)", "count(*)"))
+@query("S3_opencode_store", _expected("/o/", ("prompt.user", _USER), ("command.exec", _OTHER), ("command.result", _OTHER),
+                                       line="0", stamp=f"CASE WHEN role = 'user' THEN '{_STAMP[:19]}' END",
+                                       commands=("command.exec", "command.result")))
 def opencode_store(spark, sf):
     user = _js(role="user", sessionID=_SID, time=_js(created=F.lit(1_767_225_600_000)))
     other = _js(type="tool", sessionID=_SID, callID=_CID, tool="bash", state=_js(
         status="completed", input=_js(**_CALL), output=F.col("text")))
     rows = _log(spark, sf, "/o/", user, other)
-    return _counts(compact.opencode(rows.withColumn("local_path", F.concat_ws("#", "local_path", "line")))[0])
+    return _rows(compact.opencode(rows.withColumn("local_path", F.concat_ws("#", "local_path", "line")))[0])
 
 
-@query("S3_pi_sessions", _expected(*_TALK, ("session.start", _EACH)))
+@query("S3_pi_sessions", _expected("/h/.pi/agent/sessions/", *_TALK, ("session.start", _EACH)))
 def pi_sessions(spark, sf):
     block = lambda **kv: F.struct(*[F.lit(kv.get(n)).cast(t).alias(n) if not isinstance(kv.get(n), Column) else kv[n].alias(n)
                                     for n, t in (("type", "string"), ("text", "string"), ("id", "string"), ("name", "string"),
@@ -159,17 +169,18 @@ def pi_sessions(spark, sf):
     user = _js(type="message", timestamp=_STAMP, message=_js(role="user", content=F.col("text")))
     other = _js(type="message", timestamp=_STAMP, message=_js(role="assistant", content=F.array(
         block(type="text", text=F.col("text")), block(type="toolCall", id=_CID, name="bash", arguments=_js(**_CALL)))))
-    return _counts(compact.pi(_log(spark, sf, "/h/.pi/agent/sessions/", user, other,
+    return _rows(compact.pi(_log(spark, sf, "/h/.pi/agent/sessions/", user, other,
                                    _js(type="session", id=_SID, version=3, cwd="/w", timestamp=_STAMP)))[0])
 
 
-@query("S3_kimi_wires", _expected(("prompt.user", _USER), ("command.exec", _OTHER), ("session.start", _EACH)))
+@query("S3_kimi_wires", _expected("/h/.kimi/sessions/w/", ("prompt.user", _USER), ("command.exec", _OTHER), ("session.start", _EACH),
+                                   session="NULL"))
 def kimi_wires(spark, sf):
     user = _js(type="turn.prompt", time=F.lit(1_767_225_600_000), origin=_js(kind="user"),
                input=F.array(_js(type="text", text=F.col("text"))))
     other = _js(type="context.append_loop_event", time=F.lit(1_767_225_600_000), event=_js(
         type="tool.call", toolCallId=_CID, name="Bash", args=_js(**_CALL)))
-    return _counts(compact.kimi(_log(spark, sf, "/h/.kimi/sessions/w/", user, other, _js(
+    return _rows(compact.kimi(_log(spark, sf, "/h/.kimi/sessions/w/", user, other, _js(
         type="metadata", protocol_version="1", created_at=F.lit(1_767_225_600_000))))[0])
 
 
@@ -199,14 +210,14 @@ def _telemetry(spark, sf) -> DataFrame:
 
 
 @query("S5_otlp_events", f"""
-  SELECT source_agent, event_type, count(*) AS events, count(DISTINCT user_id) AS sessions, min(t) AS first_seen FROM (
-    SELECT {_SERVICE} AS source_agent, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CASE event_type WHEN 'signup' THEN 'prompt.user'
-      WHEN 'view' THEN 'file.read' WHEN 'click' THEN 'network.indicator' ELSE 'command.result' END AS event_type
-    FROM events WHERE event_type <> 'error') GROUP BY ALL""")
+  SELECT {_SERVICE} AS source_agent, CASE event_type WHEN 'signup' THEN 'prompt.user' WHEN 'view' THEN 'file.read'
+      WHEN 'click' THEN 'network.indicator' ELSE 'command.result' END AS event_type, CAST(user_id AS VARCHAR) AS session_id,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", CASE WHEN event_type = 'view' THEN '/f/' || k END AS file_path,
+    CASE WHEN event_type = 'click' THEN 'https://h.example/' || k END AS url, CASE WHEN event_type = 'purchase' THEN CAST(k AS INT) END AS exit_code
+  FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1) AS k FROM events) AS e WHERE event_type <> 'error'""")
 def otlp_events(spark, sf):
-    return otlp.events(_telemetry(spark, sf)).groupBy("source_agent", "event_type").agg(
-        F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"),
-        F.min(F.substring("timestamp", 1, 19)).alias("first_seen"))
+    return otlp.events(_telemetry(spark, sf)).select(
+        "source_agent", "event_type", "session_id", F.substring("timestamp", 1, 19).alias("timestamp"), "file_path", "url", "exit_code")
 
 
 @query("F6_P9_telemetry_outcomes", f"""
@@ -217,11 +228,10 @@ def telemetry_outcomes(spark, sf):
 
 
 @query("S6_hook_events", f"""
-  SELECT event_type, count(*) AS events, count(DISTINCT session_id) AS sessions, count(command) AS commands, count(DISTINCT f) AS paths FROM (
-    SELECT event_type, session_id, command, NULL AS f FROM ({ACTIONS_SQL}) WHERE event_type IN ('command.exec', 'network.indicator')
-    UNION ALL SELECT 'file.read', session_id, NULL, unnest([file_path, file_path || '.bak']) FROM ({ACTIONS_SQL}) WHERE event_type = 'file.read'
-    UNION ALL SELECT 'permission.denied', session_id, NULL, NULL FROM ({ACTIONS_SQL}) WHERE event_type = 'permission.denied')
-  GROUP BY event_type""")
+  SELECT event_type, session_id, "timestamp", command, url, NULL AS file_path FROM ({ACTIONS_SQL})
+    WHERE event_type IN ('command.exec', 'network.indicator', 'permission.denied')
+  UNION ALL SELECT 'file.read', session_id, "timestamp", NULL, NULL, unnest([file_path, file_path || '.bak']) FROM ({ACTIONS_SQL})
+    WHERE event_type = 'file.read'""")
 def hook_events(spark, sf):
     a = actions(spark, sf)
     kind = F.col("event_type")
@@ -234,19 +244,21 @@ def hook_events(spark, sf):
     rows = a.where(kind != "config.agent").select(
         "seq", F.lit("copilot").alias("agent"),
         F.when(kind == "permission.denied", "permissionDenied").otherwise("preToolUse").alias("event"), payload.alias("payload"))
-    return hooks.events(rows).groupBy("event_type").agg(
-        F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count("command").alias("commands"),
-        F.count_distinct("file_path").alias("paths"))
+    return hooks.events(rows).select("event_type", "session_id", "timestamp", "command", "url", "file_path")
 
 
 @query("U1_sensor_union", f"""
   SELECT 'otel' AS source_type, count(*) AS events FROM events WHERE event_type <> 'error'
-  UNION ALL SELECT 'artifact', (SELECT count(*) FROM conversations)""")
+  UNION ALL SELECT 'artifact', (SELECT count(*) FROM conversations)
+  UNION ALL SELECT 'hook', (SELECT count(*) FROM events WHERE event_type = 'purchase')""")
 def sensor_union(spark, sf):
     rec = _js(display=F.col("text"), project="/w", sessionId=_SID, timestamp=F.col("turn") + 1_767_225_600_000)
     stored, _ = claude.claude_history(_log(spark, sf, "/h/.claude/history-", rec, rec))
     live = otlp.events(_telemetry(spark, sf))
-    return live.unionByName(stored, allowMissingColumns=True).groupBy("source_type").agg(F.count("*").alias("events"))
+    asked = actions(spark, sf).where(F.col("event_type") == "command.exec").select(
+        "seq", F.lit("copilot").alias("agent"), F.lit("preToolUse").alias("event"),
+        F.to_json(_js(session_id=F.col("session_id"), tool_name="Bash", tool_input=_js(command=F.col("command")))).alias("payload"))
+    return live.unionByName(hooks.events(asked), allowMissingColumns=True).unionByName(stored, allowMissingColumns=True).groupBy("source_type").agg(F.count("*").alias("events"))
 
 
 @query("P26b_patch_changes", """
