@@ -54,10 +54,10 @@ def ordered_events(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("_cut", F.struct(
         F.col("_k.class").alias("class"),
         F.floor(F.unix_micros("_k.instant") / 60_000_000).alias("minute"),
-        # Rows without a usable instant have no minute; arrival slices keep
-        # them apart while the raw text still orders junk timestamps.
-        F.when(F.col("_k.class") == 2, F.substring("_k.raw", 1, 8)).alias("junk"),
-        F.when(F.col("_k.class") == 0, F.floor(F.col(SEQ) / SLICE_ROWS)).alias("slice")))
+        # Rows without a usable instant have no minute: their whole text orders them, and equal
+        # texts and missing ones follow arrival, of which a slice is bounded.
+        F.when(F.col("_k.class") == 2, F.col("_k.raw")).alias("junk"),
+        F.when(F.col("_k.class") != 1, F.floor(F.col(SEQ) / SLICE_ROWS)).alias("slice")))
     keys = [*SESSION_KEYS]
     before = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy(*keys, "_cut").agg(F.count("*").alias("_n"))

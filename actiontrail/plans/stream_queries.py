@@ -29,7 +29,8 @@ def _folder(spark) -> str:
 
 def _stream(spark, sf: str, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema if name != "events" else spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+    # A pattern, as a stream reads what it finds below a path: a file here, a folder of files elsewhere.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 class _Streamed:

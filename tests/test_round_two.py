@@ -134,3 +134,15 @@ def test_chain_may_deny(spark):
 def test_oversize_records_need_a_place(spark):
     with pytest.raises(ValueError):
         jobs.deliver(spark.range(1), "/tmp/none", {}, max_bytes=10)
+
+
+def test_container_options_with_values(spark):
+    from actiontrail.operators import rules as R
+
+    options = ("--ip 10.0.0.5", "--log-opt max-size=1m", "--mac-address 02:42:ac:11:00:02", "--cidfile /tmp/x", "--userns host",
+               "--memory-swap 1g", "-e A=1 --label-file f", "--link db", "--storage-opt size=1G", "--volumes-from other")
+    rule = next(r for r in R.load_rules() if r.id == "privilege.container_host_escape")
+    rows = spark.createDataFrame([(f"{k}{i}", t) for i, o in enumerate(options) for k, t in (
+        ("yes", f"docker run {o} --privileged alpine"), ("no", f"docker run {o} alpine --privileged"))], "id string, command string")
+    hit = command_columns(rows).where(F.expr(rule.expr)).select("id").collect()
+    assert sorted(r.id for r in hit) == sorted(f"yes{i}" for i in range(len(options)))
