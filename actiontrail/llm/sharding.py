@@ -5,8 +5,9 @@ Each record hashes to one of `N_SLOTS` virtual slots for good; a versioned map s
 map: only slots that have to move do. Maps are tables (version, vslot, shard) of N_SLOTS rows each, whatever the data.
 Law: `bytes` - the shards' sizes are as near to equal as whole slots allow.
 
-Records hash by doc_id and text, so a doc_id that many rows share is spread; null ids and texts are values of
-their own. Repeated rows share a slot. Columns of the same names as those added are replaced.
+Records hash by their text, so equal texts share a slot and a shard; null counts as a text of its own. Only a group of
+copies that holds more than a quarter of an even shard hashes by doc_id as well, as it would outweigh its shard: there are at
+most four such groups for each shard. Columns of the same names as those added are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +24,23 @@ N_SLOTS = 8192
 MAP = "version int, vslot int, shard int"
 
 
-def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Adds vslot and size (UTF-8 bytes of the text plus 1)."""
-    return (docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
-            .withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slots)).cast("int")))
+def sized(docs: DataFrame) -> DataFrame:
+    """Adds size (UTF-8 bytes of the text plus 1) and text_hash."""
+    return docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("text_hash", F.xxhash64("text"))
+
+
+def heavy_groups(rows: DataFrame, shards: int) -> list[int]:
+    """Text hashes whose rows hold more than a quarter of an even shard: fewer than four for each shard."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return [r["text_hash"] for r in groups.where((F.col("n") * (4 * shards) > total) & (F.col("rows") > 1)).collect()]
+
+
+def slotted(rows: DataFrame, heavy: list[int] = [], n_slots: int = N_SLOTS) -> DataFrame:  # noqa: B006 - never changed
+    """Adds vslot to rows with doc_id and text_hash."""
+    by_text, by_both = F.xxhash64("text_hash"), F.xxhash64("text_hash", "doc_id")
+    chosen = F.when(F.col("text_hash").isin(*heavy), by_both).otherwise(by_text) if heavy else by_text
+    return rows.withColumn("vslot", F.pmod(chosen, F.lit(n_slots)).cast("int"))
 
 
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
@@ -92,8 +106,9 @@ def assign(rows: DataFrame, slots: DataFrame, order: list[str]) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has none)."""
     spark = docs.sparkSession
-    narrow = saved(slotted(docs).select("doc_id", "size", "vslot",
-                                        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")), "sharding")
+    rows = saved(sized(docs.select("doc_id", "text")).select(
+        "doc_id", "size", "text_hash", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
+    narrow = slotted(rows, heavy_groups(rows, shards))
     slots = saved(map_table(spark, 1, first_map(slot_bytes(narrow), shards)), "slot-map")
     return (assign(narrow, slots, ["doc_id", "text_crc32", "size"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

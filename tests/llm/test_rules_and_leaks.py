@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from actiontrail.llm import decontaminate, quality, sharding
@@ -121,11 +122,24 @@ def test_sharding(spark):
         places[r.shard].append(r.slot)
         load[r.shard] += r["size"]
     assert set(places) == set(range(8)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
     rest = [n for n in load.values() if n < 80_000]
     assert max(rest) - min(rest) < 400
     assert sharding.shard_documents(docs.where("false")).count() == 0
 
 
+def test_large_group_of_copies_is_spread(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same text in half of all rows").otherwise(
+        F.concat(F.lit("an own text with number "), F.col("id").cast("string"))).alias("text"))
+    load = collections.Counter()
+    for r in sharding.shard_documents(docs).collect():
+        load[r.shard] += r["size"]
+    assert len(load) == 8 and max(load.values()) - min(load.values()) < 200
+
+
 def test_rebalancing_moves_little():
     rng = np.random.default_rng(3)
     sizes = dict(enumerate(rng.integers(1, 1000, 4096).tolist()))
