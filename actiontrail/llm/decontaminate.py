@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from actiontrail.llm.fm_index import FMIndex
 from actiontrail.llm.shared import get, put, scratch, ship
-from actiontrail.llm.text_bytes import mixed, parts, prefix_hash, span_hash, texts
+from actiontrail.llm.text_bytes import parts, prefix_hash, span_hash, texts
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000

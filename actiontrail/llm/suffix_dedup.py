@@ -85,6 +85,25 @@ def with_keys(docs: DataFrame) -> DataFrame:
         "doc", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text")
 
 
+def packed(rows: DataFrame, column: str = "text") -> DataFrame:
+    """The rows with a text column as Zstandard frames, for the way through an exchange; null stays null."""
+    at = rows.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                texts_here = part.column(at).cast(pa.binary()).to_pylist()
+                blobs = pa.array([None if t is None else pack.compress(t) for t in texts_here], pa.binary())
+                yield pa.RecordBatch.from_arrays([blobs if i == at else c for i, c in enumerate(part.columns)], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
 def gram_blocks(keyed: DataFrame, buckets: int) -> DataFrame:
     """(bucket, key hashes, counts, gram hashes, places): a slice of texts sends one row to each bucket it has grams for.
 
@@ -289,15 +308,15 @@ RUN = "bucket int, kind int, shared binary, rest binary, before binary, records
 
 
 def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
-    """From (doc, h1, text, places): front-coded runs for each bucket (kind 0), windows of heavy grams (kind 1), and
+    """From (doc, h1, text as a frame, places): front-coded runs for each bucket (kind 0), windows of heavy grams (kind 1), and
     what a slice can tell alone (kind 2: spans of suffixes that it holds twice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
-        for part in parts(batches, 2, 2 << 20):
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for part in parts(batches, 2, 1 << 20):
             doc, h1 = (np.asarray(part.column(k)).astype(np.int64) for k in (0, 1))
-            data, offsets = texts(part.column(2))
+            data, offsets = texts(pa.array([unpack.decompress(b) for b in part.column(2).to_pylist()], pa.binary()))
             places = [np.frombuffer(b"".join(p), "<u4") for p in part.column(3).to_pylist()]
             owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
             value = np.concatenate(places) if places else np.zeros(0, np.uint32)
@@ -479,8 +498,9 @@ def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     again = shared_anchors(gram_blocks(hashed, buckets), heavy)
     gathered = again.groupBy("key").agg(F.collect_list("places").alias("places"))
     late = copies.select(F.xxhash64("doc", "h1").alias("key"))
-    wanted = gathered.join(late, "key", "left_anti")
-    runs = suffix_runs(hashed.hint("merge").join(wanted, "key").select("doc", "h1", "text", "places"), buckets)
+    wanted = gathered.join(late.withColumn("late", F.lit(True)), "key", "left").where("late IS NULL")
+    texts_packed = packed(hashed.select("key", "doc", "h1", "text"))
+    runs = suffix_runs(texts_packed.hint("merge").join(wanted, "key").select("doc", "h1", "text", "places"), buckets)
     found = (merged_spans(runs).groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     return found.withColumn("whole", F.lit(False)).unionByName(
         copies.select("doc", "h1", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("found"), F.lit(True).alias("whole")))
@@ -491,26 +511,35 @@ def dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     plain = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = (plain.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-            .withColumn("_h1", F.xxhash64(text)))
+            .withColumn("_h1", F.xxhash64(text)).withColumn("_size", F.octet_length(text)))
     hits = spans(docs, heavy).select(F.col("doc").alias("_d"), F.col("h1").alias("_h"), "found", "whole")
     here = (F.col("_doc") == F.col("_d")) & (F.col("_h1") == F.col("_h"))
-    joined = rows.join(hits, here, "left").drop("_d", "_h")
+    joined = packed(rows).hint("merge").join(hits, here, "left").drop("_d", "_h")
     # Rows that repeat both id and text: one keeps its place in the order, the others are later copies.
     nth = F.row_number().over(Window.partitionBy("_doc", "_h1").orderBy("_h1"))
     joined = joined.withColumn("_nth", nth)
-    late = (F.coalesce(F.col("whole"), F.lit(False)) | (F.col("_nth") > 1)) & (F.octet_length(text) >= LENGTH)
-    ready = joined.withColumn("_late", late).drop("_doc", "_h1", "_nth", "whole").withColumn("_bytes", text.cast("binary"))
+    late = (F.coalesce(F.col("whole"), F.lit(False)) | (F.col("_nth") > 1)) & (F.col("_size") >= LENGTH)
+    ready = joined.withColumn("_late", late)
     fields = plain.schema.fields
     names = plain.columns
     schema = T.StructType(fields + [T.StructField("kept", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in
                                                                             ("n_bytes", "n_removed", "n_spans"))])
     width = len(fields)
 
+    place = names.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        slices = (batch.slice(k, 1000) for batch in batches for k in range(0, batch.num_rows, 1000))
+        for batch in slices:
             kept, counts = [], []
-            found, late, raw = (batch.column(width + k) for k in range(3))
-            for own, gone, data in zip(found, late.to_pylist(), raw.to_pylist()):
+            found, late = batch.column(width), batch.column(width + 1)
+            raw = [None if b is None else unpack.decompress(b) for b in batch.column(place).to_pylist()]
+            columns = list(batch.columns[:width])
+            columns[place] = pa.array(raw, pa.binary()).cast(pa.string())
+            for own, gone, data in zip(found, late.to_pylist(), (b or b"" for b in raw)):
                 size, removed, many, out = len(data), 0, 0, data
                 if gone:
                     removed, many, out = size, 1, b""
@@ -529,10 +558,10 @@ def dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
                 kept.append(out)
                 counts.append((size, removed, many))
             table = np.asarray(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(kept, pa.binary()),
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()),
                                               *(pa.array(table[:, k]) for k in range(3))], names=schema.fieldNames())
 
-    return ready.select(*names, "found", "_late", "_bytes").mapInArrow(run, schema)
+    return ready.select(*names, "found", "_late").mapInArrow(run, schema)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
