@@ -146,3 +146,29 @@ def test_container_options_with_values(spark):
         ("yes", f"docker run {o} --privileged alpine"), ("no", f"docker run {o} alpine --privileged"))], "id string, command string")
     hit = command_columns(rows).where(F.expr(rule.expr)).select("id").collect()
     assert sorted(r.id for r in hit) == sorted(f"yes{i}" for i in range(len(options)))
+
+
+def test_companion_cases(spark, tmp_path):
+    from actiontrail.operators import companions, rules as R
+
+    (tmp_path / "a_tests.yaml").write_text("""
+rule_id: exec.destructive_recursive_delete
+cases:
+  - {name: root, expect: match, events: [{event_type: command.exec, command: rm -rf /}]}
+  - {name: inside if, expect: match, events: [{event_type: command.exec, command: "if true; then rm -rf /; fi"}]}
+  - {name: quoted, expect: no_match, events: [{event_type: command.exec, command: "echo 'rm -rf /'"}]}
+  - {name: wrong on purpose, expect: no_match, events: [{event_type: command.exec, command: rm -rf /}]}
+""")
+    (tmp_path / "b_tests.yaml").write_text("""
+rule_id: chain.privilege_discovery_then_elevation
+cases:
+  - {name: in order, expect: match, events: [{event_type: command.exec, command: sudo -l}, {event_type: command.exec, command: sudo -i}]}
+  - {name: first half, expect: no_match, events: [{event_type: command.exec, command: sudo -l}]}
+  - {name: second half, expect: no_match, events: [{event_type: command.exec, command: sudo -i}]}
+""")
+    report = companions.case_report(spark, R.load_rules(), companions.load_cases(tmp_path)).collect()
+    assert {(r.case_name, r.passed) for r in report} == {("root", True), ("inside if", True), ("quoted", True), ("wrong on purpose", False),
+                                                         ("in order", True), ("first half", True), ("second half", True)}
+    (tmp_path / "c_tests.yaml").write_text("rule_id: x\ncases: [{name: a, expect: maybe, events: [{}]}]")
+    with pytest.raises(R.RuleError):
+        companions.load_cases(tmp_path)
