@@ -7,12 +7,11 @@ pass: a case's name goes into its events' ids and correlation fields, so chains
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from actiontrail import schema as S
 from actiontrail.operators import chains
@@ -61,22 +60,32 @@ def load_cases(folder: str | Path) -> list[Case]:
     return out
 
 
+def _filled(case: Case, at: int, event: dict) -> dict:
+    out = {k: v for k, v in event.items() if v not in ("", None)}
+    out = {"schema_version": S.SCHEMA_VERSION, "source_agent": "unknown", "source_type": "artifact", "confidence": "high"} | out
+    unknown = set(out) - set(S.EVENT_COLUMNS)
+    if unknown:
+        raise RuleError(f"case {case.key}: unknown event fields {sorted(unknown)}")
+    evidence = {"artifact_type": "rule_fixture"} | (event.get("evidence") or {})
+    if out["source_type"] == "artifact":
+        evidence["local_path"] = f"{case.key}{MARK}{evidence.get('local_path') or 'rule-fixture'}"
+    elif out.get("session_id"):
+        out["session_id"] = f"{case.key}{MARK}{out['session_id']}"
+    return out | {"evidence": evidence, "event_id": f"{case.key}{MARK}{at}{MARK}{event.get('event_id') or ''}"}
+
+
 def case_events(spark: SparkSession, cases: Sequence[Case]) -> DataFrame:
     """The events of all cases, filled and kept apart by their case."""
-    rows = [(c.key, i, json.dumps(e, default=str)) for c in cases for i, e in enumerate(c.events)]
-    raw = spark.createDataFrame(rows, "_case string, _at int, _json string")
-    parsed = raw.select("_case", "_at", F.from_json("_json", S.EVENT_SCHEMA).alias("e")).select("_case", "_at", "e.*")
-    fill = {"schema_version": S.SCHEMA_VERSION, "source_agent": "unknown", "source_type": "artifact", "confidence": "high"}
-    filled = parsed.withColumns({c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(v)) for c, v in fill.items()})
-    apart = lambda c: F.concat("_case", F.lit(MARK), F.coalesce(c, F.lit("")))
-    live = F.col("source_type") != "artifact"
-    evidence = F.col("evidence").withField("local_path", F.when(~live, apart(F.col("evidence.local_path"))).otherwise(F.col("evidence.local_path")))
-    evidence = F.when(F.col("evidence").isNotNull(), evidence).otherwise(
-        S.evidence(F.lit("rule_fixture"), F.when(~live, apart(F.lit("rule-fixture")))))
-    return filled.withColumns({
-        "evidence": evidence, S.SEQ: F.col("_at").cast("bigint"),
-        "event_id": apart(F.concat(F.col("_at").cast("string"), F.lit(MARK), F.coalesce("event_id", F.lit("")))),
-        "session_id": F.when(live & (F.col("session_id") != ""), apart(F.col("session_id"))).otherwise(F.col("session_id"))}).drop("_case", "_at")
+    kinds = {f.name: f.dataType for f in S.EVENT_SCHEMA.fields}
+    parts = [f.name for f in kinds["evidence"].fields]
+    rows = []
+    for case in cases:
+        for at, event in enumerate(case.events):
+            full = _filled(case, at, event)
+            evidence = tuple(full["evidence"].get(n) for n in parts)
+            rows.append((*(evidence if n == "evidence" else full.get(n) for n in S.EVENT_COLUMNS if n != S.SEQ), at))
+    fields = [f for f in S.EVENT_SCHEMA.fields if f.name != S.SEQ]
+    return spark.createDataFrame(rows, T.StructType([*fields, T.StructField(S.SEQ, T.LongType())]))
 
 
 def case_report(spark: SparkSession, rules: Sequence[Rule], cases: Sequence[Case]) -> DataFrame:
