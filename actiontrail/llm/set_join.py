@@ -356,15 +356,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of which one of each class stays: that with the smallest doc_id; texts without words all stay."""
+    """The documents of which one of each class stays: that with the smallest doc_id. Texts without words all stay, repeated
+    rows of them once."""
     classes = saved(near_classes(docs, threshold), "classes")
-    first = (classes.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("pick"))
-             .select(F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash")))
+    pick = F.min(F.struct("doc_id", "text_hash")).alias("pick")
+    # A text without words is a class of its own.
+    first = classes.groupBy("root", F.when(F.col("root").isNull(), F.struct("doc_id", "text_hash")).alias("own")).agg(pick)
+    keys = first.select(F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
-    kept = rows.join(first, here, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    empty = classes.where("root IS NULL").select(F.col("text_hash").alias("_hash")).distinct()
-    return kept.unionByName(rows.join(empty, F.col("_text_hash") == F.col("_hash"), "left_semi")).drop("_text_hash")
+    return rows.join(keys, here, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def class_report(docs: DataFrame) -> DataFrame:
