@@ -53,21 +53,30 @@ def _expected(prefix: str, *parts: tuple[str, str], line: str = "turn + 2", sess
 
 
 _USER, _OTHER, _EACH = "role = 'user'", "role <> 'user'", "turn = 0"
-_SID = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
-_CID = F.concat(F.lit("k"), F.col("turn").cast("string"))
+
+
+# Columns need a running session, so these are made when a query is.
+def _sid() -> Column:
+    return F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+
+
+def _cid() -> Column:
+    return F.concat(F.lit("k"), F.col("turn").cast("string"))
+
+
 _TALK = (("prompt.user", _USER), ("message.assistant", _OTHER), ("command.exec", _OTHER))
 _LIFE = (("session.start", _EACH), ("session.end", _EACH))
 
 
 def _claude_lines(spark, sf):
-    uid = F.concat(_SID, F.lit("-"), F.col("turn").cast("string"))
-    user = _js(type="user", uuid=uid, sessionId=_SID, timestamp=_STAMP, message=_js(role="user", content=F.col("text")))
-    other = _js(type="assistant", uuid=uid, sessionId=_SID, timestamp=_STAMP, message=_js(
+    uid = F.concat(_sid(), F.lit("-"), F.col("turn").cast("string"))
+    user = _js(type="user", uuid=uid, sessionId=_sid(), timestamp=_STAMP, message=_js(role="user", content=F.col("text")))
+    other = _js(type="assistant", uuid=uid, sessionId=_sid(), timestamp=_STAMP, message=_js(
         role="assistant", content=F.concat(
             F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("id"),
                              F.lit(None).cast("string").alias("name"),
                              F.lit(None).cast("struct<command:string>").alias("input"))),
-            F.array(F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), _CID.alias("id"),
+            F.array(F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), _cid().alias("id"),
                              F.lit("Bash").alias("name"), F.struct(F.lit("ls").alias("command")).alias("input"))))))
     return _log(spark, sf, "/h/.claude/projects/p/", user, other)
 
@@ -85,22 +94,22 @@ def cowork_audit(spark, sf):
 @query("S3_claude_history", _expected("/h/.claude/history-", ("prompt.user", "true"),
         stamp="strftime(make_timestamp(1767225600000000 + turn * 1000), '%Y-%m-%dT%H:%M:%S')"))
 def claude_history(spark, sf):
-    rec = _js(display=F.col("text"), project="/w", sessionId=_SID, timestamp=F.col("turn") + 1_767_225_600_000)
+    rec = _js(display=F.col("text"), project="/w", sessionId=_sid(), timestamp=F.col("turn") + 1_767_225_600_000)
     return _rows(claude.claude_history(_log(spark, sf, "/h/.claude/history-", rec, rec))[0])
 
 
 @query("S3_codex_history", _expected("/h/.codex/history-", ("prompt.user", "true"),
         stamp="strftime(make_timestamp(1767225600000000 + turn * 1000000), '%Y-%m-%dT%H:%M:%S')"))
 def codex_history(spark, sf):
-    rec = _js(session_id=_SID, ts=F.col("turn") + 1_767_225_600, text=F.col("text"))
+    rec = _js(session_id=_sid(), ts=F.col("turn") + 1_767_225_600, text=F.col("text"))
     return _rows(claude.codex_history(_log(spark, sf, "/h/.codex/history-", rec, rec))[0])
 
 
 def _rollout_lines(spark, sf, path):
     item = lambda **p: _js(timestamp=_STAMP, type="response_item", payload=_js(**p))
-    head = _js(timestamp=_STAMP, type="session_meta", payload=_js(id=_SID, cwd="/w", cli_version="1"))
+    head = _js(timestamp=_STAMP, type="session_meta", payload=_js(id=_sid(), cwd="/w", cli_version="1"))
     user = _js(timestamp=_STAMP, type="event_msg", payload=_js(type="user_message", message=F.col("text")))
-    call = item(type="function_call", name="shell", call_id=_CID, arguments=F.lit('{"command":["bash","-lc","ls"]}'))
+    call = item(type="function_call", name="shell", call_id=_cid(), arguments=F.lit('{"command":["bash","-lc","ls"]}'))
     return _log(spark, sf, path, user, call, head)
 
 
@@ -115,9 +124,9 @@ def openclaw_sessions(spark, sf):
 
 
 def _tolerant_lines(spark, sf, path, tool):
-    user = _js(role="user", conversationId=_SID, timestamp=_STAMP, content=F.col("text"))
-    other = _js(role="assistant", conversationId=_SID, timestamp=_STAMP, text=F.col("text"),
-                toolCalls=F.array(_js(name=tool, callId=_CID, args=_js(**_CALL))))
+    user = _js(role="user", conversationId=_sid(), timestamp=_STAMP, content=F.col("text"))
+    other = _js(role="assistant", conversationId=_sid(), timestamp=_STAMP, text=F.col("text"),
+                toolCalls=F.array(_js(name=tool, callId=_cid(), args=_js(**_CALL))))
     return _log(spark, sf, path, user, other)
 
 
@@ -133,8 +142,8 @@ def windsurf_transcripts(spark, sf):
 
 @query("S3_copilot_events", _expected("/h/.copilot/", ("prompt.user", _USER), ("command.exec", _OTHER), *_LIFE))
 def copilot_events(spark, sf):
-    user = _js(type="userPromptSubmitted", sessionId=_SID, timestamp=_STAMP, prompt=F.col("text"))
-    other = _js(type="preToolUse", sessionId=_SID, timestamp=_STAMP, toolName="Bash", toolCallId=_CID,
+    user = _js(type="userPromptSubmitted", sessionId=_sid(), timestamp=_STAMP, prompt=F.col("text"))
+    other = _js(type="preToolUse", sessionId=_sid(), timestamp=_STAMP, toolName="Bash", toolCallId=_cid(),
                 toolArgs=F.to_json(_js(**_CALL)))
     return _rows(tolerant.transcripts(_log(spark, sf, "/h/.copilot/", user, other), "copilot")[0])
 
@@ -145,17 +154,17 @@ def gemini_journals(spark, sf):
     mid = F.concat(F.lit("m"), F.col("turn").cast("string"))
     user = _js(id=mid, type="user", timestamp=_STAMP, content=F.col("text"))
     other = _js(id=mid, type="gemini", timestamp=_STAMP, content=F.col("text"), toolCalls=F.array(_js(
-        id=_CID, name="run_shell_command", args=_js(**_CALL), status="success")))
+        id=_cid(), name="run_shell_command", args=_js(**_CALL), status="success")))
     return _rows(gemini.journals(_log(spark, sf, "/h/.gemini/tmp/a/chats/", user, other,
-                                        _js(sessionId=_SID, startTime=_STAMP)))[0])
+                                        _js(sessionId=_sid(), startTime=_STAMP)))[0])
 
 
 @query("S3_opencode_store", _expected("/o/", ("prompt.user", _USER), ("command.exec", _OTHER), ("command.result", _OTHER),
                                        line="0", stamp=f"CASE WHEN role = 'user' THEN '{_STAMP[:19]}' END",
                                        commands=("command.exec", "command.result")))
 def opencode_store(spark, sf):
-    user = _js(role="user", sessionID=_SID, time=_js(created=F.lit(1_767_225_600_000)))
-    other = _js(type="tool", sessionID=_SID, callID=_CID, tool="bash", state=_js(
+    user = _js(role="user", sessionID=_sid(), time=_js(created=F.lit(1_767_225_600_000)))
+    other = _js(type="tool", sessionID=_sid(), callID=_cid(), tool="bash", state=_js(
         status="completed", input=_js(**_CALL), output=F.col("text")))
     rows = _log(spark, sf, "/o/", user, other)
     return _rows(compact.opencode(rows.withColumn("local_path", F.concat_ws("#", "local_path", "line")))[0])
@@ -168,9 +177,9 @@ def pi_sessions(spark, sf):
                                                  ("arguments", "struct<command:string>"))])
     user = _js(type="message", timestamp=_STAMP, message=_js(role="user", content=F.col("text")))
     other = _js(type="message", timestamp=_STAMP, message=_js(role="assistant", content=F.array(
-        block(type="text", text=F.col("text")), block(type="toolCall", id=_CID, name="bash", arguments=_js(**_CALL)))))
+        block(type="text", text=F.col("text")), block(type="toolCall", id=_cid(), name="bash", arguments=_js(**_CALL)))))
     return _rows(compact.pi(_log(spark, sf, "/h/.pi/agent/sessions/", user, other,
-                                   _js(type="session", id=_SID, version=3, cwd="/w", timestamp=_STAMP)))[0])
+                                   _js(type="session", id=_sid(), version=3, cwd="/w", timestamp=_STAMP)))[0])
 
 
 @query("S3_kimi_wires", _expected("/h/.kimi/sessions/w/", ("prompt.user", _USER), ("command.exec", _OTHER), ("session.start", _EACH),
@@ -179,7 +188,7 @@ def kimi_wires(spark, sf):
     user = _js(type="turn.prompt", time=F.lit(1_767_225_600_000), origin=_js(kind="user"),
                input=F.array(_js(type="text", text=F.col("text"))))
     other = _js(type="context.append_loop_event", time=F.lit(1_767_225_600_000), event=_js(
-        type="tool.call", toolCallId=_CID, name="Bash", args=_js(**_CALL)))
+        type="tool.call", toolCallId=_cid(), name="Bash", args=_js(**_CALL)))
     return _rows(compact.kimi(_log(spark, sf, "/h/.kimi/sessions/w/", user, other, _js(
         type="metadata", protocol_version="1", created_at=F.lit(1_767_225_600_000))))[0])
 
@@ -252,7 +261,7 @@ def hook_events(spark, sf):
   UNION ALL SELECT 'artifact', (SELECT count(*) FROM conversations)
   UNION ALL SELECT 'hook', (SELECT count(*) FROM events WHERE event_type = 'purchase')""")
 def sensor_union(spark, sf):
-    rec = _js(display=F.col("text"), project="/w", sessionId=_SID, timestamp=F.col("turn") + 1_767_225_600_000)
+    rec = _js(display=F.col("text"), project="/w", sessionId=_sid(), timestamp=F.col("turn") + 1_767_225_600_000)
     stored, _ = claude.claude_history(_log(spark, sf, "/h/.claude/history-", rec, rec))
     live = otlp.events(_telemetry(spark, sf))
     asked = actions(spark, sf).where(F.col("event_type") == "command.exec").select(

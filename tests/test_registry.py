@@ -30,3 +30,13 @@ def test_oracle(spark, sf_dir, name):
     at = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr) == want
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 70 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
