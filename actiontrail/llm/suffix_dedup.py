@@ -136,7 +136,12 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def shared_anchors(blocks: DataFrame, heavy: int) -> DataFrame:
-    """(key, places): the anchors whose gram occurs again somewhere; the top bit marks grams with more than `heavy`."""
+    """(key, places): the anchors whose gram occurs again somewhere; the top bit marks grams with more than `heavy`.
+
+    A bucket answers in one row for each bucket of texts, and those become one row for each text.
+    """
+    dests = spread_count(blocks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of(batches, 1, 1):
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -156,13 +161,34 @@ def shared_anchors(blocks: DataFrame, heavy: int) -> DataFrame:
                 value = place[keep] | np.where(many[keep] > heavy, HEAVY_BIT, np.uint32(0))
                 owner = owner[keep]
                 ends = np.searchsorted(owner, np.arange(len(key) + 1))
-                raw = value.astype("<u4").tobytes()
                 full = np.flatnonzero(np.diff(ends))
-                blobs = [raw[a * 4:b * 4] for a, b in zip(ends[full].tolist(), ends[full + 1].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(blobs, pa.binary())],
-                                                 names=["key", "places"])
+                dest = key[full] % np.uint64(dests)
+                rows: list[list] = [[], [], [], []]
+                for d in np.unique(dest).tolist():
+                    mine = full[dest == d]
+                    parts_here = [value[ends[k]:ends[k + 1]] for k in mine.tolist()]
+                    for out, v in zip(rows, (d, key[mine].tobytes(), np.diff(ends)[mine].astype(np.uint32).tobytes(),
+                                             np.concatenate(parts_here).astype("<u4").tobytes())):
+                        out.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])],
+                                                 names=["dest", "keys", "counts", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in runs_of(batches, 1, 1):
+            for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = table.slice(first, last - first)
+                counts = _joined(own.column(2), "<u4")
+                key, place = np.repeat(_joined(own.column(1), "<u8"), counts), _joined(own.column(3), "<u4")
+                order = np.argsort(key, kind="stable")
+                key, raw = key[order], place[order].tobytes()
+                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(key))
+                blobs = [raw[x * 4:y * 4] for x, y in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts].view(np.int64)), pa.array(blobs, pa.binary())], names=["key", "places"])
 
-    return blocks.repartition(spread_count(blocks), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, places binary")
+    answers = (blocks.repartition(spread_count(blocks), "bucket").sortWithinPartitions("bucket")
+               .mapInArrow(run, "dest int, keys binary, counts binary, places binary"))
+    return answers.repartition(dests, "dest").sortWithinPartitions("dest").mapInArrow(gather, "key long, places binary")
 
 
 def common(rows: np.ndarray) -> np.ndarray:
@@ -317,7 +343,7 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
         for part in parts(batches, 2, 1 << 20):
             doc, h1 = (np.asarray(part.column(k)).astype(np.int64) for k in (0, 1))
             data, offsets = texts(pa.array([unpack.decompress(b) for b in part.column(2).to_pylist()], pa.binary()))
-            places = [np.frombuffer(b"".join(p), "<u4") for p in part.column(3).to_pylist()]
+            places = [np.frombuffer(p, "<u4") for p in part.column(3).to_pylist()]
             owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
             value = np.concatenate(places) if places else np.zeros(0, np.uint32)
             is_heavy, place = (value & HEAVY_BIT) > 0, (value & ~HEAVY_BIT).astype(np.int64)
@@ -496,9 +522,8 @@ def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     buckets = spread_count(docs)
     hashed = keyed.where(F.octet_length("text") >= LENGTH).withColumn("key", F.xxhash64("doc", "h1"))
     again = shared_anchors(gram_blocks(hashed, buckets), heavy)
-    gathered = again.groupBy("key").agg(F.collect_list("places").alias("places"))
     late = copies.select(F.xxhash64("doc", "h1").alias("key"))
-    wanted = gathered.join(late.withColumn("late", F.lit(True)), "key", "left").where("late IS NULL")
+    wanted = again.join(late.withColumn("late", F.lit(True)), "key", "left").where("late IS NULL")
     texts_packed = packed(hashed.select("key", "doc", "h1", "text"))
     runs = suffix_runs(texts_packed.hint("merge").join(wanted, "key").select("doc", "h1", "text", "places"), buckets)
     found = (merged_spans(runs).groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("found")))
