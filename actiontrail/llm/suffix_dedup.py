@@ -111,6 +111,8 @@ def gram_blocks(keyed: DataFrame, buckets: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
+            # Of equal texts one speaks; those of other slices are met in the bucket.
+            part = part.take(pa.array(np.sort(np.unique(np.asarray(part.column(0)), return_index=True)[1])))
             key = np.asarray(part.column(0)).view(np.uint64)
             data, offsets = texts(part.column(1))
             at, gram = anchors(data, offsets)
@@ -136,7 +138,8 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def shared_anchors(blocks: DataFrame, heavy: int) -> DataFrame:
-    """(key, places): the anchors whose gram occurs again somewhere; the top bit marks grams with more than `heavy`.
+    """(key, places): the anchors whose gram occurs again at another place or in another text; the top bit marks grams with
+    more than `heavy`. A text that several slices sent counts once.
 
     A bucket answers in one row for each bucket of texts, and those become one row for each text.
     """
@@ -154,9 +157,17 @@ def shared_anchors(blocks: DataFrame, heavy: int) -> DataFrame:
                 new[1:] = sorted_gram[1:] != sorted_gram[:-1]
                 starts = np.flatnonzero(new)
                 sizes = np.diff(np.append(starts, len(gram)))
-                many = np.zeros(len(gram), np.int64)
-                many[order] = np.repeat(sizes, sizes)
                 owner = np.repeat(np.arange(len(key)), counts)
+                again = order[np.repeat(sizes, sizes) > 1]
+                again = again[np.lexsort((place[again], key[owner[again]], gram[again]))]
+                g, k, p = gram[again], key[owner[again]], place[again]
+                new = np.ones(len(again), bool)
+                new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+                again, g = again[new], g[new]
+                starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(starts, len(g)))
+                many = np.zeros(len(gram), np.int64)
+                many[again] = np.repeat(sizes, sizes)
                 keep = np.flatnonzero(many > 1)
                 value = place[keep] | np.where(many[keep] > heavy, HEAVY_BIT, np.uint32(0))
                 owner = owner[keep]
@@ -520,12 +531,11 @@ def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
               .where("n > 1"))
     copies = saved(narrow.join(firsts, ["h1", "h2"]).where(F.col("doc") != F.col("first")).select("doc", "h1").distinct(), "copies")
     buckets = spread_count(docs)
-    hashed = keyed.where(F.octet_length("text") >= LENGTH).withColumn("key", F.xxhash64("doc", "h1"))
-    again = shared_anchors(gram_blocks(hashed, buckets), heavy)
-    late = copies.select(F.xxhash64("doc", "h1").alias("key"))
-    wanted = again.join(late.withColumn("late", F.lit(True)), "key", "left").where("late IS NULL")
-    texts_packed = packed(hashed.select("key", "doc", "h1", "text"))
-    runs = suffix_runs(texts_packed.hint("merge").join(wanted, "key").select("doc", "h1", "text", "places"), buckets)
+    hashed = keyed.where(F.octet_length("text") >= LENGTH).select(F.col("h1").alias("key"), "doc", "text")
+    wanted = shared_anchors(gram_blocks(hashed, buckets), heavy)
+    # A text takes part once, as its first document: neither later copies nor rows that repeat id and text meet it.
+    texts_packed = packed(hashed).groupBy("key").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    runs = suffix_runs(texts_packed.hint("merge").join(wanted, "key").select("doc", F.col("key").alias("h1"), "text", "places"), buckets)
     found = (merged_spans(runs).groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     return found.withColumn("whole", F.lit(False)).unionByName(
         copies.select("doc", "h1", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("found"), F.lit(True).alias("whole")))

@@ -97,6 +97,15 @@ def test_suffixes_of_repeated_rows(spark):
     assert suffix_dedup.dedup(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [suffix_dedup.HEAVY, 1])
+def test_repeated_rows_keep_one(spark, heavy):
+    long, other = "q" * 50 + "r" * 60, " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long), (1, long), (4, other), (4, other), (4, other), (6, other), (7, "x" + other[:150])]
+    got = [tuple(r) for r in suffix_dedup.dedup(table(spark, rows), heavy).select("doc_id", "n_removed", "n_spans").collect()]
+    n = len(other)
+    assert sorted(got) == sorted([(1, 0, 0), (1, 110, 1), (4, 0, 0), (4, n, 1), (4, n, 1), (6, n, 1), (7, 150, 1)])
+
+
 def test_suffixes_over_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted(tuple(r) for r in suffix_dedup.dedup_report(docs).collect())
