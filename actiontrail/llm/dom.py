@@ -6,7 +6,14 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea title select math object".split())
+#: Raw text up to the end tag: what an HTML reader takes no tags from. Only its own end tag ends it, in ASCII letters of any case.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in ("script", "style", "iframe", "textarea", "title")}
+#: Block nodes that may stand inside a paragraph.
+PHRASING = frozenset("noscript template svg select math object".split())
+#: Elements inside these are inline, until a tag of HTML's blocks shows that the end tag is missing.
+FOREIGN = frozenset(("svg", "math"))
+BLOCKS = frozenset(("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+                    "header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
                     "strike strong sub sup time tt u var wbr input button").split())
 #: An opening tag of the key ends open elements of these names, up to the nearest holder.
@@ -47,7 +54,6 @@ def parse(page: str) -> list[Node]:
     root = Node("#root", None, frozenset(), 0, None)
     nodes, stack, at, order, run = [root], [("#root", root)], 0, 0, []
     link = 0
-    low = None
 
     def flush() -> None:
         nonlocal order
@@ -90,30 +96,35 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             if rest.endswith("/"):
                 continue
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
+            last = RAW[tag].search(page, at)
+            if last is None:
                 at = len(page)
                 break
-            end = page.find(">", end)
+            end = page.find(">", last.end())
             at = len(page) if end < 0 else end + 1
             continue
         if tag == "br":
             run.append(" ")
             continue
+        foreign = stack[-1][1].tag in FOREIGN
+        if foreign and tag in BLOCKS:
+            while stack[-1][1].tag in FOREIGN:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in FOREIGN and stack[k][1] is stack[-1][1]))
+            foreign = False
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
-        if tag in INLINE:
-            stack[-1][1].inline += 1
+        if tag in INLINE or foreign and tag not in PHRASING:
+            stack[-1][1].inline += not foreign
+            if foreign and rest.endswith("/"):
+                continue
             if tag == "a":
                 link += 1
             stack.append((tag, stack[-1][1]))
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+        for k in range(len(stack) - 1, 0, -1) if tag not in PHRASING else ():  # a block ends an open paragraph
             if stack[k][0] == "p":
                 pop_to(k)
                 break

@@ -10,7 +10,8 @@ smallest hashes of their page_id) and sets them into page layouts of many kinds,
 sampled pages that hold one <article> or <main> join them. Scores never rise with the words of class, id and role that stand for
 other parts, nor with the link density (monotonic constraints).
 
-Null and empty html give an empty text. Scripts, styles, forms' fields and comments are never text. Pages are cut nowhere;
+Null and empty html give an empty text. Scripts, styles, titles, frames, text fields and comments are never text; formulas, drawings,
+choices, templates and what stands for scripts and objects are nodes like others. Pages are cut nowhere;
 repeated rows are treated alike; other columns are kept, and text and n_chars are replaced.
 """
 

@@ -67,6 +67,30 @@ def test_reader_of_odd_html():
     assert texts("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_only_raw_text_is_skipped():
+    texts = lambda page: [t for n in parse(page) for _, t in sorted(n.texts)]
+    for tag in ("svg", "math", "select", "object", "template", "noscript"):
+        assert texts(f"<{tag}><article><p>a</p></article><div>b</div>") == ["a", "b"], tag
+        assert texts(f"<p>x <{tag}>in</{tag}> y</p>z") == ["z", "x", "y", "in"], tag
+    assert texts("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p>") == ["so", "holds", "E=m"]
+    assert texts("<svg><path d='M0'/><g><text>t</text></svg><p>a</p>") == ["t", "a"]
+    assert texts("<p>a</p><script>x" + "\u0130" * 20 + "</script>b<p>" + "c" * 30) == ["b", "a", "c" * 30]
+    assert texts("<script>1</scripture>2</SCRIPT >a") == ["a"]
+    assert texts("<style>1</\u017ftyle>2</Style/>a") == ["a"]
+
+
+def test_formulas_and_unclosed_parts_of_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(60)
+    model = html_extract.train(pages)
+    rows = [r.html for r in pages.collect()]
+    plain = html_extract.texts_of(rows, model)
+    for tag in ("svg", "math", "select", "object", "template", "noscript"):
+        assert html_extract.texts_of([p.replace("<article>", f"<{tag}><article>", 1) for p in rows], model) == plain, tag
+    formula = "<p>It is known that <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds in this and in many other cases.</p>"
+    found = html_extract.texts_of([p.replace("<article>", "<article>" + formula, 1) for p in rows], model)
+    assert sum("It is known that holds in this" in t or "E=m" not in t for t in found) == 0
+
+
 def gold(page):
     found = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
     return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", found)).split())
