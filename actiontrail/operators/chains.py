@@ -8,6 +8,7 @@ some step travel past the numbering stage, and all rules share one exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions.scalars import hash_path, parsed_instant, present
 from actiontrail.operators.dedupe import first_per_id
-from actiontrail.operators.positions import SLICE_ROWS, add_positions
+from actiontrail.operators.positions import SLICE_ROWS, add_positions, carry
 from actiontrail.schema import SEQ
 from actiontrail.session import saved
 
@@ -24,6 +25,8 @@ MIN_RING = 256
 MAX_WITHIN_EVENTS = 4096
 MAX_MATCHES = 16
 STEP_RANGE = (2, 8)
+# A rule's time is cut into at most so many slices where it is the only bound.
+TIME_SLICES = 250
 
 
 @dataclass(frozen=True)
@@ -50,8 +53,7 @@ class ChainRule:
 
 
 def ring_size(rules: Sequence[ChainRule], look_back: int = MIN_RING) -> int:
-    """How many events of its group a chain may reach back. `look_back` is the bound of rules that only have a time:
-    raise it where a group can have more events than that inside a rule's time."""
+    """How many events of its group a chain may reach back. `look_back` is the bound of rules that only have a time."""
     return max([look_back, *[r.within_events or 0 for r in rules]])
 
 
@@ -171,6 +173,69 @@ def find_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | N
             .select("_key", "_final", "_x.rule_idx", F.col("_x.chain").alias("_chain")))
 
 
+def find_timed_chains(hits: DataFrame, rule: ChainRule, idx: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Chains of a rule whose only bound is its time, as `find_chains` gives them, over any number of events.
+
+    The start is the first in order of those from the final event's time minus the rule's to the final event's own, so it depends
+    on that time alone. Times are cut into slices that divide the rule's time: slices between the two ends count whole, by their
+    first start; those at the ends by what stands behind or before a place in them. A busy group is spread over its slices.
+    """
+    span = int(rule.within_seconds * 1_000_000)
+    width = max(span // math.gcd(span, TIME_SLICES), 1)
+    back = span // width
+    last = len(rule.steps) - 1
+    rows = hits.select("_key", "_pos", "_ts", F.col(f"_m{idx}").alias("_m")).where("_m != 0")
+    rows = rows.withColumn("_tail", F.when(_bit("_m", last - 1), F.array("_pos")))
+    for step in range(last - 2, -1, -1):
+        rows = carry(rows, ["_key"], "_pos", {"_rest": F.col("_tail")}, inclusive=False, backward=True, slice_rows=slice_rows)
+        rows = rows.withColumn("_tail", F.when(_bit("_m", step), F.concat(F.array("_pos"), "_rest"))).drop("_rest")
+    rows = rows.where("_ts IS NOT NULL")
+    none = F.lit(None).cast("array<bigint>")
+    cut = F.floor(F.col("_at") / F.lit(width))
+    # Tails compare by their first position, which no other start has.
+    starts = (rows.where("_tail IS NOT NULL").groupBy("_key", F.col("_ts").alias("_at")).agg(F.min("_tail").alias("_low"))
+              .withColumns({"_slice": cut, "_end": F.lit(None).cast("bigint")}))
+    finals = rows.where(_bit("_m", last))
+    ends = finals.select("_key", F.col("_ts").alias("_end")).distinct()
+    near = ends.withColumn("_at", F.col("_end"))
+    far = ends.withColumn("_at", F.col("_end") - span)
+    inside = Window.partitionBy("_key", "_slice").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [starts.unionByName(side.withColumns({"_slice": cut, "_low": none}))
+             .withColumn("_low", F.min("_low").over(inside.orderBy(order))).where("_end IS NOT NULL").select("_key", "_end", "_low")
+             for side, order in ((near, F.asc("_at")), (far, F.desc("_at")))]
+    if back > 1:
+        whole = starts.groupBy("_key", "_slice").agg(F.min("_low").alias("_low"))
+        between = Window.partitionBy("_key").orderBy("_slice").rangeBetween(1 - back, -1)
+        asked = near.select("_key", cut.alias("_slice")).distinct()
+        passed = (whole.withColumn("_ask", F.lit(False)).unionByName(asked.withColumns({"_low": none, "_ask": F.lit(True)}))
+                  .withColumn("_low", F.min("_low").over(between)).where("_ask AND _low IS NOT NULL").drop("_ask"))
+        found.append(near.withColumn("_slice", cut).join(passed, ["_key", "_slice"]).select("_key", "_end", "_low"))
+    first = found[0]
+    for other in found[1:]:
+        first = first.unionByName(other)
+    first = first.groupBy("_key", "_end").agg(F.min("_low").alias("_low"))
+    return (finals.select("_key", "_pos", F.col("_ts").alias("_end")).join(first, ["_key", "_end"])
+            .where(F.element_at("_low", -1) < F.col("_pos"))
+            .select("_key", F.col("_pos").alias("_final"), F.lit(idx).alias("rule_idx"), F.concat("_low", F.array("_pos")).alias("_chain")))
+
+
+def find_all_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | None = None, look_back: int | None = MIN_RING,
+                    slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """`find_chains`; without a `look_back`, rules that only have a time reach over all events inside it."""
+    if look_back is not None:
+        return find_chains(hits, rules, block_rows, look_back)
+    counted = [i for i, r in enumerate(rules) if r.within_events is not None]
+    out = [find_timed_chains(hits, r, i, slice_rows) for i, r in enumerate(rules) if r.within_events is None]
+    if counted:
+        some = hits.select("_key", "_pos", "_ts", *[F.col(f"_m{i}").alias(f"_m{k}") for k, i in enumerate(counted)])
+        own = F.array(*[F.lit(i) for i in counted])
+        out.append(find_chains(some, [rules[i] for i in counted], block_rows).withColumn("rule_idx", F.get(own, F.col("rule_idx"))))
+    chains = out[0]
+    for other in out[1:]:
+        chains = chains.unionByName(other)
+    return chains
+
+
 def cap_matches(chains: DataFrame, rules: Sequence[ChainRule]) -> DataFrame:
     """Keep the first `max_matches` chains of each rule and group.
 
@@ -186,15 +251,17 @@ def cap_matches(chains: DataFrame, rules: Sequence[ChainRule]) -> DataFrame:
 
 def chain_matches(events: DataFrame, rules: Sequence[ChainRule], dedupe: bool = True,
                   capped: bool = True, slice_rows: int = SLICE_ROWS,
-                  block_rows: int | None = None, look_back: int = MIN_RING) -> DataFrame:
+                  block_rows: int | None = None, look_back: int | None = MIN_RING) -> DataFrame:
     """Matched chains: `rule_id`, ordered `links`, `final_event_id`, `final_event` (FINAL_COLUMNS).
 
+    `look_back` bounds the events that a rule with a time alone reaches over; None sets no bound but the time.
+
     The step-matching events are few but cost a pass over everything, and they
     are read twice (to find chains and to cite their events), so they are saved
     once in the shared checkpoint folder.
     """
     hits = saved(numbered_hits(events, rules, dedupe, slice_rows))
-    chains = find_chains(hits, rules, block_rows, look_back)
+    chains = find_all_chains(hits, rules, block_rows, look_back, slice_rows)
     if capped:
         chains = cap_matches(chains, rules)
     cited = chains.select("_key", "_final", "rule_idx", F.posexplode("_chain").alias("_at", "_pos"))

@@ -313,9 +313,9 @@ def chain_time(spark, sf):
       AND a.event_type = 'error' AND a.pos < f.pos AND f.us - a.us BETWEEN 0 AND 864000000000
     WHERE f.event_type = 'click' GROUP BY ALL)""")
 def chain_far_back(spark, sf):
-    """A rule of ten days alone, with the look-back raised over what a user's ten days hold."""
+    """A rule of ten days alone, over however many events these hold."""
     return _chain_query(spark, sf, chains.ChainRule("far", (_is("error"), _is("click")), within_seconds=864_000),
-                        capped=False, look_back=4096)
+                        capped=False, look_back=None)
 
 
 @query("W10_chain_duplicate_ids", _NUMBERED + """

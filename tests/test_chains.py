@@ -91,6 +91,43 @@ def test_matches_brute_force(spark, seed, capped, monkeypatch):
     assert len(found) > 20
 
 
+def step_frame(spark, rows):
+    df = spark.createDataFrame(rows, "seq bigint, session_id string, event_id string, timestamp string, diff_bytes bigint")
+    return conform(df.withColumns({
+        "source_agent": F.lit("codex"), "source_type": F.lit("hook"), "confidence": F.lit("high"), "event_type": F.lit("tool.call"),
+        "evidence": evidence("hook")})).withColumn("bits", F.coalesce("diff_bytes", F.lit(0)))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_time_is_the_only_bound(spark, seed):
+    # Groups of more events than the usual look-back, with times out of order.
+    rows = rows_for(seed, groups=3, length=700)
+    step = lambda i: F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
+    for kinds in (RULES, [("t2", 2, None, 60, 16), ("t4", 4, None, 1, 16), ("t3", 3, None, 0.0000001, 3), ("t5", 2, None, 0.000007, 3)]):
+        rules = [ChainRule(r, tuple(step(i) for i in range(n)), k, w, cap) for r, n, k, w, cap in kinds]
+        got = chain_matches(step_frame(spark, rows), rules, capped=False, slice_rows=32, look_back=None)
+        found = [(r.rule_id, tuple(r.cited_event_ids)) for r in got.collect()]
+        assert len(found) == len(set(found)) > 20
+        assert set(found) == brute(rows, kinds, 10**9, False)
+
+
+def test_far_back_of_a_busy_user(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    # 9,000 events of one user in nine days: errors first, then views only, clicks at the end; and a quiet user.
+    kinds = ["error"] * 3 + ["view"] * 8_900 + ["click"] * 97
+    rows = [(k, BASE.replace(tzinfo=None) + timedelta(seconds=86 * k), 3 if k % 50 else 4, kind, '{"k": 1}') for k, kind in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    name = "W8_chain_far_back"
+    got = sorted((r.rule_id, r.chain) for r in queries()[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == sorted(con.sql(oracle_sql()[name]).fetchall()) and len(got) > 90
+
+
 def test_rule_bounds():
     step = F.lit(True)
     with pytest.raises(ValueError):
