@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,13 @@ def features(nodes: list[Node]) -> list[list[float]]:
             for sums in (chars, links, tags, ends, blocks, paragraphs):
                 sums[up] += sums[k]
     total = max(chars[0], 1)
+    # Of each node: its place among its parent's kids; of each parent: its kids' tags and their longest text.
+    at, tally, longest = [0] * n, [Counter()] * n, [0] * n
+    for k, node in enumerate(nodes):
+        tally[k] = Counter(s.tag for s in node.kids)
+        for i, s in enumerate(node.kids):
+            at[place[id(s)]] = i
+            longest[k] = max(longest[k], chars[place[id(s)]])
     aside_above, main_above = [0] * n, [0] * n
     out = []
     for k, node in enumerate(nodes):
@@ -67,13 +75,12 @@ def features(nodes: list[Node]) -> list[list[float]]:
         plain_bad = bad > 0 or KIND.get(node.tag, -1) in (7, 8, 9, 10, 11)
         aside_above[k] = (aside_above[up] if up >= 0 else 0) + plain_bad
         main_above[k] = (main_above[up] if up >= 0 else 0) + (good > 0 or KIND.get(node.tag, -1) == 6)
-        siblings = node.parent.kids if node.parent is not None else [node]
-        same = sum(s.tag == node.tag for s in siblings)
-        at = siblings.index(node) if len(siblings) < 200 else 100
-        longest = max(chars[place[id(s)]] for s in siblings[:200])
+        siblings = len(nodes[up].kids) if up >= 0 else 1
+        same = tally[up][node.tag] if up >= 0 else 1
+        most = longest[up] if up >= 0 else chars[k]
         row = [math.log1p(chars[k]), chars[k] / total, math.log1p(own[k]), links[k] / max(chars[k], 1), tags[k] / (1 + chars[k] / 100),
-               bad, aside_above[k], good, main_above[k], node.depth, len(node.kids), at / max(len(siblings), 1), len(siblings), same / len(siblings),
-               chars[k] / max(longest, 1), ends[k] / (1 + chars[k] / 100), chars[k] / max(blocks[k], 1), math.log1p(paragraphs[k]),
+               bad, aside_above[k], good, main_above[k], node.depth, len(node.kids), at[k] / siblings, siblings, same / siblings,
+               chars[k] / max(most, 1), ends[k] / (1 + chars[k] / 100), chars[k] / max(blocks[k], 1), math.log1p(paragraphs[k]),
                node.order / (1 + nodes[-1].order), chars[up] / total if up >= 0 else 1.0]
         kind = [0.0] * len(KINDS)
         if node.tag in KIND:

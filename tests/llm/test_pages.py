@@ -91,6 +91,14 @@ def test_formulas_and_unclosed_parts_of_articles(spark):
     assert sum("It is known that holds in this" in t or "E=m" not in t for t in found) == 0
 
 
+def test_features_of_many_siblings():
+    nodes = parse("".join(f"<p>{'x' * (k + 1)}</p>" for k in range(500)) + "<div>y</div>")
+    rows = html_extract.features(nodes)[1:]
+    assert [r[11] for r in rows] == [k / 501 for k in range(501)]
+    assert [r[13] for r in rows] == [500 / 501] * 500 + [1 / 501]
+    assert [r[14] for r in rows] == [(k + 1) / 500 for k in range(500)] + [1 / 500]
+
+
 def gold(page):
     found = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
     return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", found)).split())
