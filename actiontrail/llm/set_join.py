@@ -39,7 +39,7 @@ BUCKET = 512
 TILE = 1024
 START_DEPTH, MAX_DEPTH = 2, 4
 SECOND = 0.25  # how often a path takes a second coordinate
-SLACK = 4.0  # standard errors below the threshold at which a sketch still counts
+SLACK = 4.5  # standard errors below the threshold at which a sketch still counts
 K1, K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 _BLANK = np.zeros(256, bool)
@@ -120,8 +120,32 @@ def survival(depth: int, similarity: float = THRESHOLD) -> float:
     return q
 
 
+def least_shared(threshold: float = THRESHOLD) -> float:
+    """How many coordinates a pair has to share to count as a candidate."""
+    return WIDTH * threshold - SLACK * math.sqrt(WIDTH * threshold * (1 - threshold))
+
+
+def missed(runs: int, threshold: float = THRESHOLD) -> float:
+    """The chance that a pair at the threshold is no candidate after so many runs down to `MAX_DEPTH`.
+
+    All runs draw from one sketch, so they are independent only once it is known how many of its coordinates the pair shares; pairs
+    that share too few are missed by any number of runs.
+    """
+    out = 0.0
+    for k in range(WIDTH + 1):
+        odds = math.comb(WIDTH, k) * threshold ** k * (1 - threshold) ** (WIDTH - k)
+        out += odds * ((1 - survival(MAX_DEPTH, k / WIDTH)) ** runs if k >= least_shared(threshold) else 1.0)
+    return out
+
+
 def runs_needed(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(MAX_DEPTH)))
+    floor = missed(100_000)
+    if floor >= 1 - recall:
+        raise ValueError(f"sketches of {WIDTH} coordinates reach a recall of {1 - floor:.6f} at most")
+    runs = 1
+    while missed(runs) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _children(path: np.ndarray, sketch: np.ndarray, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +211,7 @@ def near_forest(rows: DataFrame, threshold: float) -> DataFrame:
 
     Rows of one (path, i, j) are a bucket; in tiles of two blocks (i < j) only pairs across `side` count.
     """
-    least = WIDTH * threshold - SLACK * math.sqrt(WIDTH * threshold * (1 - threshold))
+    least = least_shared(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of(batches, 3):

@@ -151,6 +151,16 @@ def test_near_classes(spark):
     assert set_join.class_report(table(spark, [])).count() == 0
 
 
+def test_recall_of_one_sketch():
+    # Pairs at the threshold: shared coordinates are drawn first, then each run holds the pair or not.
+    rng = np.random.default_rng(5)
+    runs = set_join.runs_needed()
+    k = rng.binomial(set_join.WIDTH, set_join.THRESHOLD, 4_000_000)
+    chance = np.array([1 - set_join.survival(set_join.MAX_DEPTH, x / set_join.WIDTH) for x in range(set_join.WIDTH + 1)]) ** runs
+    least = set_join.WIDTH * 0.8 - set_join.SLACK * (set_join.WIDTH * 0.8 * 0.2) ** 0.5
+    assert np.where(k < least, 1.0, chance[k]).mean() <= 1 - set_join.RECALL
+
+
 def test_large_groups_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(set_join, "TILE", 8)
     monkeypatch.setattr(set_join, "BUCKET", 8)
