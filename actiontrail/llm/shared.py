@@ -79,6 +79,19 @@ def get(uri: str, start: int = 0, length: int | None = None) -> bytes:
         return file.read() if length is None else file.read(length)
 
 
+def private(df: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have, in any spelling."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever letters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def spread_count(df: DataFrame, least: int = 8) -> int:
     """Buckets that follow the cluster's shuffle width."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

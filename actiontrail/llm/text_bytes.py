@@ -64,12 +64,13 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in slices whose texts have about `limit` bytes; a longer text stands alone."""
+    """The rows in slices whose texts have about `limit` bytes (lists: elements); a longer one stands alone."""
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         if batch.num_rows:
             own = batch.column(column)
-            sizes = np.asarray(pa.compute.binary_length(own).fill_null(0))
+            measure = pa.compute.list_value_length if pa.types.is_list(own.type) else pa.compute.binary_length
+            sizes = np.asarray(measure(own).fill_null(0))
         begin, total = 0, 0
         for row, size in enumerate(sizes.tolist()):
             if row > begin and total + size > limit:
