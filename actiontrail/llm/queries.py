@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actiontrail.llm import bpe, decontaminate, html_extract, line_dedup, packing, quality, records, set_join, sharding, suffix_dedup, warc
+from actiontrail.llm import bpe, decontaminate, html_extract, line_dedup, packing, quality, records, set_join, sharding, spelling, suffix_dedup, token_align, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +59,16 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coding_report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_records, op3_suffix_dedup, op4_warc_bundles, op5_quality_rules, op6_virtual_slots,
     op7_decontamination, op8_main_text, op9_jaccard_join, op10_line_dedup,
-    op11_byte_pairs)}
+    op11_byte_pairs, op12_token_alignment, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.SQL}

@@ -79,4 +79,4 @@ def test_encode_and_decode_keep_other_columns(spark):
     both = bpe.decode(coded, to="IDS_text").collect()
     assert [(r.doc_id, r.text, r["a b.c"], r._read, r.IDS_text) for r in both] == [(d, t, 2, "r", t or "") for d, t in ROWS]
     odd = spark.createDataFrame([(None,), ([],), ([15496, None, -5, 10**8, 995],)], "ids array<long>")
-    assert [r.decoded for r in bpe.decode(odd.withColumn("ids", odd.ids.cast("array<int>"))).collect()] == ["", "", "Hello,"]
+    assert [r.decoded for r in bpe.decode(odd.withColumn("ids", odd.ids.cast("array<int>"))).collect()] == ["", "", "Hello world"]
