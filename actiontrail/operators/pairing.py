@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.operators.positions import SLICE_ROWS, carry
+from actiontrail.session import saved, ship
+
+# Rows of a conversation that one task pairs, and how many such slices are merged at once.
+OPEN_SLICE = 1 << 16
+OPEN_FAN = 64
 
 
 def earlier_owner(rows: DataFrame, group: Sequence[str], call_id: str, order: str,
@@ -56,38 +61,80 @@ def as_of_unmatched(rows: DataFrame, group: Sequence[str], name: str, order: str
 
 
 def latest_open_call(rows: DataFrame, group: Sequence[str], name: str, order: str, is_call: Column, is_response: Column,
-                     ident: Column, payload: Column, out: str = "matched") -> DataFrame:
+                     ident: Column, payload: Column, out: str = "matched", slice_rows: int = OPEN_SLICE, fan: int = OPEN_FAN) -> DataFrame:
     """Pair each response with the most recent unanswered call of its name; where both carry an id, the ids must be equal.
 
-    Rows of one (group, name) are folded in order over the list of open calls, in the group's own task: a group is one
-    conversation file. Runs in which no id occurs, or all rows carry one, give what `as_of_unmatched` gives.
+    A response always takes a fitting call of its own slice of arrival order before an older one, whatever stands further left,
+    so a slice is solved by itself and leaves a summary: the responses that found no call and the calls still open, in
+    order. Summaries of `fan` neighbouring slices are solved together in the same way, and so on; this is an associative merge, so
+    the result does not depend on the slices. Between levels, responses before a group's first open call and calls
+    behind its last open response are dropped, since nothing can pair them. `order` is a dense whole number, unique in its group.
     """
+    ship(rows.sparkSession)
     keys = [*group, name]
-    step = rows.withColumns({"_kind": F.when(is_call, 1).when(is_response, 2).otherwise(0),
-                             "_id": F.when(trim_blank(ident) != "", ident), "_pay": payload})
-    turn = F.struct(F.col(order).cast("bigint").alias("at"), F.col("_kind").alias("kind"), F.col("_id").alias("id"), F.col("_pay").alias("pay"))
-    lists = (step.where("_kind > 0").groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)])
-             .agg(F.array_sort(F.collect_list(turn)).alias("_turns")))
-    pay_type = step.schema["_pay"].dataType.simpleString()
-    kind = f"struct<open:array<struct<at:bigint,id:string,pay:{pay_type}>>,pairs:array<struct<at:bigint,pay:{pay_type}>>>"
-    start = F.struct(F.array().alias("open"), F.array().alias("pairs")).cast(kind)
-
-    def one(state: Column, t: Column) -> Column:
-        fits = F.filter(state["open"], lambda c: c["id"].isNull() | t["id"].isNull() | (c["id"] == t["id"]))
-        call = F.element_at(fits, -1)
-        hit = (t["kind"] == 2) & (F.size(fits) > 0)
-        opened = F.array_append(state["open"], F.struct(t["at"].alias("at"), t["id"].alias("id"), t["pay"].alias("pay")))
-        left = F.filter(state["open"], lambda c: c["at"] != call["at"])
-        paired = F.array_append(state["pairs"], F.struct(t["at"].alias("at"), call["pay"].alias("pay")))
-        return F.struct(F.when(t["kind"] == 1, opened).when(hit, left).otherwise(state["open"]).alias("open"),
-                        F.when(hit, paired).otherwise(state["pairs"]).alias("pairs")).cast(kind)
-
-    found = lists.select(*[f"_g{i}" for i in range(len(keys))], F.explode(F.aggregate("_turns", start, one)["pairs"]).alias("_p"))
-    same = step[order].cast("bigint") == found["_p.at"]
-    for i, k in enumerate(keys):
-        same = same & step[k].eqNullSafe(found[f"_g{i}"])
-    return (step.join(found, same, "left").withColumn(out, F.col("_p.pay"))
-            .drop("_kind", "_id", "_pay", "_p", *[f"_g{i}" for i in range(len(keys))]))
+    named = {"_h1": F.xxhash64(*keys), "_h2": F.xxhash64(F.lit("2"), *keys), "_kind": F.when(is_call, 1).when(is_response, 2).otherwise(0)}
+    step = rows.withColumns(named)
+    left = step.where("_kind > 0").select("_h1", "_h2", F.col(order).cast("bigint").alias("_at"), "_kind",
+                                          F.when(trim_blank(ident) != "", ident).alias("_id"), payload.alias("_pay"))
+    pairs, width = None, slice_rows
+    while True:
+        by = ["_h1", "_h2", "_slice"]
+        cut = left.withColumn("_slice", F.floor(F.col("_at") / F.lit(width)))
+        dealt = cut.repartition(*by).sortWithinPartitions(*by, "_at")
+        solved = saved(dealt.mapInArrow(_solve_slices, dealt.schema))
+        hit = solved.where("_kind = 3").select("_h1", "_h2", "_at", F.col("_pay").alias("_hit"))
+        pairs = hit if pairs is None else pairs.unionByName(hit)
+        rest = solved.where("_kind < 3")
+        ends = rest.groupBy("_h1", "_h2").agg(F.min(F.when(F.col("_kind") == 1, F.col("_at"))).alias("_first"),
+                                              F.max(F.when(F.col("_kind") == 2, F.col("_at"))).alias("_last"))
+        # What is open on both sides of a border goes on; inside a slice nothing is left to pair.
+        ends = ends.where((F.col("_first") < F.col("_last")) & (F.floor(F.col("_first") / F.lit(width)) < F.floor(F.col("_last") / F.lit(width))))
+        left = rest.join(ends, ["_h1", "_h2"]).where("CASE WHEN _kind = 1 THEN _at < _last ELSE _at > _first END").drop("_first", "_last", "_slice")
+        if ends.isEmpty():
+            break
+        width *= fan
+    same = (step["_h1"] == pairs["_h1"]) & (step["_h2"] == pairs["_h2"]) & (step[order].cast("bigint") == pairs["_at"]) & (step["_kind"] == 2)
+    return step.join(pairs, same, "left").select(*[step[c] for c in rows.columns if c != out], F.col("_hit").alias(out))
+
+
+def _solve_slices(batches):
+    """Rows sorted by key, slice and order: matched responses come out as kind 3 with their call's payload, the rest as it was."""
+    import pyarrow as pa
+
+    key, done, stacks, every, shape = None, [], {}, [], None
+
+    def close():
+        # Calls that were taken are marked by their kind.
+        return [r for r in done if r["_kind"]]
+
+    def latest(stack):
+        while stack and not stack[-1]["_kind"]:
+            stack.pop()
+        return stack[-1] if stack else None
+
+    for batch in batches:
+        shape, ready = batch.schema, []
+        for row in batch.to_pylist():
+            now = (row["_h1"], row["_h2"], row["_slice"])
+            if now != key:
+                ready += close()
+                key, done, stacks, every = now, [], {}, []
+            done.append(row)
+            if row["_kind"] == 1:
+                stacks.setdefault(row["_id"], []).append(row)
+                every.append(row)
+                continue
+            if row["_id"] is None:
+                call = latest(every)
+            else:
+                fitting = [c for c in (latest(stacks.get(row["_id"], [])), latest(stacks.get(None, []))) if c is not None]
+                call = max(fitting, key=lambda c: c["_at"], default=None)
+            if call is not None:
+                row["_kind"], row["_pay"], call["_kind"] = 3, call["_pay"], 0
+        if ready:
+            yield pa.RecordBatch.from_pylist(ready, schema=shape)
+    if done:
+        yield pa.RecordBatch.from_pylist(close(), schema=shape)
 
 
 def trim_blank(c: Column) -> Column:

@@ -496,6 +496,30 @@ def as_of_unmatched(spark, sf):
     return out.where(F.col("event_type") == "purchase").select("user_id", "event_id", "matched")
 
 
+@query("J2_open_calls_with_ids", """
+  WITH RECURSIVE n AS (SELECT user_id, event_id, event_type = 'purchase' AS answer,
+      CASE WHEN event_type = 'view' AND event_id % 3 > 0 OR event_type = 'purchase' AND event_id % 2 > 0 THEN CAST(event_id // 7 % 3 AS VARCHAR) END AS id,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+    FROM events WHERE event_type IN ('view', 'purchase')),
+  w AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, false AS answer, CAST([] AS STRUCT(e BIGINT, id VARCHAR)[]) AS stack, CAST(NULL AS BIGINT) AS matched
+      FROM n WHERE rn = 1
+    UNION ALL SELECT s.user_id, s.rn, s.event_id, s.answer,
+      CASE WHEN NOT s.answer THEN list_append(s.stack, {'e': s.event_id, 'id': s.id}) WHEN s.hit IS NULL THEN s.stack
+        ELSE list_concat(s.stack[1:s.hit - 1], s.stack[s.hit + 1:]) END,
+      CASE WHEN s.answer THEN s.stack[s.hit].e END
+    FROM (SELECT n.*, w.stack, list_max(list_filter(range(1, len(w.stack) + 1), lambda i: w.stack[i].id IS NULL OR n.id IS NULL OR w.stack[i].id = n.id)) AS hit
+          FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1) AS s)
+  SELECT user_id, event_id, matched FROM w WHERE answer""")
+def open_calls_with_ids(spark, sf):
+    """Each purchase closes the latest open view of its user; ids stand on some rows of both kinds and have to agree where both have one."""
+    kind, e = F.col("event_type"), F.col("event_id")
+    has = ((kind == "view") & (e % 3 > 0)) | ((kind == "purchase") & (e % 2 > 0))
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.lit("n").alias("name"),
+                                             F.when(has, (F.floor(e / 7) % 3).cast("string")).alias("id"))
+    out = pairing.latest_open_call(rows, ["user_id"], "name", "event_id", kind == "view", kind == "purchase", F.col("id"), F.col("event_id"))
+    return out.where(kind == "purchase").select("user_id", "event_id", "matched")
+
+
 @query("J3_late_failure", """
   WITH r AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase'),
   f AS (SELECT user_id, event_id AS fail FROM events WHERE event_type = 'error'),

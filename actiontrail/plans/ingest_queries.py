@@ -159,6 +159,57 @@ def gemini_journals(spark, sf):
                                         _js(sessionId=_sid(), startTime=_STAMP)))[0])
 
 
+def _documents(spark, sf, path: str, item: Column) -> DataFrame:
+    """One document per conversation: the array of its turns' items."""
+    c = table(spark, sf, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.to_json(item).alias("item"))))
+    return c.groupBy("conv_id").agg(turns.alias("t")).select(
+        F.concat(F.lit(path), F.col("conv_id").cast("string"), F.lit(".json")).alias("local_path"),
+        F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["item"]), ","), F.lit("]")).alias("raw"),
+        F.sha2(F.col("conv_id").cast("string"), 256).alias("sha256"))
+
+
+_PLACE = "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1"
+
+
+@query("S3_gemini_logs", f"""
+  SELECT '/h/.gemini/tmp/a/logs-' || conv_id || '.json' AS path, '/' || place || '/message' AS pointer, 'prompt.user' AS event_type,
+    'c' || conv_id AS session_id, strftime(make_timestamp(1767225600000000 + turn * 1000000), '%Y-%m-%dT%H:%M:%S') AS "timestamp"
+  FROM (SELECT *, {_PLACE} AS place FROM conversations) WHERE role = 'user'""")
+def gemini_logs(spark, sf):
+    stamp = F.date_format(F.timestamp_seconds(F.col("turn") + 1_767_225_600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = _js(type=F.when(F.col("role") == "user", "user").otherwise("info"), message=F.col("text"), sessionId=_sid(), timestamp=stamp)
+    return gemini.prompt_logs(_documents(spark, sf, "/h/.gemini/tmp/a/logs-", entry))[0].select(
+        F.col("evidence.local_path").alias("path"), F.col("evidence.json_pointer").alias("pointer"), "event_type", "session_id",
+        F.substring("timestamp", 1, 19).alias("timestamp"))
+
+
+# A turn of the model says something, runs a command and gets its result; ids stand on either side, on both or on neither.
+@query("S3_gemini_checkpoints", f"""
+  WITH t AS (SELECT *, {_PLACE} AS place, CASE WHEN turn % 3 = 0 THEN 'k' || turn END AS asked, CASE WHEN turn % 2 = 0 THEN 'k' || turn END AS answered FROM conversations),
+  p AS (SELECT *, unnest([0, 1, 2]) AS part FROM t)
+  SELECT '/h/.gemini/tmp/a/checkpoint-' || conv_id || '.json' AS path,
+    '/' || place || '/parts/' || part || ['/text', '/functionCall', '/functionResponse'][part + 1] AS pointer,
+    CASE WHEN role = 'user' THEN 'prompt.user' ELSE ['message.assistant', 'command.exec', 'command.result'][part + 1] END AS event_type,
+    CASE part WHEN 1 THEN asked WHEN 2 THEN coalesce(answered, asked) END AS tool_call_id,
+    CASE WHEN part = 1 THEN 'ls ' || turn END AS command, CASE WHEN part = 2 THEN CAST(turn % 5 AS INT) END AS exit_code
+  FROM p WHERE role <> 'user' OR part = 0""")
+def gemini_checkpoints(spark, sf):
+    turn, k = F.col("turn"), _cid()
+    part = lambda **kv: F.struct(*[kv.get(n, F.lit(None).cast(t)).alias(n) for n, t in (
+        ("text", "string"), ("functionCall", "struct<id:string,name:string,args:struct<command:string>>"),
+        ("functionResponse", "struct<id:string,name:string,response:struct<output:string,exitCode:bigint>>"))])
+    shell = F.lit("run_shell_command")
+    call = _js(id=F.when(turn % 3 == 0, k), name=shell, args=_js(command=F.concat(F.lit("ls "), turn.cast("string"))))
+    answer = _js(id=F.when(turn % 2 == 0, k), name=shell, response=_js(output=F.col("text"), exitCode=(turn % 5).cast("bigint")))
+    user = F.col("role") == "user"
+    said = part(text=F.col("text"))
+    message = _js(role=F.when(user, "user").otherwise("model"), parts=F.when(user, F.array(said)).otherwise(
+        F.array(said, part(functionCall=call), part(functionResponse=answer))))
+    return gemini.checkpoints(_documents(spark, sf, "/h/.gemini/tmp/a/checkpoint-", message))[0].select(
+        F.col("evidence.local_path").alias("path"), F.col("evidence.json_pointer").alias("pointer"), "event_type", "tool_call_id", "command", "exit_code")
+
+
 @query("S3_opencode_store", _expected("/o/", ("prompt.user", _USER), ("command.exec", _OTHER), ("command.result", _OTHER),
                                        line="0", stamp=f"CASE WHEN role = 'user' THEN '{_STAMP[:19]}' END",
                                        commands=("command.exec", "command.result")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="actiontrail-")) / "actiontrail_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage in the shared folder; survives lost executors."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions.scalars import blank_to_null, trim_space
 from actiontrail.operators.pairing import latest_open_call
@@ -19,6 +19,11 @@ DONE = ("success", "error", "cancelled")
 FILE_CONTENT_TOOLS = ("read_file", "read_many_files")
 
 
+def _slot(kind: int, i: Column) -> Column:
+    """A number of its own for each part of a message: texts, thoughts and calls never meet."""
+    return F.lit(kind << 40) + i
+
+
 def _parts(content: Column) -> Column:
     one = lambda t: F.from_json(F.to_json(F.array(F.struct(t.alias("text")))), f"array<{_PART}>")
     return F.coalesce(
@@ -83,14 +88,14 @@ def journals(lines: DataFrame, case_id: str | None = None, full: bool = False) -
     user = F.col("m.type") == "user"
     texts = F.transform(_parts(F.col("m.content")), lambda p, i: F.when(trim_space(p["text"]) != "", M.moment(
         kind="event", event_type=F.when(user, "prompt.user").otherwise("message.assistant"),
-        actor=F.when(user, "user").otherwise("assistant"), text=trim_space(p["text"]), block=i,
+        actor=F.when(user, "user").otherwise("assistant"), text=trim_space(p["text"]), block=_slot(0, i),
         pointer=F.when(F.col("m.content").rlike(r"\A\s*[\[{]"), F.concat(
             F.col("ptr"), F.lit("/content/"), i.cast("string"), F.lit("/text"))).otherwise(
                 F.concat(F.col("ptr"), F.lit("/content"))))))
     thoughts = F.coalesce(F.transform("m.thoughts", lambda t, i: F.when(
         trim_space(F.concat_ws(" ", t["subject"], t["description"])) != "", M.moment(
             kind="event", event_type="message.reasoning", actor="assistant", event_time=t["timestamp"],
-            text=F.concat_ws(" ", t["subject"], t["description"]), block=i + 500,
+            text=F.concat_ws(" ", t["subject"], t["description"]), block=_slot(1, i),
             pointer=F.concat(F.col("ptr"), F.lit("/thoughts/"), i.cast("string"))))), M.no_moments())
     known = F.col("m.type").isin("user", "gemini")
     words = M.explode_moments(said.where(known).select(
@@ -107,29 +112,32 @@ def journals(lines: DataFrame, case_id: str | None = None, full: bool = False) -
     three = F.array_compact(F.array(
         M.moment(kind="call", actor="assistant", tool=call["t"]["name"], call_id=blank_to_null(call["t"]["id"]),
                  args=call["t"]["args"], sub_agent=call["t"]["agentId"], event_time=call["ts"], pointer=call["ptr"],
-                 block=F.col("ti") * 3 + 1000),
+                 block=_slot(2, F.col("ti") * 3 + 0)),
         F.when(ask.isNotNull(), M.moment(
             kind="event", event_type="permission.requested", actor="system", tool=call["t"]["name"],
             call_id=blank_to_null(call["t"]["id"]), decision="asked", event_time=ask["ts"],
-            pointer=F.concat(ask["ptr"], F.lit("/status")), block=F.col("ti") * 3 + 1001)),
+            pointer=F.concat(ask["ptr"], F.lit("/status")), block=_slot(2, F.col("ti") * 3 + 1))),
         F.when(last["t"]["status"].isin(*DONE), M.moment(
             kind="event", event_type=F.when(shell, "command.result").otherwise("tool.result"), actor="tool",
             tool=last["t"]["name"], call_id=blank_to_null(last["t"]["id"]), is_error=last["t"]["status"] == "error",
             command=F.when(shell, F.get_json_object(last["t"]["args"], "$.command")),
             text=F.when(~last["t"]["name"].isin(*FILE_CONTENT_TOOLS), text), event_time=last["ts"],
-            pointer=F.concat(last["ptr"], F.lit("/result")), block=F.col("ti") * 3 + 1002))))
+            pointer=F.concat(last["ptr"], F.lit("/result")), block=_slot(2, F.col("ti") * 3 + 2)))))
     acts = M.explode_moments(calls.where(F.col("call.t.name") != "").select(
         "local_path", "sha256", "message_id", "_order", "model", "timestamp", F.col("last.line").alias("line"),
         three.alias("moments")))
     both = words.unionByName(acts.select(*words.columns))
     both = both.join(meta.select("local_path", "session_id"), "local_path", "left").withColumn(
         "project_path", F.lit(None).cast("string"))
-    ident = lambda: M.path_id("gemini", F.col("local_path"), F.col("message_id"), F.col("block"))
-    events = M.finish(M.classified(both, "gemini-cli"), "gemini-cli", "gemini_session", ident, case_id, full)
+    ident = lambda: M.path_id("gemini", F.col("local_path"), F.col("message_id"), F.col("slot"))
+    # One running number for what a line holds: of all its messages in order, and of each message's slots.
+    inside = Window.partitionBy("local_path", "line").orderBy("_order", "block")
+    both = both.withColumns({"slot": F.col("block"), "block": F.row_number().over(inside).cast("bigint") - 1})
+    events = M.finish(M.classified(both, "gemini-cli"), "gemini-cli", "gemini_session", ident, case_id, full, line_step=1 << 21)
     start = meta.where(F.col("line").isNotNull()).withColumns({
-        "project_path": F.lit(None).cast("string"), "message_id": F.lit("session"),
+        "project_path": F.lit(None).cast("string"), "message_id": F.lit("session"), "slot": F.lit(-1),
         "mm": M.moment(kind="event", event_type="session.start", actor="system", block=-1)})
-    opened = M.finish(start.select("*", "mm.*").drop("mm"), "gemini-cli", "gemini_session", ident, case_id, full)
+    opened = M.finish(start.select("*", "mm.*").drop("mm"), "gemini-cli", "gemini_session", ident, case_id, full, line_step=1 << 21)
     return events.unionByName(opened), notes
 
 
@@ -156,10 +164,11 @@ def checkpoints(files: DataFrame, case_id: str | None = None) -> tuple[DataFrame
         "a", F.from_json(F.when(F.col("root") == "", F.col("raw")).otherwise(history), shape))
     notes = rows.where(F.col("a").isNull()).select(F.col("local_path").alias("path"), F.lit(None).cast("bigint").alias("line"),
                                                   F.lit("malformed checkpoint").alias("message"))
-    p = rows.select("local_path", "sha256", "root", F.posexplode("a").alias("mi", "m")).select(
-        "local_path", "sha256", "root", "mi", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("pi", "p"))
+    parts = F.flatten(F.transform("a", lambda m, mi: F.transform(F.coalesce(m["parts"], F.array().cast(f"array<{_PART}>")), lambda p, pi: F.struct(
+        mi.alias("mi"), pi.alias("pi"), m["role"].alias("role"), p.alias("p")))))
+    p = rows.select("local_path", "sha256", "root", F.posexplode(parts).alias("at", "x")).select("local_path", "sha256", "root", "at", "x.*")
     call, resp = F.col("p.functionCall"), F.col("p.functionResponse")
-    p = p.withColumns({"at": F.col("mi").cast("bigint") * (1 << 31) + F.col("pi"), "name": F.coalesce("p.functionCall.name", "p.functionResponse.name", F.lit(""))})
+    p = p.withColumn("name", F.coalesce("p.functionCall.name", "p.functionResponse.name", F.lit("")))
     p = latest_open_call(p, ["local_path"], "name", "at", call.isNotNull(), resp.isNotNull(), F.coalesce(call["id"], resp["id"]),
                          F.struct(call["id"].alias("id"), call["name"].alias("name")), "paired")
     where = lambda kind: F.concat(F.col("root"), F.lit("/"), F.col("mi").cast("string"), F.lit("/parts/"),

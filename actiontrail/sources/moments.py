@@ -15,8 +15,10 @@ from actiontrail.functions.scalars import content_preview
 from actiontrail.schema import conform, evidence
 from actiontrail.sources.toolmap import classify_calls
 
+LINE_STEP = 4096
+
 FIELDS = {
-    "block": "int", "kind": "string", "event_type": "string", "actor": "string", "tool": "string",
+    "block": "bigint", "kind": "string", "event_type": "string", "actor": "string", "tool": "string",
     "call_id": "string", "args": "string", "text": "string", "url": "string", "command": "string",
     "file_path": "string", "exit_code": "int", "duration_ms": "bigint", "is_error": "boolean",
     "pointer": "string", "confidence": "string", "tags": "array<string>", "sub_agent": "string",
@@ -89,9 +91,9 @@ def single_outcome(df: DataFrame) -> DataFrame:
 
 
 def finish(df: DataFrame, agent: str, artifact_type: str, ident: Callable[[], Column],
-           case_id: str | None = None, full: bool = False) -> DataFrame:
+           case_id: str | None = None, full: bool = False, line_step: int = LINE_STEP) -> DataFrame:
     """Moments to events. `df` carries local_path, line, sha256, timestamp,
-    session_id, project_path besides the moment fields."""
+    session_id, project_path besides the moment fields. A line holds fewer than `line_step` of them."""
     none = F.array().cast("array<string>")
     errors = F.when(F.coalesce("is_error", F.lit(False)), F.array(F.lit("tool_error"))).otherwise(none)
     cmd_result = F.col("event_type") == "command.result"
@@ -113,7 +115,7 @@ def finish(df: DataFrame, agent: str, artifact_type: str, ident: Callable[[], Co
         F.concat(F.coalesce("tags", none), errors).alias("tags"), "confidence",
         evidence(artifact_type, F.col("local_path"), F.col("line"), F.col("pointer"), F.col("sha256")).alias("evidence"),
         F.col("line"), F.col("block"))
-    out = out.withColumn("seq", F.col("line") * 4096 + F.col("block"))
+    out = out.withColumn("seq", F.col("line") * line_step + F.col("block"))
     if not full:
         out = out.where(F.col("event_type") != "message.reasoning").withColumns({
             "model": F.lit(None).cast("string"), "model_provider": F.lit(None).cast("string")})

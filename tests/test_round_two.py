@@ -1,6 +1,7 @@
 """Command texts that are partly unread, exact call pairing, JSON redaction, manifests, selection and filters."""
 
 import json
+import random
 import tempfile
 
 import pytest
@@ -51,6 +52,43 @@ def test_calls_pair_by_name_and_ids_where_both_have_one(spark):
     assert got == {1: None, 2: None, 3: 1, 4: 2, 5: None, 6: None, 7: 6, 8: None, 9: None}
 
 
+def open_calls(rows):
+    stack, out = {}, {}
+    for g, at, kind, name, ident in sorted(rows, key=lambda r: r[1]):
+        calls = stack.setdefault((g, name), [])
+        if kind == "call":
+            calls.append((at, ident))
+        elif kind == "resp":
+            hit = next((c for c in reversed(calls) if not c[1] or not ident or c[1] == ident), None)
+            if hit:
+                calls.remove(hit)
+                out[g, at] = hit[0]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "slice_rows", "fan"), [(1, 3, 2), (2, 10, 2), (3, 1, 4), (4, 1000, 2)])
+def test_open_calls_do_not_depend_on_slices(spark, seed, slice_rows, fan):
+    rng = random.Random(seed)
+    rows = [(rng.choice("fg"), at, rng.choice(("call", "call", "resp", "resp", "other")), rng.choice("nm"), rng.choice((None, "", "a", "b"))) for at in range(300)]
+    rows += [("h", at, "call" if at < 60 else "resp", "n", rng.choice((None, "a", "b", "c"))) for at in range(120)]
+    df = spark.createDataFrame(rows, "g string, at long, kind string, name string, id string").repartition(4)
+    out = pairing.latest_open_call(df, ["g"], "name", "at", F.col("kind") == "call", F.col("kind") == "resp", F.col("id"), F.col("at"),
+                                   slice_rows=slice_rows, fan=fan)
+    assert out.columns == [*df.columns, "matched"] and out.count() == len(rows)
+    assert {(r.g, r["at"]): r.matched for r in out.collect() if r.matched is not None} == open_calls(rows)
+
+
+def test_one_long_conversation_is_spread(spark):
+    """A million turns of one file: calls nest 40 deep and cross the borders of slices."""
+    at = F.col("id")
+    rows = spark.range(1_000_000).select(F.lit("f").alias("g"), F.lit("n").alias("name"), at.alias("at"), (at % 80 < 40).alias("is_call"),
+                                         F.when(at % 3 == 0, F.lit("same")).alias("id"))
+    out = pairing.latest_open_call(rows, ["g"], "name", "at", F.col("is_call"), ~F.col("is_call"), F.col("id"), F.col("at"))
+    left = out.where("NOT is_call")
+    # Response number k of a run of 80 closes call number 79 - k of it.
+    assert left.where("matched = at - 2 * (at % 80) + 79").count() == 500_000
+
+
 def test_json_documents(spark):
     docs = ['{"a": 1, "api_key": "x", "b": {"token": {"c": [1, {"d": 2}]}, "ok": [true, null]}}', '{"input_tokens": 5, "max_tokens": "x"}',
             '"Authorization: Bearer abcdefgh12345678"', "[]", "not json", None, '{"password=abcd1234": 1}']
