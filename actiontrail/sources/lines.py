@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from actiontrail.session import checkpoint_dir, ship
+
 # Path shapes per agent, tested in this order.
 PATH_SHAPES = (
     ("cowork", r"/local-agent-mode-sessions/.*audit\.jsonl\z"),
@@ -92,3 +97,119 @@ def numbered_lines(spark: SparkSession, *roots: str, max_file_bytes: int | None
                  F.col("local_path").alias("path"), F.lit(None).cast("bigint").alias("line"),
                  F.lit("file exceeds size cap; skipped").alias("message"))))
     return kept, notes
+
+
+# --- lines and digest in one pass ------------------------------------------------
+
+READ_ROWS = "kind string, local_path string, line bigint, raw string, sha256 string, n_bytes bigint, n_lines bigint"
+BUFFER_BYTES = 32 << 20
+
+
+def _reader(max_line_bytes: int | None, buffer_bytes: int):
+    """Reads files (uri, local_path) from front to back: rows of lines, and one row of facts for each file."""
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from actiontrail.sources.appended import CHUNK_BYTES, split_lines
+
+        names = ["kind", "local_path", "line", "raw", "sha256", "n_bytes", "n_lines"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+        def batch(rows):
+            columns = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        class Hashed:
+            """The file's own bytes, hashed as they pass."""
+
+            closed = False
+
+            def __init__(self, stream):
+                self.stream, self.digest, self.count = stream, hashlib.sha256(), 0
+
+            def read(self, size=-1):
+                data = self.stream.read(CHUNK_BYTES if size is None or size < 0 else size)
+                self.digest.update(data)
+                self.count += len(data)
+                return data
+
+            def readable(self):
+                return True
+
+            def close(self):
+                self.closed = True
+
+        def chunks(stream):
+            while data := stream.read(CHUNK_BYTES):
+                yield bytes(data)
+
+        for files in batches:
+            for uri, path in zip(files.column(0).to_pylist(), files.column(1).to_pylist()):
+                system, inner = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(inner, compression=None) as raw:
+                    source = Hashed(raw)
+                    codec = {"gz": "gzip", "zst": "zstd", "bz2": "bz2"}.get(path.rsplit(".", 1)[-1])
+                    stream = pa.CompressedInputStream(pa.PythonFile(source, "r"), codec) if codec else source
+                    rows, held, number, early = [], 0, 0, True
+                    for _, data, size, _ in split_lines(chunks(stream), 0, max_line_bytes):
+                        number += 1
+                        text = None if data is None else data.decode("utf-8", "replace")
+                        rows.append(("long" if data is None else "line", path, number, text, None, size, None))
+                        held += 100 + (len(data) if data is not None else 0)
+                        if held >= buffer_bytes:
+                            # The digest is not known yet; it follows with the facts.
+                            early = False
+                            yield batch(rows)
+                            rows, held = [], 0
+                    while source.read():
+                        pass
+                    digest = source.digest.hexdigest()
+                    if early:
+                        rows = [(*row[:4], digest, *row[5:]) for row in rows]
+                    rows.append(("facts" if early else "late", path, None, None, digest, source.count, number))
+                    for at in range(0, len(rows), 10_000):
+                        yield batch(rows[at:at + 10_000])
+    return run
+
+
+def _read_once(spark: SparkSession, roots: tuple[str, ...], max_file_bytes: int | None, max_line_bytes: int | None, buffer_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the files, saved; files that are too large)."""
+    ship(spark)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+              .select("path", F.regexp_replace("path", r"\Afile:/+", "/").alias("local_path"), "length").dropDuplicates(["local_path"]))
+    fits = F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes
+    uri = F.regexp_replace("path", r"\Afile:/+", "file:///")
+    todo = listed.where(fits).select(uri.alias("uri"), "local_path").repartition("local_path")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    todo.mapInArrow(_reader(max_line_bytes, buffer_bytes), READ_ROWS).write.partitionBy("kind").parquet(folder)
+    return spark.read.schema(READ_ROWS).parquet(folder), listed.where(~fits)
+
+
+def file_facts(spark: SparkSession, *roots: str, max_line_bytes: int | None = None, buffer_bytes: int = BUFFER_BYTES) -> DataFrame:
+    """local_path, n_bytes, n_lines, sha256 of every file, read once."""
+    rows, _ = _read_once(spark, roots, None, max_line_bytes, buffer_bytes)
+    return rows.where(F.col("kind").isin("facts", "late")).select("local_path", "n_bytes", "n_lines", "sha256")
+
+
+def hashed_lines(spark: SparkSession, *roots: str, max_file_bytes: int | None = None, max_line_bytes: int | None = None,
+                 buffer_bytes: int = BUFFER_BYTES) -> tuple[DataFrame, DataFrame]:
+    """`numbered_lines` in one pass: each file is read once, by one task, which hashes what it cuts into lines.
+
+    The lines are written to the shared folder, where later jobs read them in splits. No row holds a file: lines of a
+    file of up to `buffer_bytes` get its digest at once; of larger files the digest is known last and is joined to the lines, by
+    the paths of such files alone. Files ending in .gz, .zst or .bz2 are unpacked; the digest is of the file as it is.
+    Files are opened by their URI in the tasks (local or shared folders, HDFS, object stores); `numbered_lines` reads what only Spark can open.
+    """
+    rows, large = _read_once(spark, roots, max_file_bytes, max_line_bytes, buffer_bytes)
+    late = rows.where("kind = 'late'").select(F.col("local_path").alias("_path"), F.col("sha256").alias("_late"))
+    # Lines that have their digest look for no path.
+    waiting = F.when(F.col("sha256").isNull(), F.col("local_path"))
+    kept = (rows.where("kind = 'line'").join(late, waiting == F.col("_path"), "left")
+            .select("local_path", "line", "raw", F.coalesce("sha256", "_late").alias("sha256")))
+    notes = (rows.where("kind = 'long'").select(F.col("local_path").alias("path"), "line", F.lit("line exceeds size cap; skipped").alias("message"))
+             .unionByName(large.select(F.col("local_path").alias("path"), F.lit(None).cast("bigint").alias("line"),
+                                       F.lit("file exceeds size cap; skipped").alias("message"))))
+    return kept, notes

@@ -38,13 +38,14 @@ def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None
 
 def deliver(lines: DataFrame, checkpoint: str, sinks: Mapping[str, Callable[[DataFrame], None]],
             value: str = "value", max_bytes: int | None = None,
-            oversize: Callable[[DataFrame], None] | None = None, **kw) -> StreamingQuery:
-    """At-least-once delivery of appended records. With `max_bytes`, larger records go to `oversize` instead."""
+            oversize: Callable[[DataFrame], None] | None = None, size: str | None = None, **kw) -> StreamingQuery:
+    """At-least-once delivery of appended records. With `max_bytes`, larger records go to `oversize` instead; `size` names a
+    column with their length, where the source left their content out."""
     if max_bytes is None:
         return start(lines, checkpoint, lambda df, _: fan_out(df, sinks), **kw)
     if oversize is None:
         raise ValueError("a size limit needs a sink for what exceeds it")
-    fits = F.coalesce(F.octet_length(value) <= max_bytes, F.lit(True))
+    fits = F.coalesce((F.col(size) if size else F.octet_length(value)) <= max_bytes, F.lit(True))
 
     def write(df: DataFrame, _: int) -> None:
         fan_out(df.where(fits), sinks)
