@@ -13,7 +13,8 @@ Sizes: a bucket holds at most |A| * |B| / BUCKETS pairs, whatever the corpus (6.
 buckets and reads others again. The driver sees one row for each bucket and, for the best partner of each id of B, at most |B| numbers.
 
 Texts that are null, empty, or whose tokens do not spell a space and the text (U+2581 in a text does that) have no tokens: zeros,
-and the empty string for the groups. Special tokens' strings are plain text. Repeated rows, ties and null doc_ids are rows like any other;
+and the empty string for the groups. A worker learns words between single spaces once (KNOWN_WORDS at a time) where neither
+tokenizer can reach over such a border; other pairs of tokenizers get whole texts. Special tokens' strings are plain text. Repeated rows, ties and null doc_ids are rows like any other;
 extra columns are ignored by the reports and kept by `align`. An empty table gives an empty result.
 """
 
@@ -21,7 +22,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import os
+import re
 import struct
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -42,6 +46,8 @@ BUCKETS = 256
 FAN = 8
 HELD_PAIRS = 1_000_000
 HELD_BYTES = 96 << 20
+KNOWN_WORDS = 500_000
+KNOWN_TOKENS = 8_000_000
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -86,8 +92,101 @@ class _Side:
         return self.bytes[places + np.arange(len(places))]
 
 
+class Words:
+    """Ids on both sides of pieces of text between single spaces, learnt once and kept by number.
+
+    Neither tokenizer has a token that reaches over the border before a space that stands between two other
+    letters: A's pre-tokens end there, and no piece of B holds its space mark behind another letter.
+    """
+
+    CUT = re.compile(r"(?<=\S) (?=\S)")
+
+    def __init__(self, left, right, sides):
+        self.left, self.right, self.sides = left, right, sides
+        self.number: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.first = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.used = np.zeros(0, np.int64)
+
+    def _joined(self, group: list[str], ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Both sides' ids of words that are encoded as one text, and where each word's begin; None where borders do not meet."""
+        text = " ".join(group)
+        out = []
+        for side, ids in zip(self.sides, (self.left.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.right.encode(text))):
+            ids = np.asarray(ids, np.int64)
+            bytes_to = np.cumsum(side.sizes(ids))
+            cuts = np.searchsorted(bytes_to, ends)
+            if cuts[-1] != len(ids) - 1 or (bytes_to[np.minimum(cuts, len(ids) - 1)] != ends).any():
+                return None
+            out.append((ids, cuts + 1))
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
+        fresh = [w for w in fresh if "▁" not in w] + [w for w in fresh if "▁" in w]
+        sizes = np.fromiter((len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in fresh), np.int64, len(fresh))
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        at = 0
+        while at < len(fresh):
+            group = fresh[at:at + (1 if "▁" in fresh[at] else 2000)]
+            found = self._joined(group, np.cumsum(sizes[at:at + len(group)])) if "▁" not in group[-1] else None
+            if found is None:
+                found = []
+                for lists in ([self.left.encode(f" {w}", add_special_tokens=False).ids for w in group], [self.right.encode(w) for w in group]):
+                    found.append((np.asarray(list(itertools.chain.from_iterable(lists)), np.int64), np.cumsum([len(x) for x in lists])))
+            parts.append(found)
+            at += len(group)
+        for side in (0, 1):
+            ids, firsts = [self.ids[side]], [self.first[side]]
+            end = self.first[side][-1]
+            for found in parts:
+                ids.append(found[side][0])
+                firsts.append(found[side][1] + end)
+                end = firsts[-1][-1]
+            self.ids[side], self.first[side] = np.concatenate(ids), np.concatenate(firsts)
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+
+    def _take(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.first[side]
+        begins, sizes = first[numbers], first[numbers + 1] - first[numbers]
+        at = running(sizes)
+        return self.ids[side][np.repeat(begins - at[:-1], sizes) + np.arange(at[-1])], at
+
+    def _shrink(self) -> None:
+        """Keep the words that were met more than once since the last time, half of the room at most."""
+        keep = np.flatnonzero(self.used > 1)
+        keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")][:KNOWN_WORDS // 2])
+        keep = keep[np.cumsum(np.diff(self.first[0])[keep]) <= KNOWN_TOKENS // 2]
+        names = list(self.number)
+        for side in (0, 1):
+            ids, at = self._take(side, keep)
+            self.ids[side], self.first[side] = ids, at
+        self.number = {names[k]: at for at, k in enumerate(keep.tolist())}
+        self.used = np.zeros(len(keep), np.int64)
+
+    def encode(self, plain: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides: ids of all texts and where each text's begin."""
+        if len(self.number) > KNOWN_WORDS or len(self.ids[0]) > KNOWN_TOKENS:
+            self._shrink()
+        words = [self.CUT.split(text) if text else [] for text in plain]
+        cuts = running(np.fromiter(map(len, words), np.int64, len(words)))
+        every = list(itertools.chain.from_iterable(words))
+        fresh = list(set(every).difference(self.number))
+        if fresh:
+            self._learn(fresh)
+        numbers = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        self.used += np.bincount(numbers, minlength=len(self.used))
+        out = []
+        for side in (0, 1):
+            ids, at = self._take(side, numbers)
+            out.append((ids, at[cuts]))
+        return out
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
+        # Tasks share the cores already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -107,15 +206,20 @@ class Aligner:
                              else right.id_to_piece(i).replace("▁", " ").encode() for i in range(many)])
         self.a_many, self.b_many = len(self.a_side.first) - 1, many
         self.words: list[str] | None = None
-
-    @staticmethod
-    def _tokens(found: list[list[int]], side: _Side) -> tuple[Tokens, np.ndarray]:
-        cuts = running(np.fromiter(map(len, found), np.int64, len(found)))
-        ids = np.empty(int(cuts[-1]), np.int64)
-        for own, at, end in zip(found, cuts.tolist(), cuts[1:].tolist()):
-            ids[at:end] = own
-        sizes = side.sizes(ids)
-        return Tokens(ids, np.cumsum(sizes), cuts), sizes
+        cut = spec["pre_tokenizer"] or {}
+        separable = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not spec["normalizer"]
+                     and not any("▁" in right.id_to_piece(i).lstrip("▁") for i in range(many)))
+        self.known = Words(self.left, right, (self.a_side, self.b_side)) if separable else None
+
+    def _encoded(self, plain: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.known is not None:
+            return self.known.encode(plain)
+        left = [e.ids if t else [] for e, t in zip(self.left.encode_batch_fast([f" {t}" for t in plain], add_special_tokens=False), plain)]
+        out = []
+        for lists in (left, self.right.encode(plain, num_threads=1)):
+            cuts = running(np.fromiter(map(len, lists), np.int64, len(lists)))
+            out.append((np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(cuts[-1])), cuts))
+        return out
 
     def _good(self, tokens: Tokens, sizes: np.ndarray, side: _Side, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which texts the tokens spell."""
@@ -133,18 +237,19 @@ class Aligner:
     def align(self, column: pa.Array) -> Aligned:
         """Tokens and links of every text of a slice."""
         plain = [text or "" for text in column.to_pylist()]
-        has = np.asarray([bool(text) for text in plain], bool)
-        spaced = [f" {text}" if text else "" for text in plain]
-        found_a = [e.ids for e in self.left.encode_batch_fast(spaced, add_special_tokens=False)]
-        found_b = self.right.encode(plain, num_threads=1)
-        found_b = [ids if text else [] for ids, text in zip(found_b, plain)]
-        a, a_sizes = self._tokens(found_a, self.a_side)
-        b, b_sizes = self._tokens(found_b, self.b_side)
-        data, bounds = texts(pa.array(spaced, pa.large_string()))
-        good = has & self._good(a, a_sizes, self.a_side, data, bounds) & self._good(b, b_sizes, self.b_side, data, bounds)
-        if not good[has].all():
-            a, _ = self._tokens([ids if ok else [] for ids, ok in zip(found_a, good)], self.a_side)
-            b, _ = self._tokens([ids if ok else [] for ids, ok in zip(found_b, good)], self.b_side)
+        data, bounds = texts(pa.array([f" {text}" if text else "" for text in plain], pa.large_string()))
+        good, sides = np.diff(bounds) > 0, []
+        for (ids, cuts), side in zip(self._encoded(plain), (self.a_side, self.b_side)):
+            sizes = side.sizes(ids)
+            tokens = Tokens(ids, np.cumsum(sizes), cuts)
+            good &= self._good(tokens, sizes, side, data, bounds)
+            sides.append(tokens)
+        if not good[np.diff(bounds) > 0].all():
+            for k, side in enumerate((self.a_side, self.b_side)):
+                counts = np.diff(sides[k].cuts)
+                ids = sides[k].ids[np.repeat(good, counts)]
+                sides[k] = Tokens(ids, np.cumsum(side.sizes(ids)), running(counts * good))
+        a, b = sides
         size = int(a.ends[-1]) if len(a.ends) else 0
         in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         in_a[a.ends], in_b[b.ends] = True, True
@@ -278,8 +383,6 @@ def partial_counts(docs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
     """Rows that are sorted by bucket, one bucket at a time."""
-    import itertools
-
     rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
     yield from itertools.groupby(rows, key=lambda row: row["bucket"])
 

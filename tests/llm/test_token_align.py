@@ -99,6 +99,22 @@ def test_buckets_are_read_again(spark, monkeypatch):
         assert index.counts(keys).tolist() == list(counts.values()) and len(index.held) == 1
 
 
+def test_learnt_words_do_not_change_ids(monkeypatch):
+    """Whole texts through the libraries, against words learnt, forgotten and learnt again."""
+    rng = random.Random(9)
+    plain = [t for _, t in random_rows(8, 150)] + [t for t in ODD if t] + ["".join(rng.choices("ab é'\n\t.1  \x1c\u3000", k=60)) for _ in range(300)]
+    whole = token_align.Aligner(*token_align.default_tokenizers())
+    words, whole.known = whole.known, None
+    want = whole._encoded(plain)
+    for known in (10**6, 40):
+        monkeypatch.setattr(token_align, "KNOWN_WORDS", known)
+        for at in range(0, len(plain), 20):
+            for k, (ids, cuts) in enumerate(words.encode(plain[at:at + 20])):
+                all_ids, all_cuts = want[k]
+                assert ids.tolist() == all_ids[all_cuts[at]:all_cuts[min(at + 20, len(plain))]].tolist()
+                assert (cuts == all_cuts[at:at + 21] - all_cuts[at]).all()
+
+
 def test_align_keeps_other_columns(spark):
     rows = token_align.align(frame(spark, ROWS[:12])).collect()
     assert [(r.doc_id, r.text, r.bucket) for r in rows] == [(d, t, "g") for d, t in ROWS[:12]]
