@@ -1,15 +1,17 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased; only keys of at least
-`MIN_CHARS` code points count. A run is a Parquet table sorted by the 128-bit key hash that holds, for each key, in
-how many documents it was seen and the largest doc_id among them. Each batch of documents is aggregated to keys and
-merge-joined with the runs: what the anti-join leaves is new and enters as the batch's run with its full entry,
-and for known keys only the increment does. When a level holds `FANOUT` runs they are merged into one of the next level,
-so a store of n batches has O(log n) runs. Afterwards lines whose key has `MIN_DOCS` documents go, except in the
-document with the largest id that holds it.
+`MIN_CHARS` code points count. A store holds, for each key, one entry: in how many documents it was seen and the largest doc_id
+among them. Documents come in batches. A batch is aggregated to keys and merge-joined with the runs: what the anti-join leaves
+opens entries, a new sorted run of the lowest level; keys that have an entry somewhere become updates of that run. When a level holds
+`FANOUT` runs they are compacted into one run of the next level: entries are put together as they are, since no key has two, and
+updates are folded into the entries that they find there; others go on as updates until they meet theirs. So a store of n batches
+has O(log n) runs, and later batches meet compacted ones. At the end all is compacted once more, and the counts stand
+in the entries. Lines whose key has `MIN_DOCS` documents go, except in the document with the largest id that holds it.
 
 Documents are joined back by (doc_id, hash of the text); equal rows lose the same lines. A null doc_id counts as a
-document and is never the largest unless no other holds the key. Null text: one empty line. Other columns are kept.
+document and is never the largest unless no other holds the key. Null text: one empty line. Other columns are kept, whatever their names;
+columns named n_lines and n_dropped are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiontrail.llm.shared import saved, scratch
+from actiontrail.llm.shared import private, saved, scratch
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FANOUT = 4
-BATCHES = 4
+FANOUT = 3
+BATCHES = 5
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = ("h1", "h2")
@@ -40,9 +42,10 @@ def text_lines(text: Column) -> Column:
 
 def with_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """row_hash and keys: for each long enough line its number and 128-bit key hash."""
-    # Code points of a trimmed line are at most those of the line, so short lines are dropped before any hashing.
-    numbered = F.transform(text_lines(F.col("text")), lambda x, i: F.struct(i.alias("at"), line_key(x).alias("key")))
-    long = F.filter(numbered, lambda s: F.char_length(s["key"]) >= min_chars)
+    # Code points of a trimmed line are at most those of the line, so short lines are dropped before any other work.
+    numbered = F.transform(text_lines(F.col("text")), lambda x, i: F.when(F.char_length(x) >= min_chars, F.struct(i.alias("at"), x.alias("line"))))
+    keyed = F.transform(F.array_compact(numbered), lambda s: F.struct(s["at"].alias("at"), line_key(s["line"]).alias("key")))
+    long = F.filter(keyed, lambda s: F.char_length(s["key"]) >= min_chars)
     keys = F.transform(long, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["key"]).alias("h1"),
                                                 F.xxhash64(s["key"], F.lit(1)).alias("h2")))
     return docs.withColumn("row_hash", F.xxhash64("text")).withColumn("keys", keys)
@@ -55,49 +58,74 @@ def batch_keys(keyed: DataFrame) -> DataFrame:
     return flat.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
 
 
+ENTRY = [*HASHES, "n_docs", "top_doc"]
+
+
+@dataclass
+class Run:
+    """Paths of a run's entries and updates: immutable tables sorted by hash."""
+
+    entries: str
+    updates: str
+
+
 @dataclass
 class RunStore:
-    """Levels of immutable sorted runs; only their paths are kept here."""
+    """Levels of runs; only their paths are kept here."""
 
     spark: SparkSession
     fanout: int = FANOUT
-    levels: list[list[str]] = field(default_factory=list)
+    levels: list[list[Run]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.folder, self.made = scratch(self.spark, "line-runs"), 0
 
-    def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def entries(self, runs: list[Run]) -> DataFrame:
+        return self.spark.read.parquet(*[run.entries for run in runs])
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, entries: DataFrame, updates: DataFrame, level: int) -> None:
         path = f"{self.folder}/level{level}-run{self.made:06d}"
         self.made += 1
-        rows.sortWithinPartitions(*HASHES).write.parquet(path)
+        run = Run(f"{path}-entries", f"{path}-updates")
+        entries.select(*ENTRY).sortWithinPartitions(*HASHES).write.parquet(run.entries)
+        updates.select(*ENTRY).sortWithinPartitions(*HASHES).write.parquet(run.updates)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
 
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch's keys: in full where the runs do not have them, else as an increment."""
-        rows = batch.withColumn("first_seen", F.lit(True))
+        """Opens entries for a batch's new keys and notes updates for the known ones."""
         if self.runs():
-            rows = saved(batch, "line-batch")
-            seen = self.spark.read.parquet(*self.runs()).where("first_seen").select(*HASHES)
-            new = rows.join(seen, list(HASHES), "left_anti").withColumn("first_seen", F.lit(True))
-            known = rows.join(seen, list(HASHES), "left_semi").withColumn("first_seen", F.lit(False))
-            rows = new.unionByName(known)
-        self._write(rows, 0)
+            rows, seen = saved(batch, "line-batch"), self.entries(self.runs()).select(*HASHES)
+            self._write(rows.join(seen, list(HASHES), "left_anti"), rows.join(seen, list(HASHES), "left_semi"), 0)
+        else:
+            self._write(batch, batch.limit(0), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            merged = self.totals(self.levels[level])
-            self.levels[level] = []
-            self._write(merged, level + 1)
+            self.compact(level)
             level += 1
 
-    def totals(self, paths: list[str] | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(*(paths or self.runs()))
-        return rows.groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"),
-                                         F.max("first_seen").alias("first_seen"))
+    def compact(self, level: int) -> None:
+        """All runs of a level become one of the next."""
+        runs, self.levels[level] = self.levels[level], []
+        self._write(*self._folded(runs), level + 1)
+
+    def _folded(self, runs: list[Run]) -> tuple[DataFrame, DataFrame]:
+        entries = self.entries(runs)
+        updates = saved(self.spark.read.parquet(*[run.updates for run in runs]).groupBy(*HASHES)
+                        .agg(F.sum("n_docs").alias("more"), F.max("top_doc").alias("top")), "line-updates")
+        folded = entries.join(updates, list(HASHES), "left").select(
+            *HASHES, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("top_doc", "top").alias("top_doc"))
+        later = updates.join(entries.select(*HASHES), list(HASHES), "left_anti").select(
+            *HASHES, F.col("more").alias("n_docs"), F.col("top").alias("top_doc"))
+        return folded, later
+
+    def counts(self) -> DataFrame:
+        """Every key's entry with all its updates."""
+        return self._folded(self.runs())[0]
 
 
 def build_store(keyed: DataFrame, batches: int = BATCHES) -> RunStore:
@@ -109,29 +137,29 @@ def build_store(keyed: DataFrame, batches: int = BATCHES) -> RunStore:
 
 
 def dropped_lines(keyed: DataFrame, store: RunStore, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_doc, _hash and the numbers of the lines that go."""
+    """doc_id, row_hash and the numbers of the lines that go (`gone`)."""
     # Saved, so that the join has an exchange on both sides and Spark can split the lines of a very frequent key.
-    often = saved(store.totals().where(F.col("n_docs") >= min_docs).select(*HASHES, "top_doc"), "often")
+    often = saved(store.counts().where(F.col("n_docs") >= min_docs).select(*HASHES, "top_doc"), "often")
     flat = keyed.select("doc_id", "row_hash", F.inline("keys"))
     hit = flat.join(often, list(HASHES)).where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
-    return (hit.groupBy(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"))
-            .agg(F.collect_set("at").alias("_gone")))
+    return hit.groupBy("doc_id", "row_hash").agg(F.collect_set("at").alias("gone"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """The documents with the text that is left (never null), and n_lines and n_dropped."""
     keyed = saved(with_keys(docs.select("doc_id", "text"), min_chars).select("doc_id", "row_hash", "keys")
                   .where(F.size("keys") > 0), "line-keys")
-    gone = dropped_lines(keyed, build_store(keyed, batches), min_docs)
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_row", F.xxhash64("text"))
-    joined = rows.join(gone, (F.col("_row") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    lines = joined.withColumn("_lines", text_lines(F.col("text")))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    left = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "\n"))
-    return (lines.withColumn("n_lines", F.size("_lines").cast("long"))
-            .withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-            .withColumn("text", left).drop("_row", "_hash", "_doc", "_gone", "_lines"))
+    row, doc, own, gone, lines = (private(docs, n) for n in ("row", "doc", "own", "gone", "lines"))
+    found = dropped_lines(keyed, build_store(keyed, batches), min_docs).toDF(doc, own, gone)
+    rows = docs.drop("n_lines", "n_dropped").withColumn(row, F.xxhash64("text"))
+    joined = rows.join(found, (F.col(row) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    cut = joined.withColumn(lines, text_lines(F.col("text")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.when(F.col(gone).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
+        F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    return (cut.withColumn("n_lines", F.size(lines).cast("long"))
+            .withColumn("n_dropped", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
+            .withColumn("text", left).drop(row, own, doc, gone, lines))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -109,13 +109,13 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, f
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every record of the files, checked: doc_id, part, file, place in the file, ids before it there, ids."""
+    """Every record of the files, checked: doc_id, part, file, place in the file, ids before it in all files, ids."""
     ship(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, at, place, before = get(f"{row['path']}.rec"), 0, 0, 0
+                data, at, place, before = get(f"{row['path']}.rec"), 0, 0, row["base"]
                 while at < len(data):
                     ids, docs, befores, first, size = [], [], [], place, 0
                     while at < len(data) and size < 4 << 20:
@@ -132,7 +132,8 @@ def read(manifest: DataFrame) -> DataFrame:
                          pa.array(befores, pa.int64()), pa.array(ids, pa.binary())],
                         names=["doc_id", "part", "file", "place", "before", "ids"])
 
-    files = manifest.select("part", "file", "path").repartition(spread_count(manifest), "path")
+    # Where a file's ids begin is known from the manifest, so the documents' rows meet no other table.
+    files = positions(manifest).repartition(spread_count(manifest), "path")
     return files.mapInArrow(run, "doc_id long, part int, file int, place long, before long, ids binary")
 
 
@@ -150,15 +151,11 @@ def fetch(path: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
 def positions(manifest: DataFrame) -> DataFrame:
     """Ids before each file, in file order: a window over one row per file."""
     earlier = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("part", "file", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
+    return manifest.select("part", "file", "path", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from the files as they are read back."""
-    manifest = write(docs, tokenizer)
-    rows = read(manifest).select("doc_id", "part", "file", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                                 F.crc32("ids").alias("ids_crc32"))
-    return (rows.join(positions(manifest), ["part", "file"])
-            .select("doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32"))
-
-
+    rows = read(write(docs, tokenizer))
+    return rows.select("doc_id", F.col("before").alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))

@@ -12,7 +12,8 @@ from array import array
 
 import numpy as np
 
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 350_000
+END_TOKEN = "<|endoftext|>"
 _MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 _FAR = re.compile("[^\x00-\u024f]")
 
@@ -30,7 +31,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words met lately, and those met before them: half of the room each.
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.end_id = self.tokenizer.token_to_id(END_TOKEN)
+        self.end = None if self.end_id is None else END_TOKEN
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -48,27 +53,30 @@ class Encoder:
             stem = w.rstrip(_MARKS)
             if stem and stem != w and stem[-1].isascii() and stem[-1].isalpha():
                 parts[w] = (stem, w[len(stem):])
-        new = list({x for pair in parts.values() for x in pair if x not in known} | (words - parts.keys()))
-        for i in range(0, len(new), 5000):
-            part = new[i:i + 5000]
-            if any("<" in w for w in part):
-                for w in part:
-                    known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-                continue
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = array("I", got.ids).tobytes()
-            starts = np.fromiter((at for at, _ in got.offsets), np.int64, len(got.ids))
-            ends = np.cumsum(np.fromiter((len(w) + 1 for w in part), np.int64, len(part)))
-            last = 0
-            for w, end in zip(part, (np.searchsorted(starts, ends) * 4).tolist()):
-                known[w] = ids[last:end]
-                last = end
+        fresh = []
+        for x in {x for pair in parts.values() for x in pair if x not in known} | (words - parts.keys()):
+            if x in self.old:
+                known[x] = self.old[x]
+            else:
+                fresh.append(x)
+        # Words are encoded together, apart by the end token, which stands in no word without "<".
+        plain = [w for w in fresh if "<" not in w]
+        for w in fresh if self.end is None else (w for w in fresh if "<" in w):
+            known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        for i in range(0, len(plain) if self.end is not None else 0, 5000):
+            part = plain[i:i + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.end.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.end_id) * 4).tolist(), 4 * len(ids)]
+            raw, last = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                known[w] = raw[last:end]
+                last = end + 4
         for w, (stem, marks) in parts.items():
             known[w] = known[stem] + known[marks]
 
     def _joined(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
+            self.old, self.known = self.known, {"": b""}
         known = self.known
         found = [list(map(known.get, words)) for words in texts]
         gaps = [(words, ids) for words, ids in zip(texts, found) if None in ids]
