@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from actiontrail.session import saved
+
 SLICE_ROWS = 1 << 20
 
 
@@ -29,6 +31,22 @@ def add_positions(df: DataFrame, keys: Sequence[str], seq: str, name: str = "pos
             .drop("_slice", "_offset"))
 
 
+def number_in_order(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """Add a 1-based number in the order of all rows; rows that are equal in `order` are numbered in any order.
+
+    Rows are dealt by ranges of the order and saved with their range; each range is numbered by itself, behind the counts
+    of the ranges before it, of which there are as many as tasks.
+    """
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    dealt = saved(dealt.withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (dealt.withColumn(name, F.row_number().over(inside)).join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+            .withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_part", "_of", "_start"))
+
+
 def carry(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
           inclusive: bool = True, backward: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add, per name, the latest non-null value up to the row (or just before it).

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from actiontrail.functions.commands import command_columns
 from actiontrail.functions.redact import redact_json
 from actiontrail.operators import cases, contract, findings, indicators
+from actiontrail.operators.positions import number_in_order
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
 from actiontrail.plans.detect_queries import _MATCH_SQL, _matches
 from actiontrail.plans.registry import ORACLES, query
-from actiontrail.plans.stream_queries import _folder, _stream
+from actiontrail.plans.stream_queries import WAIT_SECONDS, _folder, _stream
 from actiontrail.sources import lines, otlp, records
 from actiontrail.streaming import jobs
+from actiontrail.streaming.sinks import CommittedSink
 
 # --- command texts with the documents' own words ------------------------------
 
@@ -137,8 +139,8 @@ def case_manifest(spark, sf):
   SELECT row_number() OVER (ORDER BY type, value) AS place, type, value FROM ({ORACLES['A1_indicators_actions']})""")
 def indicator_order(spark, sf):
     """Indicators numbered in export order, without a window over all of them."""
-    found = indicators.in_order(indicators.indicators(actions(spark, sf)).select("type", "value"))
-    return found.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0]["type"], p[0]["value"])).toDF("place long, type string, value string")
+    found = indicators.indicators(actions(spark, sf)).select("type", "value")
+    return number_in_order(found, ["type", "value"], "place")
 
 
 @query("K2_K3_stream_fan_out", "SELECT sink, event_type, count(*) AS n FROM events, (SELECT unnest(['a', 'b']) AS sink) GROUP BY ALL")
@@ -146,10 +148,12 @@ def stream_fan_out(spark, sf):
     """Appended records reach every sink; records over a limit reach the sink for those."""
     out = _folder(spark)
     rows = _stream(spark, sf, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("value"))
-    sinks = {name: (lambda df, n=name: df.write.mode("append").parquet(f"{out}/{n}")) for name in ("a", "b")}
-    query_ = jobs.deliver(rows, f"{out}/checkpoint", sinks, max_bytes=1 << 20, oversize=lambda df: df.write.mode("append").parquet(f"{out}/over"))
-    query_.awaitTermination()
-    both = [spark.read.schema("value string").parquet(f"{out}/{n}").withColumn("sink", F.lit(n)) for n in sinks]
+    sinks = {name: CommittedSink(f"{out}/{name}") for name in ("a", "b")}
+    query_ = jobs.deliver(rows, f"{out}/checkpoint", sinks, max_bytes=1 << 20, oversize=CommittedSink(f"{out}/over"))
+    if not query_.awaitTermination(WAIT_SECONDS):
+        query_.stop()
+        raise TimeoutError("stream did not reach the end of its input")
+    both = [sink.read(spark, "value string").withColumn("sink", F.lit(n)) for n, sink in sinks.items()]
     return (both[0].unionByName(both[1]).select("sink", F.get_json_object("value", "$.event_type").alias("event_type"))
             .groupBy("sink", "event_type").agg(F.count(F.lit(1)).alias("n")))
 

@@ -19,6 +19,7 @@ from actiontrail.plans.registry import ORACLES, query
 from actiontrail.session import checkpoint_dir
 from actiontrail.sources.records import envelope, read_events, write_records
 from actiontrail.streaming import jobs
+from actiontrail.streaming.sinks import CommittedSink
 
 WAIT_SECONDS = 900
 
@@ -47,11 +48,12 @@ class _Streamed:
 
 def _run(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     out = _folder(spark)
-    q = jobs.start(df, f"{out}/checkpoint", lambda b, _: b.write.mode("append").parquet(f"{out}/data"), mode=mode)
+    sink = CommittedSink(f"{out}/out")
+    q = jobs.start(df, f"{out}/checkpoint", sink.write, mode=mode)
     if not q.awaitTermination(WAIT_SECONDS):
         q.stop()
         raise TimeoutError("stream did not reach the end of its input")
-    return spark.read.parquet(f"{out}/data")
+    return sink.read(spark, df.schema)
 
 
 @query("K1_S4_record_stream", f"SELECT event_id, event_type, command, file_path FROM ({ACTIONS_SQL})")

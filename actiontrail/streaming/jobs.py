@@ -18,6 +18,7 @@ from actiontrail.operators import contract, findings, indicators as ind, metrics
 from actiontrail.operators.chains import ChainRule, correlation_key, ring_size, step_masks
 from actiontrail.schema import SEQ
 from actiontrail.sources.records import fan_out
+from actiontrail.streaming.sinks import CommittedSink
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,27 +30,38 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 
 def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None],
-          mode: str = "append", available_now: bool = True, name: str | None = None) -> StreamingQuery:
+          mode: str = "append", available_now: bool = True, name: str | None = None, every: str | None = None) -> StreamingQuery:
+    """`every`, such as "1 minute", keeps the query running; jobs with timers need it, as they always have a batch to come."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     if name:
         w = w.queryName(name)
+    if every is not None:
+        return w.trigger(processingTime=every).start()
     return w.trigger(availableNow=True).start() if available_now else w.start()
 
 
-def deliver(lines: DataFrame, checkpoint: str, sinks: Mapping[str, Callable[[DataFrame], None]],
+Sink = Callable[[DataFrame], None] | CommittedSink
+
+
+def _of_batch(sinks: Mapping[str, Sink], batch: int) -> dict[str, Callable[[DataFrame], None]]:
+    """Sinks that keep a commit log are told the batch, so a repeated one changes nothing in those that had it."""
+    return {name: (lambda df, s=s: s.write(df, batch)) if isinstance(s, CommittedSink) else s for name, s in sinks.items()}
+
+
+def deliver(lines: DataFrame, checkpoint: str, sinks: Mapping[str, Sink],
             value: str = "value", max_bytes: int | None = None,
-            oversize: Callable[[DataFrame], None] | None = None, size: str | None = None, **kw) -> StreamingQuery:
-    """At-least-once delivery of appended records. With `max_bytes`, larger records go to `oversize` instead; `size` names a
+            oversize: Sink | None = None, size: str | None = None, **kw) -> StreamingQuery:
+    """At-least-once delivery of appended records, exactly once into a `CommittedSink`. With `max_bytes`, larger records go to `oversize` instead; `size` names a
     column with their length, where the source left their content out."""
     if max_bytes is None:
-        return start(lines, checkpoint, lambda df, _: fan_out(df, sinks), **kw)
+        return start(lines, checkpoint, lambda df, batch: fan_out(df, _of_batch(sinks, batch)), **kw)
     if oversize is None:
         raise ValueError("a size limit needs a sink for what exceeds it")
     fits = F.coalesce((F.col(size) if size else F.octet_length(value)) <= max_bytes, F.lit(True))
 
-    def write(df: DataFrame, _: int) -> None:
-        fan_out(df.where(fits), sinks)
-        oversize(df.where(~fits))
+    def write(df: DataFrame, batch: int) -> None:
+        fan_out(df.where(fits), _of_batch(sinks, batch))
+        _of_batch({"oversize": oversize}, batch)["oversize"](df.where(~fits))
 
     return start(lines, checkpoint, write, **kw)
 
@@ -89,6 +101,18 @@ def indicator_totals(events: DataFrame) -> DataFrame:
         F.col("_s.session_id").alias("sample_session_id"), hash_path(F.col("_s.project_path")).alias("sample_project_path_hash"))
 
 
+def held_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(rules, group, next position) of every group a chain stream holds, from its checkpoint; counting them is the metric of held state."""
+    rows = spark.read.format("statestore").option("stateVarName", "next").load(checkpoint)
+    return rows.select(F.col("key._rules").alias("rules"), F.col("key._key").alias("group"), F.col("value.pos").alias("next"))
+
+
+def evicted_total(found: DataFrame) -> DataFrame:
+    """The metric point of groups dropped, from the output of `stateful_chains` with `evictions`."""
+    gone = found.where(F.col("rule_id").isNull())
+    return gone.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("chains.groups.evicted").alias("name"), "value")
+
+
 def metric_totals(points: DataFrame) -> DataFrame:
     return metrics.rollup(metrics.points(points))
 
@@ -103,6 +127,8 @@ def fingerprint(rules: Sequence[R.Rule]) -> str:
 
 
 OUT = "rule_idx int, chain array<string>"
+# Stands in the place of a rule where a group's state was dropped.
+EVICTED = -1
 _RING = "pos bigint, event_id string, ts bigint, mask string"
 
 
@@ -114,9 +140,10 @@ def _processor(specs: list[tuple[int, int | None, int | None, int]], ring: int,
 
     class Chains(StatefulProcessor):
         def init(self, handle) -> None:
-            self.ring = handle.getListState("ring", _RING, ttl_ms)
-            self.next = handle.getValueState("next", "pos bigint", ttl_ms)
-            self.emitted = handle.getMapState("emitted", "rule int", "n int", ttl_ms)
+            self.handle = handle
+            self.ring = handle.getListState("ring", _RING)
+            self.next = handle.getValueState("next", "pos bigint")
+            self.emitted = handle.getMapState("emitted", "rule int", "n int")
 
         def handleInputRows(self, key, rows, timerValues):
             window = [(int(r[0]), r[1], r[2], tuple(int(m) for m in r[3].split(","))) for r in self.ring.get()]
@@ -150,8 +177,20 @@ def _processor(specs: list[tuple[int, int | None, int | None, int]], ring: int,
             for i, n in enumerate(counts):
                 if n:
                     self.emitted.updateValue((i,), (n,))
+            if ttl_ms is not None:
+                # One timer for each group: it moves on with every batch that brings the group events.
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ttl_ms)
             yield pd.DataFrame(out, columns=["rule_idx", "chain"]).astype({"rule_idx": "int32"})
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # The whole group goes at once, so no window is left without its count or the other way round.
+            held = sum(1 for _ in self.ring.get())
+            for state in (self.ring, self.next, self.emitted):
+                state.clear()
+            yield pd.DataFrame([(EVICTED, [str(key[-1]), str(held)])], columns=["rule_idx", "chain"]).astype({"rule_idx": "int32"})
+
         def close(self) -> None:
             pass
 
@@ -177,12 +216,13 @@ def _find(window, rule, steps, k, span, pos, ts):
 
 
 def stateful_chains(events: DataFrame, rules: Sequence[ChainRule], rule_set: str,
-                    ttl_ms: int | None = None) -> DataFrame:
+                    ttl_ms: int | None = None, evictions: bool = False) -> DataFrame:
     """Chains across micro-batches, by arrival order (`seq`) inside a group.
 
     Only step bits and identity are kept, at most one ring per group. `rule_set`, the
     `fingerprint` of the rules, is part of the group key, so a changed rule set starts
-    with empty windows. Idle groups leave through the state's time to live.
+    with empty windows. A group that brings no event for `ttl_ms` is dropped by its timer, in the first batch after that (start such
+    a query with `every`); with `evictions` a row without a rule says so: [group, events held].
     """
     ring = ring_size(rules)
     masks = step_masks(rules)
@@ -197,4 +237,8 @@ def stateful_chains(events: DataFrame, rules: Sequence[ChainRule], rule_set: str
         statefulProcessor=_processor(specs, ring, ttl_ms), outputStructType=OUT, outputMode="Append",
         timeMode="processingTime" if ttl_ms else "none")
     names = F.array(*[F.lit(r.rule_id) for r in rules])
-    return found.select(F.element_at(names, F.col("rule_idx") + 1).alias("rule_id"), F.col("chain").alias("cited_event_ids"))
+    if not evictions:
+        found = found.where(F.col("rule_idx") != EVICTED)
+    elif ttl_ms is None:
+        raise ValueError("groups are evicted only after a time")
+    return found.select(F.get(names, F.col("rule_idx")).alias("rule_id"), F.col("chain").alias("cited_event_ids"))
