@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from actiontrail import schema as S
 from actiontrail.functions.commands import command_columns
+from actiontrail.operators import literals as L
 from actiontrail.operators.chains import ChainRule
 
 BUILTIN_DIR = Path(__file__).resolve().parent.parent / "rules"
@@ -204,8 +205,24 @@ def command_gate() -> Column:
                                        & (kind == "command.result"))
 
 
-def rule_view(events: DataFrame, with_commands: bool = True) -> DataFrame:
-    """Events as predicates see them: absent text is empty, commands parsed."""
+def rule_view(events: DataFrame, with_commands: bool = True, texts: Sequence[str] | None = None) -> DataFrame:
+    """Events as predicates see them: absent text is empty, commands parsed.
+
+    `texts`, the predicates that will be asked, keeps commands unparsed where none of them can hold.
+    """
+    view = _plain_view(events).withColumn(L.SEARCH_TEXT, L.search_text())
+    if not with_commands:
+        return view
+    wanted = F.col("is_command")
+    if texts is not None:
+        some = F.lit(False)
+        for text in texts:
+            some = some | L.gate(L.command_literals(events.sparkSession, text))
+        wanted = wanted & some
+    return command_columns(view, "command", wanted)
+
+
+def _plain_view(events: DataFrame) -> DataFrame:
     view = events.withColumn("is_command", command_gate())
     texts = [f.name for f in view.schema.fields
              if isinstance(f.dataType, T.StringType) and f.name in S.EVENT_COLUMNS]
@@ -213,11 +230,19 @@ def rule_view(events: DataFrame, with_commands: bool = True) -> DataFrame:
         **{c: F.coalesce(F.col(c), F.lit("")) for c in texts},
         "diff_bytes": F.coalesce("diff_bytes", F.lit(0).cast("bigint")),
         "tags": F.coalesce("tags", F.array().cast("array<string>"))})
-    if with_commands:
-        view = command_columns(view, "command", F.col("is_command"))
     return view
 
 
+def _gated_view(events: DataFrame, with_commands: bool, asked: Sequence[str]) -> tuple[DataFrame, list[Column | None]]:
+    """The view and, for each predicate asked, the test of its literals (None: none are known)."""
+    view, tests = L.with_masks(_plain_view(events), asked)
+    # Without literals a predicate may hold for any event, or for those that can be told without commands.
+    wanted = F.lit(False)
+    for test, text in zip(tests, asked):
+        wanted = wanted | (test if test is not None else F.lit(True) if "command" in text else _predicate(text))
+    return (command_columns(view, "command", F.col("is_command") & wanted) if with_commands else view), tests
+
+
 def check_rules(spark: SparkSession, rules: Iterable[Rule]) -> None:
     """Analyse every predicate against an empty typed frame.
 
@@ -249,15 +274,16 @@ def single_matches(events: DataFrame, rules: Sequence[Rule], view: DataFrame | N
     raw ones, so findings render what the sensor saw.
     """
     active = [(i, r) for i, r in enumerate(rules) if r.enabled and r.expr]
-    if view is None:
-        view = rule_view(events.withColumn("_raw", F.struct(*events.columns)),
-                         needs_commands([r for _, r in active]))
     by_text: dict[str, list[int]] = {}
     for i, r in active:
         by_text.setdefault(r.expr, []).append(i)
+    tests: list[Column | None] = [None] * len(by_text)
+    if view is None:
+        view, tests = _gated_view(events.withColumn("_raw", F.struct(*events.columns)),
+                                  needs_commands([r for _, r in active]), list(by_text))
+    gated = [p if t is None else F.when(t, p) for t, p in zip(tests, map(_predicate, by_text))]
     hits = F.flatten(F.array_compact(F.array(*[
-        F.when(_predicate(text), F.array(*[F.lit(i) for i in places]))
-        for text, places in by_text.items()])))
+        F.when(hit, F.array(*[F.lit(i) for i in places])) for hit, places in zip(gated, by_text.values())])))
     static = (F.col("command_static") if "command_static" in view.columns else F.lit(True))
     found = view.select("_raw", (~F.col("is_command") | static).alias("command_static"),
                         hits.alias("_hits"))
@@ -278,7 +304,19 @@ def matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def chain_rules(rules: Sequence[Rule]) -> list[ChainRule]:
-    return [_chain_rule(r, [_predicate(s) for s in r.steps]) for r in rules if r.enabled and r.steps]
+    """Chains whose steps are asked of a `rule_view`."""
+    spark = SparkSession.getActiveSession()
+
+    def step(text: str) -> Column:
+        needed = L.needed_literals(spark, text)
+        return _predicate(text) if needed is None else F.when(L.gate(needed), _predicate(text))
+
+    return [_chain_rule(r, [step(s) for s in r.steps]) for r in rules if r.enabled and r.steps]
+
+
+def step_texts(rules: Sequence[Rule]) -> list[str]:
+    """The predicates that chains ask, for `rule_view`."""
+    return [s for r in rules if r.enabled and r.steps for s in r.steps]
 
 
 # --- companion expectations --------------------------------------------------

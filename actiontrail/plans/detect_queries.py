@@ -333,7 +333,7 @@ def chain_duplicates(spark, sf):
 
 def _builtin_chains(spark, sf):
     rules = [r for r in R.load_rules() if r.steps]
-    view = R.rule_view(actions(spark, sf))
+    view = R.rule_view(actions(spark, sf), texts=R.step_texts(rules))
     return chains.chain_matches(view, R.chain_rules(rules)), R.catalog_frame(spark, rules)
 
 
@@ -380,7 +380,7 @@ def chain_findings(spark, sf):
     rules = [r for r in R.load_rules() if r.steps]
     rows = actions(spark, sf)
     again = rows.withColumn(SEQ, F.col(SEQ) + 1_000_000_000_000)
-    found = chains.chain_matches(R.rule_view(rows.unionByName(again)), R.chain_rules(rules))
+    found = chains.chain_matches(R.rule_view(rows.unionByName(again), texts=R.step_texts(rules)), R.chain_rules(rules))
     catalog = R.catalog_frame(spark, rules)
     return findings.from_chains(found, catalog, F.lit("2026-01-01T00:00:00Z")).select(
         "finding_id", "rule_id", "confidence", F.array_join("tags", ",").alias("tags"),
