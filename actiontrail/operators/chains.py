@@ -12,13 +12,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from actiontrail.functions.scalars import hash_path, parsed_instant, present
 from actiontrail.operators.dedupe import first_per_id
 from actiontrail.operators.positions import SLICE_ROWS, add_positions, carry
 from actiontrail.schema import SEQ
-from actiontrail.session import saved
+from actiontrail.session import saved, ship
 
 # Look-back bound and limits of a sequence rule.
 MIN_RING = 256
@@ -148,22 +148,22 @@ def find_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | N
             layer[f"_t{i}"] = F.when(_bit(f"_m{i}", step), F.concat(own, rest))
         placed = placed.withColumns(layer)
 
-    found = {}
+    found, timed = {}, []
     order = Window.partitionBy("_key", "_block").orderBy("_pos")
     for i, rule in enumerate(rules):
         reach = min(ring, (rule.within_events - 1) if rule.within_events else ring)
         frame = order.rangeBetween(-reach, -1)
         if rule.within_seconds is None:
             tail = F.first(f"_t{i}", ignorenulls=True).over(frame)
+            found[f"_c{i}"] = F.when(_bit(f"_m{i}", len(rule.steps) - 1) & F.col("_home"), tail)
         else:
-            span = int(rule.within_seconds * 1_000_000)
-            starts = F.collect_list(F.when(
-                F.col(f"_t{i}").isNotNull() & F.col("_ts").isNotNull(),
-                F.struct(F.col("_ts").alias("ts"), F.col(f"_t{i}").alias("tail")))).over(frame)
-            inside = F.filter(starts, lambda s: (F.col("_ts") - s["ts"]).between(0, span))
-            tail = F.get(inside, F.lit(0))["tail"]
-        found[f"_c{i}"] = F.when(_bit(f"_m{i}", len(rule.steps) - 1) & F.col("_home"), tail)
+            timed.append((i, reach, int(rule.within_seconds * 1_000_000), 1 << (len(rule.steps) - 1)))
     solved = placed.withColumns(found)
+    if timed:
+        ship(hits.sparkSession)
+        # A block has a bounded number of rows, and only positions, times and bits.
+        shape = T.StructType([*solved.schema.fields, *[T.StructField(f"_c{i}", T.ArrayType(T.LongType())) for i, *_ in timed]])
+        solved = solved.groupBy("_key", "_block").applyInArrow(_timed_tails(timed), shape)
     chains = F.array_compact(F.array(*[
         F.when(F.element_at(f"_c{i}", -1) < F.col("_pos"),
                F.struct(F.lit(i).alias("rule_idx"),
@@ -173,6 +173,39 @@ def find_chains(hits: DataFrame, rules: Sequence[ChainRule], block_rows: int | N
             .select("_key", "_final", "_x.rule_idx", F.col("_x.chain").alias("_chain")))
 
 
+def _timed_tails(specs: list[tuple[int, int, int, int]]):
+    """Adds `_c{i}` for rules bound by events and time: the tail of the first start that both bounds allow.
+
+    `specs`: (rule, events it reaches back, its time in microseconds, the bit of its last step).
+    """
+    def solve(block):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from actiontrail.operators.range_first import FirstInRange
+
+        block = block.sort_by("_pos").combine_chunks()
+        pos, stamp = block.column("_pos").to_numpy(), block.column("_ts")
+        timed, home = stamp.is_valid().to_numpy(), block.column("_home").to_numpy()
+        times = pc.fill_null(stamp, 0).to_numpy()
+        for i, reach, span, last in specs:
+            tails = block.column(f"_t{i}").combine_chunks().cast(pa.list_(pa.field("element", pa.int64())))
+            starts = np.flatnonzero(tails.is_valid().to_numpy(zero_copy_only=False) & timed)
+            ends = np.flatnonzero((block.column(f"_m{i}").to_numpy() & last > 0) & timed & home)
+            at = np.full(len(pos), -1, np.int64)
+            if len(starts) and len(ends):
+                begin = np.searchsorted(pos[starts], pos[ends] - reach)
+                found = FirstInRange(times[starts]).ask(begin, times[ends] - span, times[ends])
+                inside = np.flatnonzero(found < len(starts))
+                inside = inside[pos[starts[found[inside]]] < pos[ends[inside]]]
+                at[ends[inside]] = starts[found[inside]]
+            block = block.append_column(f"_c{i}", tails.take(pa.array(at, mask=at < 0)))
+        return block
+
+    return solve
+
+
 def find_timed_chains(hits: DataFrame, rule: ChainRule, idx: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Chains of a rule whose only bound is its time, as `find_chains` gives them, over any number of events.
 

@@ -138,3 +138,37 @@ def test_rule_bounds():
         ChainRule("x", (step, step), 1)
     with pytest.raises(ValueError):
         ChainRule("x", (step, step), 5, max_matches=17)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_in_range(seed):
+    import numpy as np
+
+    from actiontrail.operators.range_first import FirstInRange
+
+    rng = np.random.default_rng(seed)
+    for many in [*range(1, 34), 255, 256, 257]:
+        times = rng.integers(0, 50, many)
+        begin, low = rng.integers(0, many + 2, 100), rng.integers(-5, 55, 100)
+        high = low + rng.integers(-2, 10, 100)
+        got = FirstInRange(times).ask(begin, low, high)
+        want = [next((j for j in range(b, many) if lo <= times[j] <= hi), many) for b, lo, hi in zip(begin, low, high)]
+        assert got.tolist() == want
+
+
+def test_both_bounds_over_a_full_ring(spark):
+    """9,000 events of one group, disordered times, 4,096 events back, against a walk."""
+    rng = random.Random(11)
+    rows = [(seq, "g", f"e{seq}", (BASE + timedelta(seconds=rng.randrange(20_000))).strftime("%Y-%m-%dT%H:%M:%SZ") if rng.random() < 0.95 else None,
+             1 if rng.random() < 0.3 else 2 if rng.random() < 0.3 else 0) for seq in range(9_000)]
+    events = step_frame(spark, rows)
+    rule = ChainRule("r", tuple(F.col("bits").bitwiseAND(bit) != 0 for bit in (1, 2)), 4096, 3.0, 16)
+    got = {tuple(r.cited_event_ids) for r in chain_matches(events, [rule], capped=False).collect()}
+    seconds = [None if t is None else int((datetime.strptime(t, "%Y-%m-%dT%H:%M:%SZ") - BASE.replace(tzinfo=None)).total_seconds()) for *_, t, _ in rows]
+    want = set()
+    for at, row in enumerate(rows):
+        if row[4] & 2 and seconds[at] is not None:
+            start = next((s for s in range(max(0, at - 4095), at) if rows[s][4] & 1 and seconds[s] is not None and 0 <= seconds[at] - seconds[s] <= 3), None)
+            if start is not None:
+                want.add((f"e{start}", f"e{at}"))
+    assert got == want and len(want) > 200
