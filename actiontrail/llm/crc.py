@@ -32,7 +32,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def crc32c(data: bytes | memoryview) -> int:
-    one, place, skip = _tables()
+    place = _tables()[1]
     raw = np.frombuffer(data, np.uint8)
     full = len(raw) // BLOCK * BLOCK
     state = 0xFFFFFFFF
@@ -40,7 +40,7 @@ def crc32c(data: bytes | memoryview) -> int:
         at = np.arange(BLOCK)
         for begin in range(0, full, BLOCK * 4096):
             rows = raw[begin:min(full, begin + BLOCK * 4096)].reshape(-1, BLOCK)
-            s0, s1, s2, s3 = (s.tolist() for s in skip)
+            s0, s1, s2, s3 = _skips()
             for own in np.bitwise_xor.reduce(place[at, rows], axis=1).tolist():
                 state = own ^ s0[state & 255] ^ s1[state >> 8 & 255] ^ s2[state >> 16 & 255] ^ s3[state >> 24]
     step = _steps()
@@ -49,6 +49,11 @@ def crc32c(data: bytes | memoryview) -> int:
     return state ^ 0xFFFFFFFF
 
 
+@functools.lru_cache(maxsize=1)
+def _skips() -> list[list[int]]:
+    return [row.tolist() for row in _tables()[2]]
+
+
 @functools.lru_cache(maxsize=1)
 def _steps() -> list[int]:
     return _tables()[0].tolist()

@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-KNOWN_WORDS = 350_000
+KNOWN_WORDS = 600_000
 END_TOKEN = "<|endoftext|>"
 _MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 _FAR = re.compile("[^\x00-\u024f]")
@@ -49,6 +49,10 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """A letter followed by marks always ends a pre-token, so stems and trailing marks are learnt apart."""
         known, parts = self.known, {}
+        unseen = words.difference(self.old)
+        for w in words - unseen:
+            known[w] = self.old[w]
+        words = unseen
         for w in words:
             stem = w.rstrip(_MARKS)
             if stem and stem != w and stem[-1].isascii() and stem[-1].isalpha():
@@ -77,16 +81,11 @@ class Encoder:
     def _joined(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.old, self.known = self.known, {"": b""}
-        known = self.known
-        found = [list(map(known.get, words)) for words in texts]
-        gaps = [(words, ids) for words, ids in zip(texts, found) if None in ids]
-        if gaps:
-            self._learn({w for words, ids in gaps for w, i in zip(words, ids) if i is None})
-            for words, ids in gaps:
-                for at, got in enumerate(ids):
-                    if got is None:
-                        ids[at] = known[words[at]]
-        return [b"".join(ids) for ids in found]
+        missing = set().union(*texts).difference(self.known)
+        if missing:
+            self._learn(missing)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in texts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
