@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from actiontrail.functions.scalars import order_key
 from actiontrail.operators.dedupe import first_per_id
+from actiontrail.sources.publish import exists, publish_once, read_text
 from actiontrail.sources.records import as_lines
 
+_CASE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
+
 
 def citations(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode("cited_event_ids").alias("event_id")).distinct()
@@ -47,6 +52,41 @@ def write_case(records: Mapping[str, DataFrame], folder: str) -> DataFrame:
     return manifest(next(iter(records.values())).sparkSession, folder, list(records))
 
 
+def publish_case(records: Mapping[str, DataFrame], root: str, case_id: str) -> DataFrame:
+    """Writes a case so that it appears whole or not at all; returns its manifest.
+
+    Rows go to a folder of this attempt below `root/staging`; its manifest is written when all of them are there, and the file
+    `root/cases/<case_id>`, which names the folder, comes last. A writer that dies leaves a folder that nothing names. A
+    case that exists is refused, also where two writers race.
+    """
+    if not _CASE_ID.fullmatch(case_id):
+        raise ValueError(f"not a case id: {case_id!r}")
+    spark = next(iter(records.values())).sparkSession
+    if exists(spark, f"{root}/cases/{case_id}"):
+        raise FileExistsError(f"case {case_id} exists")
+    folder = f"{root}/staging/{case_id}-{uuid.uuid4().hex}"
+    write_case(records, folder).write.json(f"{folder}/manifest")
+    publish_once(spark, f"{root}/cases/{case_id}", folder)
+    return case_manifest(spark, root, case_id)
+
+
+def case_folder(spark: SparkSession, root: str, case_id: str) -> str:
+    """Where a published case lies; raises FileNotFoundError for one that is not (or not yet) published."""
+    if not _CASE_ID.fullmatch(case_id) or not exists(spark, f"{root}/cases/{case_id}"):
+        raise FileNotFoundError(f"no case {case_id}")
+    return read_text(spark, f"{root}/cases/{case_id}")
+
+
+def case_manifest(spark: SparkSession, root: str, case_id: str) -> DataFrame:
+    return spark.read.schema("path string, sha256 string, row_count bigint").json(f"{case_folder(spark, root, case_id)}/manifest")
+
+
+def verify_case(spark: SparkSession, root: str, case_id: str, kinds: Sequence[str]) -> DataFrame:
+    """(path, problem) of a published case whose files are not what its manifest says; no rows: all is well."""
+    listed = case_manifest(spark, root, case_id)
+    return manifest_problems(listed, manifest(spark, case_folder(spark, root, case_id), kinds))
+
+
 def manifest(spark: SparkSession, folder: str, kinds: Sequence[str]) -> DataFrame:
     """path (below the folder), sha256 and row_count of every written file.
 

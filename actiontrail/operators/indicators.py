@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions import hosts
 from actiontrail.functions.redact import redact_columns
 from actiontrail.functions.scalars import hash_path, order_key, present
 from actiontrail.schema import SEQ
+from actiontrail.session import saved
 
 # Mined in this order; previews may carry Markdown.
 FIELDS = ("url", "command", "content_preview")
@@ -112,6 +113,63 @@ def indicators(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return fold(observations(events, limits))
 
 
+# Bins of one look at where the last kept key may lie.
+BINS = 1024
+
+
+def first_seen_keys(obs: DataFrame) -> DataFrame:
+    """(type, value) with where each was seen first: arrival number, a number for its place in the artifacts, field."""
+    # Positions are counted per file, so events of several files may share one; a hash of path and line decides then.
+    place = F.shiftrightunsigned(F.xxhash64("_arrival.path", "_arrival.line"), 1)
+    return obs.groupBy("type", "value").agg(F.min(F.struct(F.col(SEQ).cast("bigint").alias("seq"), place.alias("place"), F.col("pos").alias("pos"))).alias("_f")).select(
+        "type", "value", "_f.*")
+
+
+def earliest_keys(keys: DataFrame, limit: int, bins: int = BINS) -> DataFrame:
+    """The `limit` keys that were seen first, exactly; keys of one field of one event by type and value.
+
+    The place of the last kept key is found by counting keys in bins of arrival, then again inside the one bin where it lies, and so on: a few
+    passes that return at most `bins` numbers each. Only keys of one single place are ever put in order, which an event's field bounds.
+    """
+    number, rest, need, kept = ["seq", "place"], keys, limit, F.lit(False)
+    inside = F.lit(True)
+    for c in number:
+        low, high = rest.agg(F.min(c), F.max(c)).first()
+        if low is None:
+            break
+        while low < high:
+            width = -(-(high - low + 1) // bins)
+            at = F.expr(f"({c} - {low}L) div {width}L")
+            counts = {r["b"]: r["n"] for r in rest.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            bin_, before = None, 0
+            for b in sorted(counts):
+                if before + counts[b] > need:
+                    bin_ = b
+                    break
+                before += counts[b]
+            if bin_ is None:
+                return keys.where(kept | inside)
+            begin = low + bin_ * width
+            kept, need = kept | (inside & (F.col(c) < begin)), need - before
+            low, high = begin, min(begin + width - 1, high)
+            inside = inside & F.col(c).between(low, high)
+            rest = keys.where(inside)
+    order = Window.partitionBy("seq", "place").orderBy("pos", "type", "value")
+    last = rest.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= need).drop("_nth")
+    return keys.where(kept).unionByName(last)
+
+
+def capped_indicators(events: DataFrame, limit: int, limits: Limits = Limits()) -> tuple[DataFrame, int]:
+    """(records of the first `limit` keys of a run, how many keys were left out). A number above 0 makes a summary `partial`."""
+    obs = observations(events, limits)
+    keys = saved(first_seen_keys(obs))
+    total = keys.count()
+    if total <= limit:
+        return fold(obs), 0
+    kept = saved(earliest_keys(keys, limit)).select("type", "value")
+    return fold(obs.join(kept, ["type", "value"], "left_semi")), total - limit
+
+
 def in_order(records: DataFrame) -> DataFrame:
     """Records by type, then value: the order of an indicator export."""
     return records.orderBy("type", "value")

@@ -127,8 +127,8 @@ def case_manifest(spark, sf):
     """Writes events and findings of a case and checks the manifest against what lies there."""
     folder = f"{_folder(spark)}/case"
     found = findings.from_matches(_matches(spark, sf), F.lit("2026-01-01T00:00:00Z"))
-    listed = cases.write_case({"events": actions(spark, sf), "findings": found}, folder)
-    bad = cases.manifest_problems(listed, cases.manifest(spark, folder, ["events", "findings"]))
+    listed = cases.publish_case({"events": actions(spark, sf), "findings": found}, folder, "case-1")
+    bad = cases.verify_case(spark, folder, "case-1", ["events", "findings"])
     kind = F.element_at(F.split("path", "/"), -2)
     wrong = bad.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("bad"))
     return (listed.groupBy(kind.alias("kind")).agg(F.sum("row_count").alias("row_count")).join(wrong, "kind", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from actiontrail.functions import hosts, redact, scalars
-from actiontrail.operators import indicators as ind
+from actiontrail.operators import indicators as ind, summary
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, rfc3339, table, texts
 from actiontrail.plans.registry import query
 
@@ -315,3 +315,19 @@ def indicator_caps(spark, sf):
     mined = ind.mine_text(rows, "t", limits=ind.Limits(per_field=1))
     return (mined.select("event_id", F.size("indicators").alias("kept"), "truncated")
             .where(F.col("kept") > 0))
+
+
+_RUN_KEYS = 150
+
+
+@query("O4_run_cap", _MINED_SQL + f""", keys AS (SELECT type, value, min(seq * 4 + pos) AS first, count(*) AS count FROM found GROUP BY type, value),
+  total AS (SELECT count(*) AS n FROM keys)
+  SELECT type, value, count, CASE WHEN n > {_RUN_KEYS} THEN 'partial' ELSE 'complete' END AS status
+  FROM (SELECT *, row_number() OVER (ORDER BY first, type, value) AS place FROM keys), total WHERE place <= {_RUN_KEYS}""")
+def run_cap(spark, sf):
+    """The keys a run sees first, and the status of a run that left some out."""
+    events = texts(spark, sf)
+    found, dropped = ind.capped_indicators(events, _RUN_KEYS)
+    counts = summary.kind_counts(artifact_parsed=events.select("evidence.artifact_type").distinct(), indicator=found)
+    status = summary.run_summary(counts, truncated=dropped > 0).first()["status"]
+    return found.select("type", "value", "count", F.lit(status).alias("status"))

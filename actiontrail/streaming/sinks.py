@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from actiontrail.sources.publish import exists, publish_once
+
 
 class CommittedSink:
     """Writes batches under `root`; give `sink.write` to `foreachBatch`, one sink for each query and output."""
@@ -21,13 +23,8 @@ class CommittedSink:
     def __init__(self, root: str, fmt: str = "parquet", before_commit: Callable[[int], None] | None = None):
         self.root, self.fmt, self.before_commit = root.rstrip("/"), fmt, before_commit
 
-    def _path(self, spark: SparkSession, *parts: str):
-        path = spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
-        return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
     def is_committed(self, spark: SparkSession, batch: int) -> bool:
-        path, fs = self._path(spark, "commits", f"{batch:020d}")
-        return fs.exists(path)
+        return exists(spark, f"{self.root}/commits/{batch:020d}")
 
     def write(self, df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
@@ -37,22 +34,11 @@ class CommittedSink:
         df.write.format(self.fmt).save(f"{self.root}/data/_attempt={attempt}")
         if self.before_commit is not None:
             self.before_commit(batch)
-        self._publish(spark, batch, attempt)
-
-    def _publish(self, spark: SparkSession, batch: int, attempt: str) -> None:
-        draft, fs = self._path(spark, "drafts", attempt)
-        out = fs.create(draft, True)
-        out.write(bytearray(f"{batch}\t{attempt}\n".encode()))
-        out.close()
-        final, fs = self._path(spark, "commits", f"{batch:020d}")
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"batch {batch} was committed by another writer")
+        publish_once(spark, f"{self.root}/commits/{batch:020d}", f"{batch}\t{attempt}\n")
 
     def read(self, spark: SparkSession, schema: T.StructType | str) -> DataFrame:
         """The rows of committed batches. Attempts that never were committed are pruned by their folder."""
-        path, fs = self._path(spark, "commits")
-        if not fs.exists(path):
+        if not exists(spark, f"{self.root}/commits"):
             return spark.createDataFrame([], schema)
         done = spark.read.text(f"{self.root}/commits").select(F.split_part("value", F.lit("\t"), F.lit(2)).alias("_attempt"))
         wanted = spark.createDataFrame([], schema).schema
