@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actiontrail.llm.groups import components, forest, runs_of
-from actiontrail.llm.shared import ranked, saved, ship, spread_count
+from actiontrail.llm.shared import aside, ranked, saved, ship, spread_count
 from actiontrail.llm.text_bytes import mixed, parts, prefix_hash, span_hash, texts
 
 SHINGLE = 5
@@ -382,6 +382,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of which one of each class stays: that with the smallest doc_id. Texts without words all stay, repeated
     rows of them once."""
+    docs, back = aside(docs)
     classes = saved(near_classes(docs, threshold), "classes")
     pick = F.min(F.struct("doc_id", "text_hash")).alias("pick")
     # A text without words is a class of its own.
@@ -389,7 +390,7 @@ def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     keys = first.select(F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
-    return rows.join(keys, here, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return back(rows.join(keys, here, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash"))
 
 
 def class_report(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ Each record hashes to one of `N_SLOTS` virtual slots for good; a versioned map s
 map: only slots that have to move do. Maps are tables (version, vslot, shard) of N_SLOTS rows each, whatever the data.
 Law: `bytes` - the shards' sizes are as near to equal as whole slots allow.
 
-Records hash by their text, so equal texts share a slot and a shard; null counts as a text of its own. Only a group of
-copies that holds more than a quarter of an even shard hashes by doc_id as well, as it would outweigh its shard: there are at
-most four such groups for each shard. Columns of the same names as those added are replaced.
+The query's map has two versions: the first deals slots round by round before any record is seen, the second is the stored first one,
+read back and edited for the bytes that the slots turned out to have.
+
+Records hash by their text, so equal texts share a slot and a shard; null counts as the empty text. Only a group of
+copies that outweighs an even shard by itself hashes by doc_id as well: there are fewer such groups than shards. Columns of the
+same names as those added are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from actiontrail.llm.shared import saved
+from actiontrail.llm.shared import ranked, saved, spread_count
 
 N_SLOTS = 8192
 MAP = "version int, vslot int, shard int"
@@ -26,14 +29,14 @@ MAP = "version int, vslot int, shard int"
 
 def sized(docs: DataFrame) -> DataFrame:
     """Adds size (UTF-8 bytes of the text plus 1) and text_hash."""
-    return docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("text_hash", F.xxhash64("text"))
+    return docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def heavy_groups(rows: DataFrame, shards: int) -> list[int]:
-    """Text hashes whose rows hold more than a quarter of an even shard: fewer than four for each shard."""
+    """Text hashes whose rows hold more than an even shard: fewer than there are shards."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
-    return [r["text_hash"] for r in groups.where((F.col("n") * (4 * shards) > total) & (F.col("rows") > 1)).collect()]
+    return [r["text_hash"] for r in groups.where((F.col("n") * shards > total) & (F.col("rows") > 1)).collect()]
 
 
 def slotted(rows: DataFrame, heavy: list[int] = [], n_slots: int = N_SLOTS) -> DataFrame:  # noqa: B006 - never changed
@@ -83,6 +86,16 @@ def rebalanced(old: dict[int, int], sizes: dict[int, int], shards: int) -> dict[
     return out
 
 
+def dealt_map(shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
+    """A map for slots of which nothing is known yet: round by round."""
+    return {slot: slot % shards for slot in range(n_slots)}
+
+
+def stored_map(maps: DataFrame, version: int) -> dict[int, int]:
+    """One version of a stored map: N_SLOTS rows."""
+    return {r["vslot"]: r["shard"] for r in maps.where(F.col("version") == version).collect()}
+
+
 def map_table(spark: SparkSession, version: int, slots: dict[int, int]) -> DataFrame:
     return spark.createDataFrame([(version, s, h) for s, h in sorted(slots.items())], MAP)
 
@@ -90,15 +103,14 @@ def map_table(spark: SparkSession, version: int, slots: dict[int, int]) -> DataF
 def assign(rows: DataFrame, slots: DataFrame, order: list[str]) -> DataFrame:
     """Adds shard and slot: the record's place in its shard, gapless from 0.
 
-    Records are numbered inside their virtual slot; a slot's first place comes from the sizes of the shard's earlier
-    slots, a window over N_SLOTS rows.
+    Records are numbered inside their virtual slot, in buckets, as one slot may hold a third of all rows; a slot's first place
+    comes from the sizes of the shard's earlier slots, a window over N_SLOTS rows.
     """
     counts = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     places = (slots.join(counts, "vslot")
               .select("vslot", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")))
-    inside = Window.partitionBy("vslot").orderBy(*order)
-    numbered = rows.drop("shard", "slot").withColumn("_nth", F.row_number().over(inside) - 1)
+    numbered = ranked(rows.drop("shard", "slot"), "vslot", order, spread_count(rows), "_nth")
     return (numbered.join(F.broadcast(places), "vslot")
             .withColumn("slot", (F.col("first") + F.col("_nth")).cast("long")).drop("first", "_nth"))
 
@@ -109,7 +121,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = saved(sized(docs.select("doc_id", "text")).select(
         "doc_id", "size", "text_hash", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
     narrow = slotted(rows, heavy_groups(rows, shards))
-    slots = saved(map_table(spark, 1, first_map(slot_bytes(narrow), shards)), "slot-map")
+    maps = saved(map_table(spark, 1, dealt_map(shards)), "slot-map")
+    edited = map_table(spark, 2, rebalanced(stored_map(maps, 1), slot_bytes(narrow), shards))
+    maps = saved(maps.unionByName(edited), "slot-map")
+    slots = maps.where("version = 2").drop("version")
     return (assign(narrow, slots, ["doc_id", "text_crc32", "size"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard")))

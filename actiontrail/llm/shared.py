@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import TaskContext
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from actiontrail.session import checkpoint_dir
 
+ASIDE = "other_columns"
 _SHIPPED: dict[str, str] = {}
 
 
@@ -92,6 +94,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def aside(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(documents whose other columns are put into one, what takes them out again): no name of theirs can meet one of an operator.
+
+    The second gives the columns of `docs` in their order, then those that the operator added.
+    """
+    names = docs.columns
+    others = [c for c in names if c.lower() not in own]
+    if not others:
+        return docs, lambda out: out
+    inner = docs.select(*own, F.struct(*[F.col(quoted(c)) for c in others]).alias(ASIDE))
+
+    def back(out: DataFrame) -> DataFrame:
+        kept = [F.col(f"{ASIDE}.{quoted(c)}") if c in others else F.col(quoted(c)) for c in names]
+        return out.select(*kept, *[c for c in out.columns if c.lower() not in own and c != ASIDE])
+
+    return inner, back
+
+
 def spread_count(df: DataFrame, least: int = 8) -> int:
     """Buckets that follow the cluster's shuffle width."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

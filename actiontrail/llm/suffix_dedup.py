@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from actiontrail.llm.groups import runs_of
-from actiontrail.llm.shared import saved, ship, spread_count
+from actiontrail.llm.shared import aside, saved, ship, spread_count
 from actiontrail.llm.text_bytes import MIX1, MIX2, mixed, parts, powers, prefix_hash, texts
 
 LENGTH = 100
@@ -542,12 +542,16 @@ def spans(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """The rows with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans."""
-    plain = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    """The rows with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans; columns of these names are replaced."""
+    docs, back = aside(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
+    return back(_dedup(docs, heavy))
+
+
+def _dedup(plain: DataFrame, heavy: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = (plain.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
             .withColumn("_h1", F.xxhash64(text)).withColumn("_size", F.octet_length(text)))
-    hits = spans(docs, heavy).select(F.col("doc").alias("_d"), F.col("h1").alias("_h"), "found", "whole")
+    hits = spans(plain, heavy).select(F.col("doc").alias("_d"), F.col("h1").alias("_h"), "found", "whole")
     here = (F.col("_doc") == F.col("_d")) & (F.col("_h1") == F.col("_h"))
     joined = packed(rows).hint("merge").join(hits, here, "left").drop("_d", "_h")
     # Rows that repeat both id and text: one keeps its place in the order, the others are later copies.

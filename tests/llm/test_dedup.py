@@ -207,3 +207,24 @@ def test_null_ids_and_repeats(spark):
 def test_digest_of_lines(spark):
     got = line_dedup.dedup_report(table(spark, [(1, None)])).collect()
     assert [tuple(r) for r in got] == [(1, 1, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_clashing_names_in_public_functions(spark):
+    """Every name that the operators use inside, as columns of the documents."""
+    import re
+    from pathlib import Path
+
+    names = {"_hash", "_doc", "_d", "_h", "_h1", "_size", "_nth", "_late", "_text_hash", "found", "whole", "places", "key", "root", "node", "low", "class_id",
+             "pick", "own", "other_columns_2"}
+    for module in (suffix_dedup, set_join):
+        names |= set(re.findall(r'(?:alias|withColumn)\("([A-Za-z_0-9]+)"', Path(module.__file__).read_text()))
+    names = sorted(names - {"doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans"})
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (2, text), (3, f"{text} more"), (4, "other words of this text here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names)])
+    got = suffix_dedup.dedup(docs)
+    assert got.columns == [*docs.columns, "kept", "n_bytes", "n_removed", "n_spans"]
+    assert {r.doc_id: r.n_removed > 0 for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, None: False}
+    first = set_join.first_of_classes(docs)
+    assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == {1, 4, None}
+    assert all(r[name] == k for r in first.collect() for k, name in enumerate(names))
