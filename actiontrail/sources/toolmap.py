@@ -8,6 +8,7 @@ from actiontrail.functions.scalars import content_preview, first_url, mcp_parts,
 
 # Agents whose tool names are compared without case.
 CASELESS = ("cursor", "windsurf")
+# Argument keys under which tools pass paths, commands, URLs and searches.
 _FILE = ("file_path", "filePath", "path", "target_file")
 _CMD = ("command", "commandLine", "command_line", "cmd")
 _URL = ("url", "uri", "link")
