@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions.patches import patch_changes
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
 from actiontrail.plans.registry import query
+from actiontrail.session import checkpoint_dir
 from actiontrail.sources import claude, codex, compact, gemini, hooks, lines as L, otlp, tolerant
 
 _STAMP = "2026-01-01T00:00:00Z"
@@ -335,9 +338,34 @@ def patch_explode(spark, sf):
     return d.select("doc_id", F.explode(patch_changes(patch)).alias("c")).select("doc_id", "c.path", "c.delete")
 
 
-@query("S1_inventory")
+_FILED_SQL = """
+  WITH filed AS (SELECT conv_id, turn, turn || ' ' || role || ' ' || md5(coalesce(text, '')) AS raw FROM conversations),
+  files AS (SELECT conv_id, sha256(string_agg(raw || chr(10), '' ORDER BY turn, raw)) AS sha256, CAST(sum(strlen(raw) + 1) AS BIGINT) AS length FROM filed GROUP BY conv_id)"""
+
+
+def _filed(spark, sf) -> str:
+    """One file per conversation below a new folder of the shared checkpoint folder."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/artifacts-{uuid.uuid4().hex}"
+    raw = F.concat_ws(" ", F.col("turn").cast("string"), "role", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    (table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("value")).repartition("conv_id")
+     .sortWithinPartitions("conv_id", "turn", "value").select("conv_id", "value").write.partitionBy("conv_id").text(folder))
+    return folder
+
+
+def _conversation(path: str) -> Column:
+    return F.regexp_extract(path, "conv_id=([0-9]+)/", 1).cast("bigint")
+
+
+@query("S1_inventory", _FILED_SQL + " SELECT CAST(conv_id AS BIGINT) AS conv_id, length FROM files")
 def inventory(spark, sf):
-    files = L.inventory(spark, sf)
-    return files.select(F.substring_index("local_path", "/", -1).alias("file"), "length", "source_agent")
+    """The files of a tree that the conversations were written to, each once."""
+    return L.inventory(spark, _filed(spark, sf)).where(F.col("local_path").contains("/part-")).select(_conversation("local_path").alias("conv_id"), "length")
 
 
+@query("S2_hashed_lines", _FILED_SQL + """
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, raw) AS line, raw, sha256
+  FROM filed JOIN files USING (conv_id)""")
+def hashed_lines(spark, sf):
+    """Numbered lines with their file's digest, from one pass over each file."""
+    rows, _ = L.hashed_lines(spark, _filed(spark, sf))
+    return rows.select(_conversation("local_path").alias("conv_id"), "line", "raw", "sha256")
