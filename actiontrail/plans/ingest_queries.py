@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions.patches import patch_changes
+from actiontrail.operators import rules as R
 from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
 from actiontrail.plans.registry import query
 from actiontrail.session import checkpoint_dir
@@ -290,6 +291,56 @@ def telemetry_outcomes(spark, sf):
     return otlp.outcome_counts(_telemetry(spark, sf))
 
 
+_MODES = ("acceptEdits", "plan", "bypassPermissions", "default", "YOLO")
+_FAILED = ("INFO", "ERROR", "fatal: x", "WARN", "info", "DEBUG")
+
+
+@query("P24_P25_telemetry_tags", f"""
+  WITH e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_type IN ('view', 'signup'))
+  SELECT event_type, tag, count(*) AS n FROM (
+    SELECT 'file.read' AS event_type, CASE WHEN k % 6 IN (1, 2) OR k % 5 = 3 OR k % 7 IN (1, 2) THEN 'tool_error' ELSE '' END AS tag FROM e WHERE event_type = 'view'
+    UNION ALL SELECT 'config.agent', CASE WHEN k % {len(_MODES)} IN (0, 2, 4) THEN 'permission_mode_elevated' ELSE '' END FROM e WHERE event_type = 'signup') AS t
+  GROUP BY ALL""")
+def telemetry_tags(spark, sf):
+    """Failures told by severity number, severity text or attributes; modes that ask for less."""
+    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "signup"))
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    view = F.col("event_type") == "view"
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+    read = F.map_concat(F.create_map(F.lit("gen_ai.tool.name"), F.lit("read_file"), F.lit("file.path"), F.lit("/f")),
+                        F.when(k % 7 == 1, F.create_map(F.lit("error"), F.lit("True"))).when(
+                            k % 7 == 2, F.create_map(F.lit("error.type"), F.lit("timeout"))).otherwise(F.create_map(F.lit("error"), F.lit("false"))))
+    rows = e.select(
+        F.sha2(F.col("event_id").cast("string"), 256).alias("batch"), F.lit("0").alias("index"),
+        F.create_map(F.lit("service.name"), F.lit("my-claude")).alias("resource"),
+        F.when(view, read).otherwise(F.create_map(F.lit("to_mode"), pick(_MODES, k))).alias("attributes"),
+        (F.unix_micros("ts") * 1000).alias("time_unix_nano"), F.lit(None).cast("bigint").alias("observed_time_unix_nano"),
+        F.when(view & (k % 5 == 3), 17).otherwise(9).alias("severity_number"), F.when(view, pick(_FAILED, k)).otherwise("INFO").alias("severity_text"),
+        F.when(~view, "claude_code.permission_mode_changed").alias("event_name"), F.lit(None).cast("string").alias("body"))
+    return otlp.events(rows).groupBy("event_type", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("F5_telemetry_results", """
+  SELECT source_type, count(*) AS findings FROM (
+    SELECT 'otel' AS source_type FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT 'hook' FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0) AS t GROUP BY source_type""")
+def telemetry_results(spark, sf):
+    """Telemetry shows some commands only when they are done, so their results count as commands; results from hooks do not."""
+    bought = table(spark, sf, "events").where("event_type = 'purchase'")
+    done = bought.select(
+        F.sha2(F.col("event_id").cast("string"), 256).alias("batch"), F.lit("0").alias("index"),
+        F.create_map(F.lit("service.name"), F.lit("my-claude")).alias("resource"),
+        F.create_map(F.lit("command"), F.lit("sudo -l"), F.lit("process.exit.code"), F.lit("0")).alias("attributes"),
+        (F.unix_micros("ts") * 1000).alias("time_unix_nano"), F.lit(None).cast("bigint").alias("observed_time_unix_nano"),
+        F.lit(9).alias("severity_number"), F.lit("INFO").alias("severity_text"), F.lit(None).cast("string").alias("event_name"), F.lit(None).cast("string").alias("body"))
+    # From hooks, every second user's command is asked for, the others' are only seen done.
+    asked = F.col("user_id") % 2 == 0
+    hooked = otlp.events(done).join(bought.select(F.concat(F.lit("otel-"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 16), F.lit("-0")).alias("event_id"), "user_id"), "event_id")
+    hooked = hooked.withColumns({"source_type": F.lit("hook"), "event_type": F.when(asked, "command.exec").otherwise("command.result")}).drop("user_id")
+    rules = [r for r in R.load_rules() if r.id == "recon.privilege_escalation"]
+    return R.matches(otlp.events(done).unionByName(hooked), rules).groupBy("source_type").agg(F.count("*").alias("findings"))
+
+
 @query("S6_hook_events", f"""
   SELECT event_type, session_id, "timestamp", command, url, NULL AS file_path FROM ({ACTIONS_SQL})
     WHERE event_type IN ('command.exec', 'network.indicator', 'permission.denied')
