@@ -200,7 +200,8 @@ def read(index: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    bundles = index.select("path").distinct().repartition(spread_count(index), "path")
+    # Paths are few and short, but each stands for a bundle: dealt round by round to a fixed number of tasks, not put together by their size.
+    bundles = index.select("path").distinct().repartition(spread_count(index))
     return bundles.mapInArrow(run, ROWS)
 
 
