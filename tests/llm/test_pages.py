@@ -7,6 +7,8 @@ import html
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from actiontrail.llm import html_extract, warc
 from actiontrail.llm.dom import parse
 
@@ -22,6 +24,16 @@ def b32(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    """Paths are short rows, which Spark would put into one task."""
+    rng = random.Random(2)
+    pages = [(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3000))) for i in range(64)]
+    index = warc.write(table(spark, pages), frame_bytes=2000, bundle_bytes=6000)
+    bundles = index.select("path").distinct().count()
+    tasks = warc.read(index).groupBy(F.spark_partition_id().alias("task")).count().count()
+    assert bundles >= 8 and tasks >= 4
+
+
 def test_archives(spark):
     index = warc.write(table(spark, PAGES), frame_bytes=2000, bundle_bytes=3000)
     first = {}
