@@ -267,11 +267,12 @@ def needs_commands(rules: Iterable[Rule]) -> bool:
     return any(r.uses_commands for r in rules if r.enabled)
 
 
-def single_matches(events: DataFrame, rules: Sequence[Rule], view: DataFrame | None = None) -> DataFrame:
+def single_matches(events: DataFrame, rules: Sequence[Rule], view: DataFrame | None = None, indexed: bool = False) -> DataFrame:
     """`(event columns, rule_pos, command_static)` for every matching rule.
 
     Identical predicate texts are compiled once; the event columns are the
-    raw ones, so findings render what the sensor saw.
+    raw ones, so findings render what the sensor saw. `indexed` asks the literal index first, which pays only where
+    most events hold no rule's literals.
     """
     active = [(i, r) for i, r in enumerate(rules) if r.enabled and r.expr]
     by_text: dict[str, list[int]] = {}
@@ -279,8 +280,11 @@ def single_matches(events: DataFrame, rules: Sequence[Rule], view: DataFrame | N
         by_text.setdefault(r.expr, []).append(i)
     tests: list[Column | None] = [None] * len(by_text)
     if view is None:
-        view, tests = _gated_view(events.withColumn("_raw", F.struct(*events.columns)),
-                                  needs_commands([r for _, r in active]), list(by_text))
+        raw, commands = events.withColumn("_raw", F.struct(*events.columns)), needs_commands([r for _, r in active])
+        if indexed:
+            view, tests = _gated_view(raw, commands, list(by_text))
+        else:
+            view = rule_view(raw, commands)
     gated = [p if t is None else F.when(t, p) for t, p in zip(tests, map(_predicate, by_text))]
     hits = F.flatten(F.array_compact(F.array(*[
         F.when(hit, F.array(*[F.lit(i) for i in places])) for hit, places in zip(gated, by_text.values())])))

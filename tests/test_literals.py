@@ -70,7 +70,7 @@ def test_no_rule_loses_a_match(spark):
     df = frame(spark, rows).unionByName(conform(frame(spark, [("config.agent", "")]).withColumns({
         "tags": F.array(F.lit("permission_mode_elevated")), "seq": F.lit(10_000).cast("bigint")})))
     rules = R.load_rules()
-    got = found(R.single_matches(df, rules))
+    got = found(R.single_matches(df, rules, indexed=True))
     assert got == ungated(df, rules) and len({p for _, p, _ in got}) == sum(1 for r in rules if r.expr)
 
 
@@ -80,7 +80,7 @@ def test_rules_without_literals_and_many_rules(spark):
     rules += [R.Rule("len", "1", "t", "low", expr="length(command) > 12"), R.Rule("not", "1", "t", "low", expr="NOT exists(commands, c -> c.name = 'tool1')"),
               R.Rule("low", "1", "t", "low", expr="lower(command) rlike 'TOOL' OR tool_name = 'x'")]
     df = frame(spark, [(CMD, f"tool{i} a") for i in range(0, 150, 7)] + [(CMD, "ls"), (CMD, "'to'ol3 with words"), ("file.read", "/x")])
-    assert found(R.single_matches(df, rules)) == ungated(df, rules)
+    assert found(R.single_matches(df, rules, indexed=True)) == ungated(df, rules)
 
 
 def test_unasked_commands_stay_unparsed(spark):
