@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from actiontrail.functions.scalars import order_key
 from actiontrail.operators.dedupe import first_per_id
+from actiontrail.session import ship
 from actiontrail.sources.publish import exists, publish_once, read_text
 from actiontrail.sources.records import as_lines
 
 _CASE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
 
+# Rows of a written file, and bytes of a file that is hashed in one piece; longer ones are hashed line by line.
+FILE_ROWS = 20_000
+FILE_BYTES = 32 << 20
+
 
 def citations(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode("cited_event_ids").alias("event_id")).distinct()
@@ -48,7 +55,7 @@ def case_records(events: DataFrame, findings: DataFrame, decisions: DataFrame, c
 def write_case(records: Mapping[str, DataFrame], folder: str) -> DataFrame:
     """Writes one folder of NDJSON files for each kind of record; returns their manifest."""
     for kind, rows in records.items():
-        as_lines(rows).select("value").write.text(f"{folder}/{kind}")
+        as_lines(rows).select("value").write.option("maxRecordsPerFile", FILE_ROWS).text(f"{folder}/{kind}")
     return manifest(next(iter(records.values())).sparkSession, folder, list(records))
 
 
@@ -88,19 +95,49 @@ def verify_case(spark: SparkSession, root: str, case_id: str, kinds: Sequence[st
 
 
 def manifest(spark: SparkSession, folder: str, kinds: Sequence[str]) -> DataFrame:
-    """path (below the folder), sha256 and row_count of every written file.
-
-    Writers bound their files, so a file may be one row here; row counts come from the files as they lie there.
-    """
+    """path (below the folder), sha256 and row_count of every written file; row counts come from the files as they lie there."""
     roots = [f"{folder}/{kind}" for kind in kinds]
     below = lambda path: F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
-    digests = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(roots).select(
+    short = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(roots).where(F.col("length") <= FILE_BYTES).select(
         below(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+    digests = short.unionByName(long_digests(spark, roots).withColumn("path", below(F.col("path"))))
     counts = (spark.read.option("pathGlobFilter", "part-*").text(roots).groupBy(below(F.col("_metadata.file_path")).alias("path"))
               .agg(F.count(F.lit(1)).alias("row_count")))
     return digests.join(counts, "path", "left").select("path", "sha256", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"))
 
 
+def long_digests(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """path and sha256 of files above FILE_BYTES: their lines in order, hashed as they pass, so no task holds a file."""
+    ship(spark)
+    meta = {name: F.col(f"_metadata.{name}").alias(name) for name in ("file_path", "file_size", "file_block_start")}
+    lines = (spark.read.option("pathGlobFilter", "part-*").option("lineSep", "\n").text(list(roots))
+             .where(F.col("_metadata.file_size") > FILE_BYTES)
+             .select(*meta.values(), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line")))
+    order = ["file_path", "file_block_start", "at"]
+    return (lines.repartition("file_path").sortWithinPartitions(*order).select("file_path", "file_size", "line")
+            .mapInArrow(_hash_lines, "path string, sha256 string"))
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest for each run of rows of one file; its size says whether its last line has an end."""
+    done, path, digest, left = [], None, hashlib.sha256(), 0
+    for batch in batches:
+        for name, size, line in zip(*(batch.column(c) for c in ("file_path", "file_size", "line"))):
+            if name.as_py() != path:
+                if path is not None:
+                    done.append((path, digest.hexdigest()))
+                path, digest, left = name.as_py(), hashlib.sha256(), size.as_py()
+            data = line.as_py()
+            digest.update(data)
+            left -= len(data)
+            if left > 0:
+                digest.update(b"\n")
+                left -= 1
+    if path is not None:
+        done.append((path, digest.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["path", "sha256"])
+
+
 def digest_drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Paths where any recorded digest differs from the current one.
 

@@ -1,5 +1,6 @@
 """Cases that appear whole or not at all; the first keys of a run without a global order."""
 
+import hashlib
 import os
 import random
 import tempfile
@@ -36,6 +37,23 @@ def test_a_case_is_published_once(spark, root):
     assert [r.problem for r in cases.verify_case(spark, root, "c-1", ["events", "findings"]).collect()] == ["digest_mismatch"]
 
 
+def test_long_files_are_not_read_whole(spark, root, monkeypatch):
+    """Files are bounded in rows when written; one above FILE_BYTES is hashed line by line, to the same digest."""
+    monkeypatch.setattr(cases, "FILE_ROWS", 100)
+    monkeypatch.setattr(cases, "FILE_BYTES", 3000)
+    text = F.when(F.col("id") < 900, "x").otherwise(F.repeat(F.lit("\u00e9\r"), 40))
+    listed = cases.write_case({"events": spark.range(1000).coalesce(1).select("id", text.alias("t"))}, root).collect()
+    assert len(listed) == 10 and all(r.row_count == 100 for r in listed)
+    with open(f"{root}/events/part-odd", "wb") as file:  # no end of line at its end, one empty line, bytes that are no text
+        file.write(b"\n" + b"\xff\x00" * 2000 + b"\r\n" + b"y" * 10)
+    found = {r.path: r.sha256 for r in cases.manifest(spark, root, ["events"]).collect()}
+    sizes = {p: os.path.getsize(f"{root}/{p}") for p in found}
+    assert len(found) == 11 and min(sizes.values()) <= 3000 < max(sizes.values())
+    for path, digest in found.items():
+        with open(f"{root}/{path}", "rb") as file:
+            assert hashlib.sha256(file.read()).hexdigest() == digest, path
+
+
 def test_a_killed_write_leaves_no_case(spark, root, monkeypatch):
     dies = rows(spark) | {"decisions": spark.range(5).select(F.raise_error(F.lit("killed")).cast("string").alias("x"))}
     with pytest.raises(Exception, match="killed"):
