@@ -39,8 +39,10 @@ def mine_text(df: DataFrame, text: str, markdown: Column | None = None,
     if markdown is not None:
         df = df.withColumn("_t", F.when(markdown, hosts.strip_bold(F.col("_t"))).otherwise(F.col("_t")))
     df = df.withColumn("_b", hosts.blank_urls(F.col("_t")))
-    df = df.withColumn("indicators", F.array_distinct(F.concat(
-        hosts.url_indicators(F.col("_t")), hosts.bare_indicators(F.col("_b")))))
+    found = F.array_distinct(F.concat(hosts.url_indicators(F.col("_t")), hosts.bare_indicators(F.col("_b"))))
+    # A generator: otherwise each later use of the column, a filter too, is a copy of all stages in the plan.
+    df = df.select("*", F.explode_outer(F.array(F.struct(found.alias("all")))).alias("_m"))
+    df = df.withColumn("indicators", F.col("_m.all")).drop("_m")
     truncated: Column = F.lit(False)
     if limits.value_bytes is not None:
         short = F.filter("indicators", lambda i: F.octet_length(i["value"]) <= limits.value_bytes)

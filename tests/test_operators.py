@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actiontrail.functions import hosts, redact, scalars
 from actiontrail.operators import pairing, positions, summary, verdicts
-from actiontrail.operators.indicators import mine_text
+from actiontrail.operators.indicators import Limits, mine_text
 
 
 def test_golden_ids(spark):
@@ -67,6 +67,14 @@ def test_mining(spark):
         assert got.get(i, set()) == want
 
 
+def test_plan_of_capped_mining_stays_small(spark):
+    """Reading the mined column several times, in a filter too, must not copy all stages for each time."""
+    df = spark.createDataFrame([("8.8.8.8 9.9.9.9",), ("none",)], "t string")
+    out = mine_text(df, "t", limits=Limits(per_field=1)).select("t", F.size("indicators").alias("kept"), "truncated").where("kept > 0")
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 2_000_000
+    assert [tuple(r) for r in out.collect()] == [("8.8.8.8 9.9.9.9", 1, True)]
+
+
 def test_host_compression(spark):
     texts = ["2001:db8::0:0:1:0:0", "fe80::1", "::ffff:8.8.4.4", "1:0:0:2:0:0:0:3", "2001:db8:1:1:1:1:0:1", "1::2::3"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(hosts.classify_host(F.col("t")).alias("h"))
