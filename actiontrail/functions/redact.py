@@ -8,6 +8,8 @@ of being captured, which keeps long token-less runs linear.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from actiontrail.functions.scalars import let
@@ -154,31 +156,38 @@ def mask_tokens(c: Column) -> Column:
     return F.regexp_replace(c, "|".join(TOKEN_SHAPES), r"\[redacted\]")
 
 
+Stage = Callable[[Column], Column]
+STAGES: tuple[Stage, ...] = (mask_userinfo, mask_authorization, mask_credentials, mask_assignments, mask_tokens)
+
+
+def mask_shape(pattern: str, replacement: str) -> Stage:
+    """A stage for one shape of secret that a run names itself."""
+    return lambda c: F.regexp_replace(c, pattern, replacement)
+
+
 def redact_text(c: Column | str) -> Column:
     """Mask credentials in one text column; null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    for stage in (mask_userinfo, mask_authorization, mask_credentials,
-                  mask_assignments, mask_tokens):
+    for stage in STAGES:
         c = stage(c)
     return c
 
 
-def _staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def _staged(df: DataFrame, columns: dict[str, Column], stages: tuple[Stage, ...]) -> DataFrame:
     """Apply the stages one projection at a time.
 
     Nesting five CASE expressions would repeat the inner text of each stage
     in every branch; a projection per stage keeps the plan linear in size.
     """
     df = df.withColumns(columns)
-    for stage in (mask_userinfo, mask_authorization, mask_credentials,
-                  mask_assignments, mask_tokens):
+    for stage in stages:
         df = df.withColumns({name: stage(F.col(name)) for name in columns})
     return df
 
 
-def redact_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add redacted copies: ``{target: source}``."""
-    return _staged(df, {t: F.col(s) for t, s in columns.items()})
+def redact_columns(df: DataFrame, columns: dict[str, str], stages: tuple[Stage, ...] = STAGES) -> DataFrame:
+    """Add redacted copies: ``{target: source}``. Other `stages` only where a run says which secrets it means."""
+    return _staged(df, {t: F.col(s) for t, s in columns.items()}, stages)
 
 
 def redact_events(df: DataFrame) -> DataFrame:
@@ -210,7 +219,7 @@ def redact_json(doc: Column) -> Column:
 
 def _linear(c: Column) -> Column:
     """redact_text with each stage's text bound once."""
-    for stage in (mask_userinfo, mask_authorization, mask_credentials, mask_assignments, mask_tokens):
+    for stage in STAGES:
         c = let(c, stage)
     return c
 

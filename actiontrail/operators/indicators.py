@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actiontrail.functions import hosts
-from actiontrail.functions.redact import redact_columns
+from actiontrail.functions.redact import STAGES, Stage, redact_columns
 from actiontrail.functions.scalars import hash_path, order_key, present
 from actiontrail.schema import SEQ
 from actiontrail.session import saved
@@ -31,10 +31,10 @@ class Limits:
 
 
 def mine_text(df: DataFrame, text: str, markdown: Column | None = None,
-              limits: Limits = Limits()) -> DataFrame:
-    """Add `indicators: array<struct<type,value>>` and `truncated` for a text column."""
+              limits: Limits = Limits(), stages: tuple[Stage, ...] = STAGES) -> DataFrame:
+    """Add `indicators: array<struct<type,value>>` and `truncated` for a text column, mined after redaction by `stages`."""
     df = df.where(F.col(text).rlike(hosts._ANY_DEFANGED + "|" + hosts.CANDIDATE))
-    df = redact_columns(df, {"_t": text})
+    df = redact_columns(df, {"_t": text}, stages)
     df = df.withColumn("_t", hosts.refang(F.col("_t")))
     if markdown is not None:
         df = df.withColumn("_t", F.when(markdown, hosts.strip_bold(F.col("_t"))).otherwise(F.col("_t")))
@@ -58,7 +58,7 @@ def mine_text(df: DataFrame, text: str, markdown: Column | None = None,
     return df.withColumn("truncated", truncated).drop("_t", "_b")
 
 
-def observations(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def observations(events: DataFrame, limits: Limits = Limits(), stages: tuple[Stage, ...] = STAGES) -> DataFrame:
     """One row per distinct (event, field, type, value) of first event copies."""
     fields = F.filter(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.col(name).alias("text"),
@@ -68,7 +68,7 @@ def observations(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ, arrival().alias("_arrival"),
         F.explode(fields).alias("field"))
     mined = mine_text(rows.withColumn("_text", F.col("field.text")), "_text",
-                      F.col("field.markdown"), limits)
+                      F.col("field.markdown"), limits, stages)
     found = mined.select(
         "event_id", "source_agent", "session_id", "project_path", "timestamp", SEQ, "_arrival",
         F.col("field.pos").alias("pos"), "truncated",
@@ -111,8 +111,8 @@ def fold(obs: DataFrame) -> DataFrame:
         hash_path("_s.project_path").alias("sample_project_path_hash"))
 
 
-def indicators(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    return fold(observations(events, limits))
+def indicators(events: DataFrame, limits: Limits = Limits(), stages: tuple[Stage, ...] = STAGES) -> DataFrame:
+    return fold(observations(events, limits, stages))
 
 
 # Bins of one look at where the last kept key may lie.
@@ -161,9 +161,10 @@ def earliest_keys(keys: DataFrame, limit: int, bins: int = BINS) -> DataFrame:
     return keys.where(kept).unionByName(last)
 
 
-def capped_indicators(events: DataFrame, limit: int, limits: Limits = Limits()) -> tuple[DataFrame, int]:
+def capped_indicators(events: DataFrame, limit: int, limits: Limits = Limits(),
+                      stages: tuple[Stage, ...] = STAGES) -> tuple[DataFrame, int]:
     """(records of the first `limit` keys of a run, how many keys were left out). A number above 0 makes a summary `partial`."""
-    obs = observations(events, limits)
+    obs = observations(events, limits, stages)
     keys = saved(first_seen_keys(obs))
     total = keys.count()
     if total <= limit:
