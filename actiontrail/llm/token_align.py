@@ -6,8 +6,9 @@ group ends. A link is a pair of tokens whose ranges overlap: one for each stretc
 Pair counts: a first pass over the texts sums links by pair of ids inside each task. The distinct pairs are dealt to BUCKETS by
 hash and united in two steps; each bucket builds a minimal perfect hash over its pairs and keeps the pairs in the order of their
 numbers. Partial counts then become dense vectors indexed by that hash, summed in a tree: first for a part of the tasks, then for
-the whole bucket. A bucket's hash, pairs and counts are one file below the shared folder; only committed manifest rows name files. A second
-pass aligns the texts again and looks counts up; a looked-up pair is compared with the pair stored at its number.
+the whole bucket. A bucket's hash, pairs and counts are one file below the shared folder; only committed manifest rows name files. The
+first pass of a report also keeps each document's links by pair in the shared folder (four bytes a link, about a token of text); the second
+pass reads those and looks counts up; a looked-up pair is compared with the pair stored at its number.
 
 Sizes: a bucket holds at most |A| * |B| / BUCKETS pairs, whatever the corpus (6.3 million here). A worker keeps HELD_BYTES of
 buckets and reads others again. The driver sees one row for each bucket and, for the best partner of each id of B, at most |B| numbers.
@@ -205,6 +206,7 @@ class Aligner:
         self.b_side = _Side([bytes([int(right.id_to_piece(i)[3:-1], 16)]) if right.is_byte(i)
                              else right.id_to_piece(i).replace("▁", " ").encode() for i in range(many)])
         self.a_many, self.b_many = len(self.a_side.first) - 1, many
+        self.narrow = np.uint32 if self.a_many * self.b_many < 1 << 32 else np.uint64
         self.words: list[str] | None = None
         cut = spec["pre_tokenizer"] or {}
         separable = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not spec["normalizer"]
@@ -262,6 +264,10 @@ class Aligner:
         """One number for each link's pair of ids."""
         return (x.a.ids[x.a_at] * self.b_many + x.b.ids[x.b_at]).astype(np.uint64)
 
+    def links(self, x: Aligned) -> np.ndarray:
+        """`keys` in the narrower of four or eight bytes."""
+        return self.keys(x).astype(self.narrow)
+
     def group_sizes(self, x: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of A and of B in each group, and where each text's groups begin."""
         last = np.flatnonzero(x.closes)
@@ -343,44 +349,89 @@ def _bucket(keys: np.ndarray) -> np.ndarray:
 
 
 PARTIAL = "bucket int, fan int, keys binary, counts binary"
+DONE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
 
-def partial_counts(docs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
-    """First pass: the links of each task by pair, cut into buckets; saved."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Partials:
+    """Links of one task summed by pair; rows of PARTIAL come out when many are held, and at the end."""
+
+    def __init__(self):
         from pyspark import TaskContext
 
-        own, fan = aligner(*tokenizers), TaskContext.get().partitionId() % FAN
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, counts = held[0]
-            bucket = _bucket(keys)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            used = [k for k in range(BUCKETS) if ends[k] < ends[k + 1]]
-            cut = [order[ends[k]:ends[k + 1]] for k in used]
-            held.clear()
-            return _batch(["bucket", "fan", "keys", "counts"], pa.array(used, pa.int32()), pa.array([fan] * len(used), pa.int32()),
-                          pa.array([_narrow(keys[c]) for c in cut], pa.binary()), pa.array([_narrow(counts[c]) for c in cut], pa.binary()))
-
-        fresh = 0
+        self.fan = TaskContext.get().partitionId() % FAN
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.fresh = 0
+
+    def add(self, links: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(links, return_counts=True)
+        self.held.append((keys.astype(np.uint64), counts))
+        self.fresh += len(keys)
+        if self.fresh >= HELD_PAIRS:
+            self.held[:] = [_summed(*map(np.concatenate, zip(*self.held)))]
+            self.fresh = 0
+            if len(self.held[0][0]) >= HELD_PAIRS:
+                yield self._flush()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.held[:] = [_summed(*map(np.concatenate, zip(*self.held)))]
+            yield self._flush()
+
+    def _flush(self) -> pa.RecordBatch:
+        keys, counts = self.held[0]
+        bucket = _bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        used = [k for k in range(BUCKETS) if ends[k] < ends[k + 1]]
+        cut = [order[ends[k]:ends[k + 1]] for k in used]
+        self.held.clear()
+        return _batch(["bucket", "fan", "keys", "counts"], pa.array(used, pa.int32()), pa.array([self.fan] * len(used), pa.int32()),
+                      pa.array([_narrow(keys[c]) for c in cut], pa.binary()), pa.array([_narrow(counts[c]) for c in cut], pa.binary()))
+
+
+def partial_counts(docs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
+    """The links of each task by pair, cut into buckets; saved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = aligner(*tokenizers), Partials()
         for part in parts(batches, 0):
-            keys, counts = np.unique(own.keys(own.align(part.column(0))), return_counts=True)
-            held.append((keys, counts))
-            fresh += len(keys)
-            if fresh >= HELD_PAIRS:
-                held[:] = [_summed(*map(np.concatenate, zip(*held)))]
-                fresh = 0
-                if len(held[0][0]) >= HELD_PAIRS:
-                    yield flush()
-        if held:
-            held[:] = [_summed(*map(np.concatenate, zip(*held)))]
-            yield flush()
+            yield from held.add(own.links(own.align(part.column(0))))
+        yield from held.rest()
 
     return saved(docs.select("text").mapInArrow(run, PARTIAL), "pair-partials")
 
 
+def _padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with nulls in the columns that it lacks."""
+    names = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+
+def aligned_once(docs: DataFrame, tokenizers: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """First pass of a report: (partial counts, each document's tokens, groups and links by pair); saved together."""
+    both = pa.schema([("bucket", pa.int32()), ("fan", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.int64()),
+                      *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("links", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = aligner(*tokenizers), Partials()
+        for part in parts(batches, 1):
+            x = own.align(part.column(1))
+            links, cut = own.links(x), x.link_cuts
+            for out in held.add(links):
+                yield _padded(out, both)
+            data, ends = links.tobytes(), (cut * links.itemsize).tolist()
+            digests = [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in own.group_texts(x)]
+            yield _padded(_batch(
+                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"], part.column(0), pa.array(np.diff(x.a.cuts)),
+                pa.array(np.diff(x.b.cuts)), pa.array(np.diff(running(x.closes)[cut])), pa.array(np.diff(cut)), pa.array(digests, pa.string()),
+                pa.array([data[s:e] for s, e in zip(ends, ends[1:])], pa.binary())), both)
+        for out in held.rest():
+            yield _padded(out, both)
+
+    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{PARTIAL}, {DONE}"), "aligned")
+    return (rows.where("bucket IS NOT NULL").select("bucket", "fan", "keys", "counts"),
+            rows.where("bucket IS NULL").drop("bucket", "fan", "keys", "counts"))
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
     """Rows that are sorted by bucket, one bucket at a time."""
     rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
@@ -572,27 +623,30 @@ def alignment_report(docs: DataFrame, tokenizers: tuple[str, str] | None = None)
     """Of each document: its tokens, groups and links, and what the corpus's pair counts say about its links."""
     spark: SparkSession = docs.sparkSession
     paths = tokenizers or default_tokenizers()
-    manifest = pair_index(docs, paths)
+    ship(spark)
+    partials, done = aligned_once(docs, paths)
+    manifest = dense_counts(partials, pair_hashes(partials))
     files = {r["bucket"]: r["path"] for r in manifest.collect()}
-    best = np.zeros(aligner(*paths).b_many, np.int64)
+    own = aligner(*paths)
+    many, narrow, best = own.b_many, own.narrow, np.zeros(own.b_many, np.int64)
     for row in pair_counts(manifest, paths).groupBy("b_id").agg(F.max("n").alias("n")).collect():
         best[row["b_id"]] = row["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = aligner(*paths), _index(files)
-        for part in parts(batches, 1):
-            x = own.align(part.column(1))
-            keys, back = np.unique(own.keys(x), return_inverse=True)
+        index = _index(files)
+        for part in parts(batches, 6):
+            data, bounds = texts(part.column(6))
+            links = np.frombuffer(data.tobytes(), narrow)
+            cut = bounds // links.itemsize
+            keys, back = np.unique(links, return_inverse=True)
+            keys = keys.astype(np.uint64)
             counts = index.counts(keys)
-            leads = counts == best[(keys % np.uint64(own.b_many)).astype(np.int64)]
-            cut = x.link_cuts
+            leads = counts == best[(keys % np.uint64(many)).astype(np.int64)]
 
             def per_text(values: np.ndarray) -> pa.Array:
                 return pa.array(np.diff(running(values)[cut]))
 
-            digests = [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in own.group_texts(x)]
             yield _batch(["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-                         part.column(0), pa.array(np.diff(x.a.cuts)), pa.array(np.diff(x.b.cuts)), per_text(x.closes), pa.array(np.diff(cut)),
-                         per_text(leads[back]), per_text(counts[back]), pa.array(digests, pa.string()))
+                         *part.columns[:5], per_text(leads[back]), per_text(counts[back]), part.column(5))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, REPORT)
+    return done.mapInArrow(run, REPORT)

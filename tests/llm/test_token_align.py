@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from actiontrail.llm import token_align
 from actiontrail.llm.perfect_hash import PerfectHash
@@ -79,6 +80,15 @@ def test_report(spark, rows):
         assert x[:7] == y[:7] and (y[7] is None or x[7] == y[7])
 
 
+def test_a_report_aligns_each_text_once(spark):
+    """The second pass reads the links that the first one kept."""
+    seen = spark.sparkContext.accumulator(0)
+    own = F.udf(lambda text: (seen.add(1), text)[1], "string").asNondeterministic()
+    rows = random_rows(5, 40)
+    out = token_align.alignment_report(frame(spark, rows).withColumn("text", own("text")))
+    assert len(out.collect()) == 40 and seen.value == 40
+
+
 def test_counts_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(token_align, "HELD_PAIRS", 50)
     rows = random_rows(6, 200)
