@@ -49,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores: a table with few row groups would leave costly work per row to few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _choose(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
 

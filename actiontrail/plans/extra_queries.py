@@ -8,7 +8,7 @@ from actiontrail.functions.commands import command_columns
 from actiontrail.functions.redact import redact_json
 from actiontrail.operators import cases, contract, findings, indicators
 from actiontrail.operators.positions import number_in_order
-from actiontrail.plans.adapters import ACTIONS_SQL, actions, table
+from actiontrail.plans.adapters import ACTIONS_SQL, actions, spread, table
 from actiontrail.plans.detect_queries import _MATCH_SQL, _matches
 from actiontrail.plans.registry import ORACLES, query
 from actiontrail.plans.stream_queries import WAIT_SECONDS, _folder, _stream
@@ -114,7 +114,7 @@ def json_documents(spark, sf):
     doc = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"user":{"api_key":"k'), F.col("user_id"), F.lit('","name":"n'), F.col("user_id"),
                    F.lit('"},"usage":{"input_tokens":'), F.col("user_id"), F.lit(',"tokens":[1,2]},"list":["plain","https://h.example/?token='), F.col("event_id"),
                    F.lit('"],"client_secret":{"a":["b",{"c":'), F.col("user_id"), F.lit('}]},"ok":true}'))
-    return table(spark, sf, "events").select("event_id", redact_json(doc).alias("doc"))
+    return spread(table(spark, sf, "events").select("event_id", "user_id")).select("event_id", redact_json(doc).alias("doc"))
 
 
 # --- exports and links --------------------------------------------------------

@@ -40,3 +40,11 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 70 and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_json_documents_use_all_cores(spark, sf_dir):
+    """The table is one row group; the work per document must not stay in one task."""
+    out = queries()["P16_json_documents"](spark, sf_dir)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = out.rdd.glom().map(len).collect()
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
